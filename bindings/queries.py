@@ -35,7 +35,7 @@ def _profile(v: Views):
 
 
 def _cohorts(v: Views, one: int = 100, five: int = 500):
-    return cohorts.cohort_gap(v.bindall(), one, five)
+    return cohorts.cohort_gap(v.people(), one, five)
 
 
 def _cohort_campus(v: Views):
@@ -229,7 +229,7 @@ QUERIES = {
     "load_box": lambda v: _box(v, "num_ce"),
     "load_box_outliers": lambda v: destinations.box_outliers_by_college(
         v.bindall("num_ce"), "num_ce", [TARGET, linkage.NO_COLLEGE]
-    ).select("sid", "college", "num_ce"),
+    ),
     "price_box": lambda v: _r6(
         op.box_stats(v.table("orders"), ["o_orderpriority"], "o_totalprice"),
         "q1", "median", "q3", "whisker_low", "whisker_high",
@@ -241,7 +241,7 @@ QUERIES = {
     "zip_top_target": lambda v: _zip_top(v, TARGET),
     "zip_top_none": lambda v: _zip_top(v, linkage.NO_COLLEGE),
     "zip_top_by_college": lambda v: destinations.zip_top_by_college(
-        linkage.with_zip(v.bindall(), v.zips()), CHOSEN, ["term", "college"]
+        linkage.with_zip(linkage.first_destination(v.people()), v.zips()), CHOSEN
     ),
     "course_mix": lambda v: _r6(
         destinations.course_mix(v.first(), v.courses(), CHOSEN[:1] + OTHERS[:2]), "avg_grade"
@@ -345,7 +345,7 @@ QUERIES = {
     "firstgen_counts": lambda v: demographics.indicator_counts(v.ce_full(), "first_generation"),
     # operators not reached by name above
     "is_duplicate": lambda v: op.is_duplicate(
-        v.ce().select("sid", "enroll_id", "term"), ["sid"], ["term", "enroll_id"]
+        v.ce().select("sid", "enroll_id", "term"), ["sid"], ["term", "enroll_id"], null_safe=False
     ),
     "frequency_table": lambda v: op.freq(v.ce(), "hs_grad_year"),
     "fill_where": lambda v: op.fill_where(

@@ -75,16 +75,13 @@ class Views:
 
     def ce_full(self) -> DataFrame:
         """Enrolments with student attributes, school, campus, zip, indicators."""
-        nation = self.table("nation").select("n_nationkey", "n_name", "n_regionkey")
-        region = self.table("region").select("r_regionkey", "r_name")
-        customer = self.table("customer").select(
-            "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
-        )
-        people = (
-            customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        ce = self.ce()
+        return (
+            ce.join(self.table("customer"), F.col("sid") == F.col("c_custkey"))
+            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
-                "c_custkey",
+                *ce.columns,
                 F.col("c_mktsegment").alias("ethnicity"),
                 F.col("c_name").alias("last_name"),
                 F.nullif(F.col("n_name"), F.lit("NATION_7")).alias("high_school"),
@@ -102,8 +99,6 @@ class Views:
             )
             .withColumn("zip5", zip5("address_zip"))
         )
-        ce = self.ce()
-        return ce.join(people, ce["sid"] == people["c_custkey"]).drop("c_custkey")
 
     def school_districts(self) -> DataFrame:
         """Checked crosswalk school -> district; two schools are not in it."""
@@ -143,18 +138,14 @@ class Views:
         """Spells and completions."""
         line = self.table("lineitem").filter(F.col("l_returnflag") == "R")
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("sid"))
-        schools = (
-            self.table("supplier")
-            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("s_suppkey", "n_name")
-        )
         none = F.col("n_name") == "NATION_5"
         day = F.to_date("l_shipdate")
         ymd = F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
         done = F.col("l_linestatus") == "O"
         return (
             line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(schools, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
                 "sid",
                 F.when(none, "").otherwise(F.col("n_name")).alias("college"),
@@ -188,10 +179,13 @@ class Views:
     def first(self) -> DataFrame:
         return linkage.first_college(self.linked(), ["term", "college", "max_ce_term"])
 
+    def people(self, *columns: str) -> DataFrame:
+        return linkage.adult_spells(self.linked(*columns))
+
     def bindall(self, *columns: str) -> DataFrame:
         """First later college of each adult, or none."""
         return linkage.first_college_or_none(
-            self.linked(*columns), columns=["term", "college", "max_ce_term", *columns]
+            self.people(*columns), ["term", "college", "max_ce_term", *columns]
         )
 
     def zips(self) -> DataFrame:

@@ -21,8 +21,12 @@ def _by_season(code: Column, values: dict[int, Column]) -> Column:
     return picked
 
 
+def _div(c: Column, by: int) -> Column:
+    return F.call_function("div", c, F.lit(by)).cast("int")
+
+
 def term_year(c: Column | str) -> Column:
-    return F.floor(as_col(c) / 100).cast("int")
+    return _div(as_col(c), 100)
 
 
 def term_season(c: Column | str) -> Column:
@@ -41,7 +45,7 @@ def term_end(c: Column | str) -> Column:
 def term_of_ymd(c: Column | str, domain: tuple[int, int] | None = None) -> Column:
     """Term code of an integer date YYYYMMDD; outside the year domain, or no known range, is NULL."""
     c = as_col(c)
-    year, mmdd = F.floor(c / 10000).cast("int"), c % 10000
+    year, mmdd = _div(c, 10000), c % 10000
     term = F.when(F.lit(False), F.lit(0))
     for suffix, (lo, hi) in BEGIN_RANGES.items():
         term = term.when(mmdd.between(lo, hi), year * 100 + suffix)

@@ -40,6 +40,11 @@ def per_entity_then(
     return inner.groupBy(*keys).agg(*[c.alias(k) for k, c in then.items()])
 
 
+def _whole(within: Sequence[str] = ()):
+    """All rows of a group of a dimension-sized table, or of the whole table."""
+    return Window.partitionBy(*(within or [F.lit(0)]))
+
+
 def share(
     df: DataFrame,
     value: str = "n",
@@ -47,19 +52,19 @@ def share(
     name: str = "share",
     scale: int = 1,
     digits: int | None = None,
-    bounded: bool = False,
+    bounded: bool = True,
 ) -> DataFrame:
     """Each row's part of the total, overall or within leading keys; the filters applied before this
     call decide the denominator.
 
-    The total is a second aggregate over the same grouped counts, whose shuffle Spark reuses, so any
-    number of groups is fine. ``bounded=True`` is for counts that carry further aggregates and whose
-    groups are limited by a dimension (courses of a college, zips of a term): a window over the
-    grouped rows then saves reading the source again for the total.
+    ``df`` holds one row per category (college, school, zip, course), so a dimension limits its size
+    whatever the size of the facts. The total is a window over these rows: one pass over the source.
+    Use ``bounded=False`` for keys without such a limit: the total is then an aggregate joined back,
+    spread over tasks, which may read the source twice.
     """
     within = list(within)
     if bounded:
-        total = F.sum(value).over(Window.partitionBy(*(within or [F.lit(0)])))
+        total = F.sum(value).over(_whole(within))
     elif not within:
         total = df.agg(F.sum(value).alias("total")).scalar()
     else:
@@ -89,5 +94,5 @@ def fill_where(df: DataFrame, column: str, cond: Column, value) -> DataFrame:
 
 
 def with_overall_mean(df: DataFrame, value: str, name: str = "overall_mean") -> DataFrame:
-    """Reference line: the mean over all rows on every row."""
-    return df.withColumn(name, df.agg(F.avg(value).alias("m")).scalar())
+    """Reference line of a chart dataset (one row per category): its mean on every row."""
+    return df.withColumn(name, F.avg(value).over(_whole()))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _condition(on: Sequence[str], null_safe: bool) -> Column:
-    pairs = [(F.col(k), F.col(f"_right_{k}")) for k in on]
-    tests = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
+def _condition(on: Sequence[str], null_safe: bool | Sequence[str]) -> Column:
+    safe = (on if null_safe else ()) if isinstance(null_safe, bool) else null_safe
+    pairs = [(k, F.col(k), F.col(f"_right_{k}")) for k in on]
+    tests = [a.eqNullSafe(b) if k in safe else a == b for k, a, b in pairs]
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -19,13 +20,13 @@ def left_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    null_safe: bool = True,
+    null_safe: bool | Sequence[str] = True,
     suffix: str = "_y",
 ) -> DataFrame:
     """Left join in which two missing keys match; right columns that collide get a suffix.
 
-    Pass ``null_safe=False`` for keys that are never missing on one side: the result is the same and
-    the plain equality can reuse an existing partitioning on the key.
+    ``null_safe`` may name the keys it is needed for. A key that is never missing on one side can be
+    left out: the result is the same and plain equality reuses an existing partitioning on the key.
     """
     on = list(on)
     others = [c for c in right.columns if c not in on]
@@ -37,7 +38,10 @@ def left_join(
 
 
 def anti_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = True
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    null_safe: bool | Sequence[str] = True,
 ) -> DataFrame:
     """Left rows without a match, where two missing keys match.
 

@@ -68,19 +68,18 @@ def with_sort_rank(df: DataFrame, order_by: Sequence[str], bound: int = 10_000)
 
     A longer frame fails instead of being cut: ranking it would need one task for all rows.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    guarded = df.filter(
-        F.when(n <= bound, F.lit(True)).otherwise(
-            F.raise_error(F.lit(f"sort rank is for chart datasets of at most {bound} rows"))
-        )
-    )
-    # One named group holds the bounded chart rows.
     w = Window.partitionBy(F.lit(0)).orderBy(*sort_columns(order_by))
-    return guarded.withColumn("sort_rank", F.row_number().over(w))
+    rank = F.row_number().over(w)
+    too_long = F.raise_error(F.lit(f"sort rank is for chart datasets of at most {bound} rows"))
+    return df.withColumn("sort_rank", F.when(rank > bound, too_long).otherwise(rank).cast("int"))
 
 
 def is_duplicate(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], name: str = "is_duplicate"
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    name: str = "is_duplicate",
+    null_safe: bool = True,
 ) -> DataFrame:
     """Flag every row after the first of its key, over the whole frame.
 
@@ -92,7 +91,7 @@ def is_duplicate(
     if key is None:
         raise ValueError("descending text is not supported here")
     firsts = df.groupBy(*keys).agg(F.min(key).alias("_first_key"))
-    marked = left_join(df.withColumn("_key", key), firsts, keys)
+    marked = left_join(df.withColumn("_key", key), firsts, keys, null_safe)
     return marked.withColumn(name, F.col("_key") > F.col("_first_key")).drop("_key", "_first_key")
 
 

@@ -12,26 +12,21 @@ from ..operators import (
     attach_crosswalk,
     counts,
     exclude,
-    first_event,
     first_row,
     left_join,
     share,
     top_k,
 )
-from .linkage import NO_COLLEGE
+from .linkage import first_destination
 
 
-def cohort_gap(bindall: DataFrame, one_year: int = 100, five_years: int = 500) -> DataFrame:
+def cohort_gap(people: DataFrame, one_year: int = 100, five_years: int = 500) -> DataFrame:
     """Each student's first later spell, or none: term gap and whether it is within the limits.
 
-    An undated row sorts last, so a student with both a spell and a no-college row keeps the spell.
-    A missing gap counts as "not within".
+    ``people`` are the ``adult_spells`` (``first_college_or_none`` gives the same result). A student
+    with both a spell and a no-college row keeps the spell. A missing gap counts as "not within".
     """
-    kept = bindall.filter(
-        (F.col("term") > F.col("max_ce_term")) | (F.col("college") == NO_COLLEGE)
-    )
-    first = first_event(kept, "sid", "term", ["college"], ["term", "max_ce_term", "college"])
-    first = first.withColumn("enroll_gap", gap("term", "max_ce_term"))
+    first = first_destination(people).withColumn("enroll_gap", gap("term", "max_ce_term"))
     return first.withColumns(
         {
             "enroll_1_yr": F.coalesce(within("enroll_gap", one_year), F.lit(0)),

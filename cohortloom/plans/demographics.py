@@ -108,7 +108,7 @@ def zip_region_top(
         region=first_by("region", "sid"), city=first_by("city", "sid"),
     )
     if with_share:
-        table = share(table, within=leading, name="pczip", bounded=True)
+        table = share(table, within=leading, name="pczip")
     return top_k(table.filter(F.col("zip").isNotNull()), k, ["-n", "zip"], within=leading)
 
 

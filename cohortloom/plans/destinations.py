@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import na_mean, pct_where, yes_no
@@ -13,13 +13,13 @@ from ..operators import (
     box_stats,
     counts,
     drop_incomplete,
-    first_row,
     left_join,
     share,
     t_test,
     top_k,
     with_sort_rank,
 )
+from ..session import cut_lineage
 from .linkage import NO_COLLEGE
 
 
@@ -40,13 +40,17 @@ def college_ever_top(later: DataFrame, k: int = 10, denominator: int | None = No
 
     ``denominator`` overrides that number.
     """
-    visits = later.select("sid", "college").distinct()
+    # A student's set of colleges is limited by the number of colleges; its first entry stands for
+    # the student, so one pass gives the visits per college and the students overall.
+    visits = later.groupBy("sid").agg(F.collect_set("college").alias("_colleges"))
+    visits = visits.select(F.posexplode("_colleges").alias("_at", "college"))
+    table = counts(visits, "college", _students=F.count_if(F.col("_at") == 0))
     total = (
         F.lit(denominator)
         if denominator is not None
-        else visits.agg(F.count_distinct("sid").alias("students")).scalar()
+        else F.sum("_students").over(Window.partitionBy(F.lit(0)))
     )
-    table = counts(visits, "college").withColumn("percent", F.col("n") / total * 100)
+    table = table.withColumn("percent", F.col("n") / total * 100).drop("_students")
     return top_k(table, k, ["-n", "college"])
 
 
@@ -111,15 +115,19 @@ def profile_metric_rank(
 def box_by_college(
     bindall: DataFrame, value: str, colleges: Sequence[str], **options
 ) -> DataFrame:
-    """Box-plot summary of a measure by destination."""
-    return box_stats(bindall.filter(F.col("college").isin(*colleges)), ["college"], value, **options)
+    """Box-plot summary of a measure by destination.
+
+    The two columns are checkpointed: a quantile reads its input several times.
+    """
+    kept = bindall.filter(F.col("college").isin(*colleges)).select("college", value)
+    return box_stats(cut_lineage(kept), ["college"], value, **options)
 
 
 def box_outliers_by_college(
     bindall: DataFrame, value: str, colleges: Sequence[str], **options
 ) -> DataFrame:
-    kept = bindall.filter(F.col("college").isin(*colleges))
-    return box_outliers(kept, ["college"], value, **options)
+    kept = bindall.filter(F.col("college").isin(*colleges)).select("sid", "college", value)
+    return box_outliers(cut_lineage(kept), ["college"], value, **options)
 
 
 def destination_test(
@@ -138,11 +146,11 @@ def zip_top(
     return top_k(drop_incomplete(table), k, ["-n", value])
 
 
-def zip_top_by_college(
-    bindall: DataFrame, colleges: Sequence[str], order_by: Sequence[str], k: int = 5
-) -> DataFrame:
-    """Most frequent known zips within chosen destinations, each student on their first row."""
-    students = first_row(bindall, ["sid"], order_by, ["college", "zip5"])
+def zip_top_by_college(students: DataFrame, colleges: Sequence[str], k: int = 5) -> DataFrame:
+    """Most frequent known zips within chosen destinations.
+
+    ``students`` is one row per student (``linkage.first_destination``) with zip5.
+    """
     table = counts(students.filter(F.col("college").isin(*colleges)), "college", "zip5")
     return top_k(drop_incomplete(table), k, ["-n", "zip5"], within=["college"])
 
@@ -172,7 +180,7 @@ def course_mix(
         F.sum("_n").alias("n"),
         F.when(F.sum("_known") == F.sum("_n"), mean).alias("avg_grade"),
     )
-    table = share(table, within=["college"], name="pc_course", scale=100, digits=1, bounded=True)
+    table = share(table, within=["college"], name="pc_course", scale=100, digits=1)
     return top_k(table, k, ["-pc_course", "class"], within=["college"])
 
 

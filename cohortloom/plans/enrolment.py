@@ -22,7 +22,18 @@ from ..functions import (
     term_year,
     yes_no,
 )
-from ..operators import counts, first_row, freq, headcount, loess, per_entity_then, share, slice_range, top_k
+from ..operators import (
+    counts,
+    first_row,
+    freq,
+    headcount,
+    loess,
+    per_entity_then,
+    share,
+    slice_range,
+    top_k,
+)
+from ..session import cut_lineage
 
 
 def null_audit(
@@ -159,13 +170,16 @@ def outcome_by_load_capped(students: DataFrame, cap_at: int = 16) -> DataFrame:
         "load_capped", "outcome",
         min_load=F.min("num_ce"),
     )
-    return share(table, within=["load_capped"], name="freq", bounded=True)
+    return share(table, within=["load_capped"], name="freq")
 
 
 def outcome_loess(students: DataFrame, cap_at: int = 16, **options) -> DataFrame:
-    """Smoothed share of outcome Y by number of courses."""
+    """Smoothed share of outcome Y by number of courses.
+
+    The few points are checkpointed: the smoother reads them several times.
+    """
     points = outcome_by_load_capped(students, cap_at).filter(F.col("outcome") == "Y")
-    return loess(points, "min_load", "freq", **options)
+    return loess(cut_lineage(points.select("min_load", "freq")), "min_load", "freq", **options)
 
 
 def common_courses(courses: DataFrame, k: int = 10) -> DataFrame:

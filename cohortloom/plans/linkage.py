@@ -121,26 +121,46 @@ def spell_kind(spells: DataFrame) -> DataFrame:
     )
 
 
+def adult_spells(linked: DataFrame, at_least: int = 18) -> DataFrame:
+    """Spells of adult students, a blank or missing college labelled NO COLLEGE.
+
+    ``linked`` carries age_current; completions must have been removed.
+    """
+    return linked.filter(F.col("age_current") >= at_least).withColumn(
+        "college", or_label("college", NO_COLLEGE)
+    )
+
+
 def first_college_or_none(
-    linked: DataFrame,
-    at_least: int = 18,
+    people: DataFrame,
     columns: Sequence[str] = (
         "term", "college", "max_ce_term", "num_ce", "ce_gpa", "gender", "ethnicity", "age_current",
     ),
 ) -> DataFrame:
     """First later spell of each adult student, together with all their no-college rows.
 
-    ``linked`` carries age_current; completions must have been removed. A student whose spells are
-    all at or before the last enrolment term, and real colleges, appears in neither part.
+    ``people`` comes from ``adult_spells``. A student whose spells are all at or before the last
+    enrolment term, and at real colleges, appears in neither part.
     """
-    people = linked.filter(F.col("age_current") >= at_least).withColumn(
-        "college", or_label("college", NO_COLLEGE)
-    )
     first = first_college(people, columns)
     none = people.filter(F.col("college") == NO_COLLEGE).select("sid", *columns)
     return first.unionByName(none)
 
 
+def first_destination(
+    people: DataFrame, columns: Sequence[str] = ("term", "max_ce_term", "college")
+) -> DataFrame:
+    """One row per adult student: the first later spell, else a no-college row.
+
+    This is the first row per student of ``first_college_or_none`` (an undated row sorts last),
+    computed in one pass: the earliest of the later spells is also the earliest of these rows.
+    """
+    kept = people.filter(
+        (F.col("term") > F.col("max_ce_term")) | (F.col("college") == NO_COLLEGE)
+    )
+    return first_event(kept, "sid", "term", ["college"], columns)
+
+
 def student_zip(ce: DataFrame, order_by: Sequence[str], raw: str = "address_zip") -> DataFrame:
     """One five-digit zip per student: the one on the first row."""
     return first_row(ce, ["sid"], order_by, [raw]).select("sid", zip5(raw).alias("zip5"))
