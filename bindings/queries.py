@@ -39,11 +39,12 @@ def _cohorts(v: Views, one: int = 100, five: int = 500):
 
 
 def _cohort_campus(v: Views):
-    return cohorts.cohort_campus_attach(_cohorts(v), v.ce_full(), ORDER, v.campus_districts())
+    return cohorts.cohort_campus_attach(_cohorts(v), v.ce_full("sid", "enroll_id", "campus"), ORDER, v.campus_districts())
 
 
 def _ce_district(v: Views):
-    return op.attach_crosswalk(v.ce_full(), v.school_districts(), "high_school")
+    ce = v.ce_full("sid", "enroll_id", "term", "high_school", "ethnicity")
+    return op.attach_crosswalk(ce, v.school_districts(), "high_school")
 
 
 def _logit(v: Views, age: str):
@@ -94,9 +95,9 @@ QUERIES = {
     "null_audit": lambda v: enrolment.null_audit(v.ce()),
     "grad_year_funnel": lambda v: enrolment.grad_year_funnel(v.ce(), 1994, 1998, ORDER),
     "roster_distinct": lambda v: enrolment.roster_distinct(
-        v.ce_full(), ["sid", "last_name", "birth_date"]
+        v.ce_full("sid", "last_name", "birth_date"), ["sid", "last_name", "birth_date"]
     ),
-    "term_bounds": lambda v: enrolment.term_bounds(v.ce()),
+    "term_bounds": lambda v: enrolment.term_bounds(v.ce("term")),
     "student_rollup": lambda v: _r6(v.rollup(), "ce_gpa"),
     "age_at_event": lambda v: v.students(),
     "age_frequency": lambda v: enrolment.age_frequency(v.students()),
@@ -115,11 +116,11 @@ QUERIES = {
     "outcome_share_current": lambda v: enrolment.outcome_share(
         enrolment.adults(v.students("enrolled_after"))
     ).withColumn("freq_label", percent_label("freq")),
-    "term_volume": lambda v: enrolment.term_volume(v.ce(), 199520),
-    "term_headcount": lambda v: enrolment.term_headcount(v.ce(), 199520),
-    "mean_course_load": lambda v: enrolment.mean_course_load(v.ce(), 199520),
-    "course_count_dist": lambda v: enrolment.course_count_dist(v.ce()),
-    "overall_mean_load": lambda v: enrolment.overall_mean_load(v.ce(), 199620),
+    "term_volume": lambda v: enrolment.term_volume(v.ce("term"), 199520),
+    "term_headcount": lambda v: enrolment.term_headcount(v.ce("sid", "term"), 199520),
+    "mean_course_load": lambda v: enrolment.mean_course_load(v.ce("sid", "term"), 199520),
+    "course_count_dist": lambda v: enrolment.course_count_dist(v.ce("sid")),
+    "overall_mean_load": lambda v: enrolment.overall_mean_load(v.ce("sid", "term"), 199620),
     "logit_outcome": lambda v: _logit(v, "age_last_term"),
     "logit_outcome_current": lambda v: _logit(v, "age_current"),
     "outcome_by_load": lambda v: enrolment.outcome_by_load(
@@ -144,7 +145,7 @@ QUERIES = {
     "subset_outcome_by_course": lambda v: enrolment.subset_outcome(
         v.courses(), "PROMO", v.as_of(), ["enroll_id", "section", "course_no"], "course_no"
     ),
-    "age_share_slice": lambda v: enrolment.age_share_slice(v.ce(), 3, 5),
+    "age_share_slice": lambda v: enrolment.age_share_slice(v.ce("age_first_day"), 3, 5),
     "person_lookup": lambda v: enrolment.person_lookup(
         v.ce(), "sid", 17, ["sid", "enroll_id", "term", "enrolled_after", "age_first_day"]
     ),
@@ -158,17 +159,17 @@ QUERIES = {
         v.all_spells(), TARGET, 19970501, 19970731, 199730
     ),
     "unmatched_left": lambda v: linkage.unmatched(
-        v.ce().select("sid", "term", "enroll_id"), v.spells()
+        v.ce("sid", "term", "enroll_id"), v.spells()
     ),
     "unmatched_right": lambda v: linkage.unmatched(
         v.spells().select("sid", "term", "college"), v.ce()
     ),
     "stack_sources": lambda v: linkage.stack(
-        enrollments=v.ce().select("sid", "term", "final_grade"),
+        enrollments=v.ce("sid", "term", "final_grade"),
         spells=v.spells().select("sid", "term", "college"),
     ),
     "linked_term": lambda v: linkage.linked_term(
-        v.ce().select("sid", "term", "enroll_id"), v.spells().select("sid", "term", "college")
+        v.ce("sid", "term", "enroll_id"), v.spells().select("sid", "term", "college")
     ),
     "linked_spells": lambda v: _r6(
         v.linked("num_ce", "ce_gpa", "max_ce_term", "enrolled_after", "gender").select(
@@ -200,7 +201,7 @@ QUERIES = {
     "no_record_export": lambda v: linkage.no_record_export(
         v.all_spells().select("sid", "record_found", "graduated"), v.ce()
     ),
-    "id_by_student": lambda v: linkage.id_by_student(v.ce()),
+    "id_by_student": lambda v: linkage.id_by_student(v.ce("sid", "inst_id")),
     "spell_kind": lambda v: linkage.spell_kind(v.all_spells()).select(
         "sid", "begin_ymd", "con_college", "college_label"
     ),
@@ -287,45 +288,47 @@ QUERIES = {
     ),
     "destination_share_top": lambda v: cohorts.destination_share_top(_cohorts(v)),
     # schools
-    "school_student_counts": lambda v: schools.school_student_counts(v.ce_full(), 199540),
-    "campus_student_counts": lambda v: schools.school_student_counts(v.ce_full(), 199540, "campus"),
-    "school_headcount_top": lambda v: schools.school_headcount_top(v.ce_full(), 199520, SUMMERS),
+    "school_student_counts": lambda v: schools.school_student_counts(v.ce_full("sid", "term", "high_school"), 199540),
+    "campus_student_counts": lambda v: schools.school_student_counts(v.ce_full("sid", "term", "campus"), 199540, "campus"),
+    "school_headcount_top": lambda v: schools.school_headcount_top(v.ce_full("sid", "term", "high_school"), 199520, SUMMERS),
     "campus_headcount_top": lambda v: schools.school_headcount_top(
-        v.ce_full(), 199520, SUMMERS, school="campus"
+        v.ce_full("sid", "term", "campus"), 199520, SUMMERS, school="campus"
     ),
     "school_share_top": lambda v: schools.school_share_top(
-        v.ce_full(), v.school_districts(), 20, after=199540, without=SUMMERS
+        v.ce_full("sid", "term", "high_school"), v.school_districts(), 20, after=199540, without=SUMMERS
     ),
     "school_share_top_terms": lambda v: schools.school_share_top(
-        v.ce_full(), v.school_districts(), 20, terms=[199640, 199720]
+        v.ce_full("sid", "term", "high_school"), v.school_districts(), 20, terms=[199640, 199720]
     ),
     "campus_share_top": lambda v: schools.school_share_top(
-        v.ce_full(), v.campus_districts(), 10, "campus", after=199540, without=SUMMERS,
+        v.ce_full("sid", "term", "campus"), v.campus_districts(), 10, "campus", after=199540, without=SUMMERS,
         keep_missing=True,
     ),
     "campus_share_top_whole": lambda v: schools.school_share_top(
-        v.ce_full(), v.campus_districts(), 20, "campus", terms=[199640, 199720], digits=0
+        v.ce_full("sid", "term", "campus"), v.campus_districts(), 20, "campus", terms=[199640, 199720], digits=0
     ),
     "school_names": lambda v: schools.school_names(
-        v.ce_full().withColumn("high_school", F.concat("high_school", F.lit(" High School"))),
+        v.ce_full("high_school").withColumn("high_school", F.concat("high_school", F.lit(" High School"))),
         ["NATION_4 High School"], "high school",
     ),
     "crosswalk_attach": lambda v: _ce_district(v).select("sid", "enroll_id", "high_school", "district"),
     "district_share": lambda v: schools.district_share(_ce_district(v), 199540, SUMMERS),
     "district_overall": lambda v: schools.district_overall(_ce_district(v)),
-    "campus_overall_top": lambda v: schools.campus_overall_top(v.ce_full(), v.campus_districts(), 20),
-    "missing_school_audit": lambda v: schools.missing_school_audit(v.ce_full(), 199520),
-    "campus_list": lambda v: schools.campus_list(v.ce_full()),
-    "group_max_attach": lambda v: schools.group_max_attach(v.ce().select("sid", "enroll_id", "term")),
+    "campus_overall_top": lambda v: schools.campus_overall_top(v.ce_full("campus"), v.campus_districts(), 20),
+    "missing_school_audit": lambda v: schools.missing_school_audit(v.ce_full("term", "high_school"), 199520),
+    "campus_list": lambda v: schools.campus_list(v.ce_full("campus")),
+    "group_max_attach": lambda v: schools.group_max_attach(v.ce("sid", "enroll_id", "term")),
     # demographics
-    "gender_share": lambda v: demographics.gender_share(v.ce(), 199540),
-    "gender_share_by_year": lambda v: demographics.gender_share(v.ce(), 199540, "course_year"),
-    "load_by_gender": lambda v: _r6(demographics.load_by_group(v.ce()), "avg_courses", "sd"),
+    "gender_share": lambda v: demographics.gender_share(v.ce("sid", "term", "gender"), 199540),
+    "gender_share_by_year": lambda v: demographics.gender_share(v.ce("sid", "term", "gender"), 199540, "course_year"),
+    "load_by_gender": lambda v: _r6(demographics.load_by_group(v.ce("sid", "gender")), "avg_courses", "sd"),
     "load_by_ethnicity": lambda v: _r6(
-        demographics.load_by_group(v.ce_full(), "ethnicity", ["FURNITURE"]), "avg_courses", "sd"
+        demographics.load_by_group(
+            v.ce_full("sid", "ethnicity"), "ethnicity", ["FURNITURE"]
+        ), "avg_courses", "sd"
     ),
-    "race_by_term": lambda v: demographics.race_by_term(v.ce_full(), 199540),
-    "race_share": lambda v: demographics.race_share(v.ce_full(), 199540, ["FURNITURE"]),
+    "race_by_term": lambda v: demographics.race_by_term(v.ce_full("sid", "term", "ethnicity"), 199540),
+    "race_share": lambda v: demographics.race_share(v.ce_full("sid", "term", "ethnicity"), 199540, ["FURNITURE"]),
     "race_by_district": lambda v: demographics.race_by_district(_ce_district(v), "district", "ethnicity"),
     "district_by_race": lambda v: demographics.race_by_district(
         _ce_district(v), "ethnicity", "district", only="BUILDING"
@@ -333,29 +336,29 @@ QUERIES = {
     "district_by_race_hidden": lambda v: demographics.race_by_district(
         _ce_district(v), "ethnicity", "district", without=["FURNITURE"], hidden=["ASIA", "EUROPE"]
     ),
-    "zip_counts_top": lambda v: demographics.zip_counts_top(v.ce_full(), 199540),
-    "zip_region_top": lambda v: demographics.zip_region_top(v.ce_full(), ORDER, 15, after=199540),
+    "zip_counts_top": lambda v: demographics.zip_counts_top(v.ce_full("sid", "term", "zip5"), 199540),
+    "zip_region_top": lambda v: demographics.zip_region_top(v.ce_full("sid", "enroll_id", "term", "zip5", "region", "city"), ORDER, 15, after=199540),
     "zip_region_share_top": lambda v: demographics.zip_region_top(
-        v.ce_full(), ORDER, 15, after=199540, with_share=True
+        v.ce_full("sid", "enroll_id", "term", "zip5", "region", "city"), ORDER, 15, after=199540, with_share=True
     ),
     "zip_region_share_top_by_term": lambda v: demographics.zip_region_top(
-        v.ce_full(), ORDER, 15, terms=[199640, 199720], with_share=True, by_term=True
+        v.ce_full("sid", "enroll_id", "term", "zip5", "region", "city"), ORDER, 15, terms=[199640, 199720], with_share=True, by_term=True
     ),
-    "pell_counts": lambda v: demographics.indicator_counts(v.ce_full(), "pell_eligible"),
-    "firstgen_counts": lambda v: demographics.indicator_counts(v.ce_full(), "first_generation"),
+    "pell_counts": lambda v: demographics.indicator_counts(v.ce_full("pell_eligible"), "pell_eligible"),
+    "firstgen_counts": lambda v: demographics.indicator_counts(v.ce_full("first_generation"), "first_generation"),
     # operators not reached by name above
     "is_duplicate": lambda v: op.is_duplicate(
-        v.ce().select("sid", "enroll_id", "term"), ["sid"], ["term", "enroll_id"], null_safe=False
+        v.ce("sid", "enroll_id", "term"), ["sid"], ["term", "enroll_id"]
     ),
-    "frequency_table": lambda v: op.freq(v.ce(), "hs_grad_year"),
+    "frequency_table": lambda v: op.freq(v.ce("hs_grad_year"), "hs_grad_year"),
     "fill_where": lambda v: op.fill_where(
-        v.ce().select("enroll_id", "ever_nonconcurrent"), "ever_nonconcurrent",
+        v.ce("enroll_id", "ever_nonconcurrent"), "ever_nonconcurrent",
         F.col("ever_nonconcurrent").isNull(), "N",
     ),
     "drop_incomplete": lambda v: op.drop_incomplete(
-        v.ce().select("enroll_id", "hs_grad_year", "ever_nonconcurrent")
+        v.ce("enroll_id", "hs_grad_year", "ever_nonconcurrent")
     ),
-    "labels": lambda v: v.ce().select(
+    "labels": lambda v: v.ce("enroll_id", "term", "ever_nonconcurrent", "inst_id").select(
         "enroll_id",
         label("term", "ever_nonconcurrent", sep="").alias("term_key"),
         strip_suffix("inst_id", "b").alias("bare_id"),

@@ -21,6 +21,89 @@ GRADES = {
 }
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
+def _letter():
+    letter = F.when(F.lit(False), "")
+    for value, grade in GRADES.items():
+        letter = letter.when(F.col("o_orderpriority") == value, grade)
+    return letter
+
+
+def _birth():
+    sid = F.col("o_custkey")
+    return F.make_date(
+        (1978 + sid % 5).cast("int"), (1 + sid % 12).cast("int"), (1 + sid * 7 % 28).cast("int")
+    )
+
+
+def _address():
+    code = (F.lit(84000) + F.col("c_nationkey")).cast("string")
+    return F.when(F.col("n_name") == "NATION_11", "unknown").otherwise(F.concat(code, F.lit("-1234")))
+
+
+def _day():
+    return F.to_date("o_orderdate")
+
+
+# Roles of order columns in an enrolment, built when asked for.
+ENROLMENT = {
+    "sid": lambda: F.col("o_custkey"),
+    "enroll_id": lambda: F.col("o_orderkey"),
+    "term": lambda: term_of_date(_day()),
+    "hs_grad_year": lambda: F.nullif(F.year(_day()), F.lit(1996)),
+    "enrolled_after": lambda: F.translate("o_orderstatus", "FOP", "NUY"),
+    "ever_nonconcurrent": lambda: F.when(
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Y"
+    ).when(F.col("o_orderpriority") != "5-LOW", "N"),
+    "within_one_year": lambda: F.when(F.col("o_totalprice") > 250000, "Y").otherwise("N"),
+    "final_grade": _letter,
+    "grade_num": lambda: grade_points(_letter()),
+    "gender": lambda: F.when(F.col("o_orderstatus") == "F", "Female")
+    .when(F.col("o_orderstatus") == "O", "Male")
+    .otherwise("Unknown"),
+    "birth_date": _birth,
+    "age_first_day": lambda: age_years(_birth(), _day()),
+    "inst_id": lambda: F.concat(F.lit("B"), F.col("o_custkey").cast("string")),
+}
+# Roles of customer, nation and region columns.
+STUDENT = {
+    "ethnicity": lambda: F.col("c_mktsegment"),
+    "last_name": lambda: F.col("c_name"),
+    "pell_eligible": lambda: F.when(F.col("c_acctbal") > 5000, "Y").otherwise("N"),
+    "first_generation": lambda: F.when(F.col("c_acctbal") < 0, None)
+    .when(F.col("c_acctbal") < 2000, "Y")
+    .otherwise("N"),
+    "high_school": lambda: F.nullif(F.col("n_name"), F.lit("NATION_7")),
+    "campus": lambda: F.col("n_name"),
+    "address_zip": _address,
+    "zip5": lambda: zip5(_address()),
+    "region": lambda: F.col("r_name"),
+    "city": lambda: F.col("n_name"),
+}
+PLACES = ("high_school", "campus", "address_zip", "zip5", "region", "city")
+# What a rollup column is made from.
+ROLLED = {
+    "num_ce": (), "max_ce_term": ("term",), "ce_gpa": ("grade_num",),
+    "enrolled_after": ("enrolled_after",), "gender": ("gender",), "ethnicity": ("ethnicity",),
+    "birth_date": ("birth_date",),
+}
+
+
 class Views:
     """The roles over one data folder."""
 
@@ -29,7 +112,7 @@ class Views:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
     def as_of(self):
         return F.lit(AS_OF).cast("date")
@@ -39,66 +122,24 @@ class Views:
             F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
         )
 
-    @staticmethod
-    def _enrolment_columns():
-        sid, day = F.col("o_custkey"), F.to_date("o_orderdate")
-        priority = F.col("o_orderpriority")
-        letter = F.when(F.lit(False), "")
-        for value, grade in GRADES.items():
-            letter = letter.when(priority == value, grade)
-        birth = F.make_date(
-            (1978 + sid % 5).cast("int"), (1 + sid % 12).cast("int"), (1 + sid * 7 % 28).cast("int")
-        )
-        status = F.col("o_orderstatus")
-        return {
-            "sid": sid,
-            "enroll_id": F.col("o_orderkey"),
-            "term": term_of_date(day),
-            "hs_grad_year": F.nullif(F.year(day), F.lit(1996)),
-            "enrolled_after": F.translate("o_orderstatus", "FOP", "NUY"),
-            "ever_nonconcurrent": F.when(priority.isin("1-URGENT", "2-HIGH"), "Y").when(
-                priority != "5-LOW", "N"
-            ),
-            "within_one_year": F.when(F.col("o_totalprice") > 250000, "Y").otherwise("N"),
-            "final_grade": letter,
-            "grade_num": grade_points(letter),
-            "gender": F.when(status == "F", "Female").when(status == "O", "Male").otherwise("Unknown"),
-            "birth_date": birth,
-            "age_first_day": age_years(birth, day),
-            "inst_id": F.concat(F.lit("B"), sid.cast("string")),
-        }
-
-    def ce(self) -> DataFrame:
+    def ce(self, *columns: str) -> DataFrame:
         """Enrolments from orders alone."""
-        columns = self._enrolment_columns()
-        return self._early_orders().select(*[c.alias(name) for name, c in columns.items()])
+        return self._early_orders().select(
+            *[ENROLMENT[name]().alias(name) for name in columns or ENROLMENT]
+        )
 
-    def ce_full(self) -> DataFrame:
+    def ce_full(self, *columns: str) -> DataFrame:
         """Enrolments with student attributes, school, campus, zip, indicators."""
-        ce = self.ce()
-        return (
-            ce.join(self.table("customer"), F.col("sid") == F.col("c_custkey"))
-            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                *ce.columns,
-                F.col("c_mktsegment").alias("ethnicity"),
-                F.col("c_name").alias("last_name"),
-                F.nullif(F.col("n_name"), F.lit("NATION_7")).alias("high_school"),
-                F.col("n_name").alias("campus"),
-                F.when(F.col("n_name") == "NATION_11", "unknown")
-                .otherwise(F.concat((F.lit(84000) + F.col("c_nationkey")).cast("string"), F.lit("-1234")))
-                .alias("address_zip"),
-                F.col("r_name").alias("region"),
-                F.col("n_name").alias("city"),
-                F.when(F.col("c_acctbal") > 5000, "Y").otherwise("N").alias("pell_eligible"),
-                F.when(F.col("c_acctbal") < 0, None)
-                .when(F.col("c_acctbal") < 2000, "Y")
-                .otherwise("N")
-                .alias("first_generation"),
-            )
-            .withColumn("zip5", zip5("address_zip"))
+        wanted = columns or (*ENROLMENT, *STUDENT)
+        roles = {**ENROLMENT, **STUDENT}
+        joined = self._early_orders().join(
+            self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
         )
+        if any(name in PLACES for name in wanted):
+            joined = joined.join(
+                self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+            ).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return joined.select(*[roles[name]().alias(name) for name in wanted])
 
     def school_districts(self) -> DataFrame:
         """Checked crosswalk school -> district; two schools are not in it."""
@@ -119,7 +160,7 @@ class Views:
         """Course enrolments: line items of the early orders."""
         part = self.table("part").select("p_partkey", "p_type", "p_brand")
         line = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-        ce = self.ce().select(
+        ce = self.ce(
             "sid", "enroll_id", "term", "enrolled_after", "birth_date", "final_grade", "grade_num"
         )
         return (
@@ -163,7 +204,8 @@ class Views:
         return linkage.completions(self.all_spells(), keep=False)
 
     def rollup(self, *columns: str) -> DataFrame:
-        ce = self.ce_full() if not columns or "ethnicity" in columns else self.ce()
+        needed = ["sid", *(c for name in columns or ROLLED for c in ROLLED[name])]
+        ce = self.ce_full(*needed) if "ethnicity" in needed else self.ce(*needed)
         return enrolment.student_rollup(ce, *columns)
 
     def students(self, *columns: str) -> DataFrame:
@@ -189,4 +231,4 @@ class Views:
         )
 
     def zips(self) -> DataFrame:
-        return linkage.student_zip(self.ce_full(), ["enroll_id"])
+        return linkage.student_zip(self.ce_full("sid", "enroll_id", "address_zip"), ["enroll_id"])

@@ -25,8 +25,10 @@ def left_join(
 ) -> DataFrame:
     """Left join in which two missing keys match; right columns that collide get a suffix.
 
-    ``null_safe`` may name the keys it is needed for. A key that is never missing on one side can be
-    left out: the result is the same and plain equality reuses an existing partitioning on the key.
+    A null-safe key also gives each side a shuffle of its own, so that Spark can split a hot key of
+    the left side at run time even where the right side is an aggregate on that key. Where both sides
+    hold one row per key and the key is never missing, ``null_safe=False`` gives the same result and
+    reuses the aggregates' partitioning; a list names the keys that need null-safety.
     """
     on = list(on)
     others = [c for c in right.columns if c not in on]

@@ -42,14 +42,25 @@ def _reversed(c: Column, dtype: T.DataType) -> Column | None:
     return None
 
 
-def sort_key(df: DataFrame, order_by: Sequence[str]) -> Column | None:
-    """One comparable struct for the whole order, smallest first; None if a text sorts descending."""
+def sort_key(
+    df: DataFrame, order_by: Sequence[str], carry: Sequence[str] = ()
+) -> Column | None:
+    """One comparable struct for the whole order, smallest first; None if a text sorts descending.
+
+    It also holds the columns to ``carry``, under their names; those the order does not determine
+    come last and settle ties.
+    """
     parts: list[Column] = []
-    for name, desc in _parse(order_by):
+    held = set()
+    for i, (name, desc) in enumerate(_parse(order_by)):
         value = F.col(name)
+        parts.append(F.isnull(value).alias(f"_missing_{i}"))
         if desc:
             value = _reversed(value, df.schema[name].dataType)
             if value is None:
                 return None
-        parts += [F.isnull(F.col(name)), value]
-    return F.struct(*parts)
+            parts.append(value.alias(f"_order_{i}"))
+        else:
+            parts.append(value.alias(name))
+            held.add(name)
+    return F.struct(*parts, *[F.col(c) for c in carry if c not in held])

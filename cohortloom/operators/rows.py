@@ -17,20 +17,20 @@ def first_row(
     order_by: Sequence[str],
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The first row of each key in the given order.
+    """The first row of each key in the given order; the other columns settle ties, in their order.
 
-    An aggregate rather than a ranked window: every map task already reduces each key to one
-    candidate, so an entity with a third of all rows never gathers in one task. Name the ``columns``
-    needed later, so that the others are not read.
+    A minimum over (order, columns) rather than a ranked window: every map task already reduces each
+    key to one candidate, so an entity with a third of all rows never gathers in one task. Name the
+    ``columns`` needed later, so that the others are not read.
     """
     keys = list(keys)
     payload = [c for c in (columns or df.columns) if c not in keys]
     if not payload:
         return df.select(*keys).distinct()
-    key = sort_key(df, order_by)
-    if key is None:
-        return top_k(df, 1, order_by, within=keys).select(*keys, *payload)
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*payload), key).alias("_first"))
+    row = sort_key(df, order_by, carry=payload)
+    if row is None:  # descending text has no such minimum
+        return top_k(df, 1, [*order_by, *payload], within=keys).select(*keys, *payload)
+    picked = df.groupBy(*keys).agg(F.min(row).alias("_first"))
     return picked.select(*keys, *[F.col("_first")[c].alias(c) for c in payload])
 
 

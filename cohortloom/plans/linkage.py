@@ -48,7 +48,7 @@ def linked_term(ce: DataFrame, spells: DataFrame) -> DataFrame:
 
 def linked_spells(spells: DataFrame, rollup: DataFrame) -> DataFrame:
     """Spells with their student's rollup."""
-    return left_join(spells, rollup, ["sid"], null_safe=False)
+    return left_join(spells, rollup, ["sid"])
 
 
 def spells_after(linked: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def linked_without_prior(linked: DataFrame, college: str) -> DataFrame:
 
 def max_term_attach(spells: DataFrame) -> DataFrame:
     """Every spell with the student's last term; undated spells do not count towards it."""
-    return with_group_max(spells, ["sid"], "term", "max_term", null_safe=False)
+    return with_group_max(spells, ["sid"], "term", "max_term")
 
 
 def id_by_student(ce: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def id_by_student(ce: DataFrame) -> DataFrame:
 def no_record_export(spells: DataFrame, ce: DataFrame) -> DataFrame:
     """Spell rows without a record, with the institutional id, for export."""
     missing = spells.filter(F.col("record_found") == "N")
-    return left_join(missing, id_by_student(ce), ["sid"], null_safe=False)
+    return left_join(missing, id_by_student(ce), ["sid"])
 
 
 def spell_kind(spells: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def student_zip(ce: DataFrame, order_by: Sequence[str], raw: str = "address_zip"
 
 
 def with_zip(df: DataFrame, zips: DataFrame) -> DataFrame:
-    return left_join(df, zips, ["sid"], null_safe=False)
+    return left_join(df, zips, ["sid"])
 
 
 def stack(**frames: DataFrame) -> DataFrame:

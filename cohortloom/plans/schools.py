@@ -98,4 +98,4 @@ def campus_list(ce: DataFrame, campus: str = "campus") -> DataFrame:
 
 def group_max_attach(ce: DataFrame) -> DataFrame:
     """Every enrolment with the student's last term."""
-    return with_group_max(ce, ["sid"], "term", "max_ce_term", null_safe=False)
+    return with_group_max(ce, ["sid"], "term", "max_ce_term")
