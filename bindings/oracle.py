@@ -223,9 +223,9 @@ def _capped(at: int) -> str:
     )
 
 
-def _logit(age: str) -> str:
+def _newton(age: str) -> str:
     """Newton's method on the counts by (x, y), started where every probability is one half."""
-    steps = f"""
+    return f"""
         pts AS (SELECT CAST(num_ce AS DOUBLE) AS x, CASE outcome WHEN 'Y' THEN 1.0::DOUBLE ELSE 0 END AS y,
                        CAST(count(*) AS DOUBLE) AS w
                 FROM students WHERE {age} >= 18 AND outcome IS NOT NULL GROUP BY 1, 2),
@@ -240,7 +240,11 @@ def _logit(age: str) -> str:
                   FROM (SELECT newton.*, pts.*, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM newton, pts
                         WHERE k < 25) GROUP BY k, b0, b1)),
         fit AS (SELECT b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS p, x, y, w
-                FROM (SELECT * FROM newton WHERE k = 25), pts),
+                FROM (SELECT * FROM newton WHERE k = 25), pts)"""
+
+
+def _logit(age: str) -> str:
+    steps = _newton(age) + """,
         total AS (
             SELECT b0, b1, sum(w * p * (1 - p)) AS i00, sum(w * p * (1 - p) * x) AS i01,
                    sum(w * p * (1 - p) * x * x) AS i11, sum(w) AS n, sum(w * y) / sum(w) AS ybar,
@@ -258,6 +262,20 @@ def _logit(age: str) -> str:
     )
 
 
+def _logit_residuals(age: str) -> str:
+    quantile = ", ".join(
+        f"round(quantile_cont(r, {p}), 6) AS {name}"
+        for name, p in (('"min"', 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ('"max"', 1))
+    )
+    return with_common(
+        f"""SELECT count(*) AS n, {quantile}
+            FROM (SELECT CASE y WHEN 1 THEN sqrt(-2 * ln(p)) ELSE -sqrt(-2 * ln(1 - p)) END AS r
+                  FROM fit JOIN students ON num_ce = x AND y = CASE outcome WHEN 'Y' THEN 1 ELSE 0 END
+                  WHERE {age} >= 18)""",
+        _newton(age),
+    )
+
+
 def _loess(at: int) -> str:
     return with_common(f"""
         SELECT g AS grid_id, round(x, 6) AS x,
@@ -493,6 +511,7 @@ ORACLE = {
     ),
     "logit_outcome": _logit("age_last_term"),
     "logit_outcome_current": _logit("age_current"),
+    "logit_residuals": _logit_residuals("age_last_term"),
     "outcome_by_load": with_common(_BY_LOAD),
     "outcome_by_load_capped": with_common(_capped(8)),
     "outcome_by_load_capped_yes": with_common(f"SELECT * FROM ({_capped(8)}) WHERE outcome = 'Y'"),
@@ -707,6 +726,19 @@ ORACLE = {
         "SELECT DISTINCT high_school || ' ' AS school FROM ce_full WHERE high_school <> 'NATION_4'"
     ),
     "crosswalk_attach": with_common("SELECT sid, enroll_id, high_school, district FROM ce_full"),
+    "crosswalk_attach_campus": with_common("""
+        SELECT sid, enroll_id, campus, r_name AS district FROM ce_full
+        LEFT JOIN nation ON campus = n_name LEFT JOIN region ON n_regionkey = r_regionkey"""),
+    "crosswalk_attach_zip": with_common("""
+        SELECT sid, enroll_id, zip5, n_name AS city, r_name AS region FROM (
+            SELECT sid, enroll_id, zip5 FROM ce_full)
+        LEFT JOIN nation ON zip5 = 84000 + n_nationkey AND n_nationkey < 20
+        LEFT JOIN region ON n_regionkey = r_regionkey"""),
+    "campus_district_share": with_common(_share(
+        "SELECT term, region AS district, count(DISTINCT sid) AS n FROM ce_full "
+        f"WHERE term > 199540 AND term NOT IN ({SUMMERS}) GROUP BY ALL",
+        "pc", "term", 100, 1,
+    )),
     "district_share": with_common(_share(
         _heads("district", f"term > 199540 AND term NOT IN ({SUMMERS}) AND district IS NOT NULL"),
         "pc", "term", 100, 1,

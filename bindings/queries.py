@@ -47,11 +47,14 @@ def _ce_district(v: Views):
     return op.attach_crosswalk(ce, v.school_districts(), "high_school")
 
 
-def _logit(v: Views, age: str):
-    students = enrolment.adults(
+def _fitted(v: Views, age: str):
+    return enrolment.adults(
         enrolment.with_outcome(v.students("num_ce", "enrolled_after")), age
-    ).withColumn("after", flag01("outcome"))
-    fit = op.logit_summary(students, "after", ["num_ce"])
+    ).select(flag01("outcome").alias("after"), "num_ce")
+
+
+def _logit(v: Views, age: str):
+    fit = op.logit_summary(_fitted(v, age), "after", ["num_ce"])
     return _r6(
         fit.select(
             "term", "estimate", "std_error", "z", "null_deviance", "null_df",
@@ -123,6 +126,10 @@ QUERIES = {
     "overall_mean_load": lambda v: enrolment.overall_mean_load(v.ce("sid", "term"), 199620),
     "logit_outcome": lambda v: _logit(v, "age_last_term"),
     "logit_outcome_current": lambda v: _logit(v, "age_current"),
+    "logit_residuals": lambda v: _r6(
+        op.logit_residuals(_fitted(v, "age_last_term"), "after", ["num_ce"]),
+        "min", "q1", "median", "q3", "max",
+    ),
     "outcome_by_load": lambda v: enrolment.outcome_by_load(
         enrolment.adults(v.students("num_ce", "enrolled_after"))
     ),
@@ -312,6 +319,16 @@ QUERIES = {
         ["NATION_4 High School"], "high school",
     ),
     "crosswalk_attach": lambda v: _ce_district(v).select("sid", "enroll_id", "high_school", "district"),
+    "crosswalk_attach_campus": lambda v: op.attach_crosswalk(
+        v.ce_full("sid", "enroll_id", "campus"), v.campus_districts(), "campus"
+    ),
+    "crosswalk_attach_zip": lambda v: op.attach_crosswalk(
+        v.ce_full("sid", "enroll_id", "zip5"), v.zip_places(), "zip5"
+    ),
+    "campus_district_share": lambda v: schools.district_share(
+        op.attach_crosswalk(v.ce_full("sid", "term", "campus"), v.campus_districts(), "campus"),
+        199540, SUMMERS,
+    ),
     "district_share": lambda v: schools.district_share(_ce_district(v), 199540, SUMMERS),
     "district_overall": lambda v: schools.district_overall(_ce_district(v)),
     "campus_overall_top": lambda v: schools.campus_overall_top(v.ce_full("campus"), v.campus_districts(), 20),

@@ -148,6 +148,20 @@ class Views:
     def campus_districts(self) -> DataFrame:
         return self._nation_region("campus")
 
+    def zip_places(self) -> DataFrame:
+        """Checked crosswalk zip -> city, region; some zips are not in it."""
+        places = (
+            self.table("nation")
+            .filter(F.col("n_nationkey") < 20)
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(
+                (F.lit(84000) + F.col("n_nationkey")).cast("double").alias("zip5"),
+                F.col("n_name").alias("city"),
+                F.col("r_name").alias("region"),
+            )
+        )
+        return crosswalk(places, "zip5", "city", "region")
+
     def _nation_region(self, key: str) -> DataFrame:
         pairs = (
             self.table("nation")
@@ -183,10 +197,11 @@ class Views:
         day = F.to_date("l_shipdate")
         ymd = F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
         done = F.col("l_linestatus") == "O"
+        # The college comes before the student: filters on it then shrink the join with orders.
         return (
-            line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            line.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 "sid",
                 F.when(none, "").otherwise(F.col("n_name")).alias("college"),

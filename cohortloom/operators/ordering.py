@@ -19,10 +19,6 @@ def _parse(order_by: Sequence[str]) -> list[tuple[str, bool]]:
     return [(o.lstrip("-"), o.startswith("-")) for o in order_by]
 
 
-def order_names(order_by: Sequence[str]) -> list[str]:
-    return [name for name, _ in _parse(order_by)]
-
-
 def sort_columns(order_by: Sequence[str]) -> list[Column]:
     return [
         F.col(name).desc_nulls_last() if desc else F.col(name).asc_nulls_last()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import left_join
-from .ordering import order_names, sort_columns, sort_key
+from .ordering import sort_columns, sort_key
 
 
 def first_row(
@@ -106,8 +106,3 @@ def with_group_max(
     keys = list(keys)
     return left_join(df, df.groupBy(*keys).agg(F.max(value).alias(name)), keys, null_safe)
 
-
-__all__ = [
-    "first_event", "first_row", "is_duplicate", "last_event", "order_names", "slice_range",
-    "top_k", "with_group_max", "with_sort_rank",
-]

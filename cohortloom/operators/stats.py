@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .quantiles import ACCURACY, order_statistics
+from .quantiles import ACCURACY, order_statistics, quantiles
 
 
 def _student_t():
@@ -138,15 +138,8 @@ def t_test(
     )
 
 
-def logit_summary(
-    df: DataFrame, outcome: str, predictors: list[str], max_iter: int = 25, tol: float = 1e-10
-) -> DataFrame:
-    """Binomial-logit fit: one row per coefficient, the intercept first.
-
-    Rows are first counted by their distinct (outcome, predictors) values and the fit weights those
-    counts: the iterations then run over the value combinations, not over the entities. The counts
-    are checkpointed, since every iteration reads them again. Rows with a missing value are left out.
-    """
+def _logit_fit(df: DataFrame, outcome: str, predictors: list[str], max_iter: int, tol: float):
+    """Fitted model and the weighted points it was fitted to."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
@@ -162,6 +155,19 @@ def logit_summary(
         family="binomial", link="logit", featuresCol="_x", labelCol=outcome, weightCol="_weight",
         maxIter=max_iter, tol=tol,
     ).fit(points)
+    return model, points
+
+
+def logit_summary(
+    df: DataFrame, outcome: str, predictors: list[str], max_iter: int = 25, tol: float = 1e-10
+) -> DataFrame:
+    """Binomial-logit fit: one row per coefficient, the intercept first.
+
+    Rows are first counted by their distinct (outcome, predictors) values and the fit weights those
+    counts: the iterations then run over the value combinations, not over the entities. The counts
+    are checkpointed, since every iteration reads them again. Rows with a missing value are left out.
+    """
+    model, points = _logit_fit(df, outcome, predictors, max_iter, tol)
     fit = model.summary
     total = points.agg(F.sum("_weight")).first()[0]
     order = [len(predictors), *range(len(predictors))]  # the summary lists the intercept last
@@ -190,6 +196,23 @@ def logit_summary(
     )
 
 
+def logit_residuals(
+    df: DataFrame, outcome: str, predictors: list[str], max_iter: int = 25, tol: float = 1e-10
+) -> DataFrame:
+    """Five-number summary of the deviance residuals of the same fit: one row."""
+    model, _ = _logit_fit(df, outcome, predictors, max_iter, tol)
+    columns = [F.col(c).cast("double") for c in (outcome, *predictors)]
+    y, linear = columns[0], F.lit(float(model.intercept))
+    for weight, x in zip(model.coefficients, columns[1:], strict=True):
+        linear = linear + F.lit(float(weight)) * x
+    p = 1 / (1 + F.exp(-linear))
+    size = F.sqrt(-2 * F.log(F.when(y == 1, p).otherwise(1 - p)))
+    residual = F.when(y == 1, size).otherwise(-size)
+    known = df.na.drop("any", subset=[outcome, *predictors])
+    probs = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    return quantiles(cut_lineage(known.select(residual.alias("residual"))), [], "residual", probs)
+
+
 def loess(
     df: DataFrame,
     x: str,

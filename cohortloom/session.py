@@ -16,10 +16,23 @@ SQL_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings above; sizes and partition counts stay with the cluster."""
+# A shuffle partition should fit in the memory of one task.
+PARTITION_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 100_000
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the SQL settings above.
+
+    Given the size of the inputs, also start shuffles with enough partitions for them; small ones
+    are merged at run time. Without it the partition count stays as the session has it.
+    """
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes is not None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = min(max(least, -(-input_bytes // PARTITION_BYTES)), MOST_PARTITIONS)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 
@@ -46,7 +59,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -1,11 +1,11 @@
 """Typed reading of the input files, delimited export, checked lookups."""
 
-from .crosswalks import crosswalk
+from .crosswalks import crosswalk, read_crosswalk
 from .readers import prepare_enrollments, prepare_spells, read_enrollments, read_spells
 from .schemas import ENROLLMENTS, ENROLLMENTS_V2, SPELLS
 from .writers import write_delimited
 
 __all__ = [
     "ENROLLMENTS", "ENROLLMENTS_V2", "SPELLS", "crosswalk", "prepare_enrollments",
-    "prepare_spells", "read_enrollments", "read_spells", "write_delimited",
+    "prepare_spells", "read_crosswalk", "read_enrollments", "read_spells", "write_delimited",
 ]

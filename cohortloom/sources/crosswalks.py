@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def read_crosswalk(
+    spark: SparkSession, path: str, key: str, *values: str, sep: str = ","
+) -> DataFrame:
+    """A checked lookup from delimited text with a header."""
+    raw = spark.read.csv(path, sep=sep, header=True, nullValue="NA", quote='"', escape='"')
+    return crosswalk(raw.select(key, *values), key, *values)
+
+
 def crosswalk(df: DataFrame, key: str, *values: str) -> DataFrame:
     """A lookup with one row per key. A repeated key fails the query that uses it: joining it would
     multiply the rows of the fact table."""
