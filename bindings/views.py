@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions import age_years, grade_points, term_of_date, term_of_ymd, zip5
+from cohortloom.functions import age_years, grade_points, term_of_date, zip5
 from cohortloom.plans import enrolment, linkage
 from cohortloom.session import tune
 from cohortloom.sources import crosswalk
@@ -206,13 +206,13 @@ class Views:
                 "sid",
                 F.when(none, "").otherwise(F.col("n_name")).alias("college"),
                 F.when(~none, ymd).alias("begin_ymd"),
+                F.when(~none, term_of_date(day, (1995, 2000))).alias("term"),
                 F.when(none, "N").otherwise("Y").alias("record_found"),
                 F.when(done, "Y").otherwise("N").alias("graduated"),
                 F.when(done, F.concat(F.lit("AWARD "), F.col("l_linenumber").cast("string"))).alias(
                     "degree_title"
                 ),
             )
-            .withColumn("term", term_of_ymd("begin_ymd", (1995, 2000)))
         )
 
     def spells(self) -> DataFrame:

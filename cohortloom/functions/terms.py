@@ -53,8 +53,12 @@ def term_of_ymd(c: Column | str, domain: tuple[int, int] | None = None) -> Colum
 
 
 def term_of_date(c: Column | str, domain: tuple[int, int] | None = None) -> Column:
-    c = as_col(c)
-    return term_of_ymd(F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c), domain)
+    """Term code of a date; outside the year domain it is NULL."""
+    year, month = F.year(as_col(c)), F.month(as_col(c))
+    term = F.when(F.lit(False), F.lit(0))
+    for suffix, (_, last) in BEGIN_RANGES.items():
+        term = term.when(month <= last // 100, year * 100 + suffix)
+    return term if domain is None else F.when(year.between(*domain), term)
 
 
 def gap(term: Column | str, base: Column | str) -> Column:
