@@ -5,6 +5,10 @@ values below each bracket and keeps, as value frequencies, only those inside it;
 found by a running count over the bracket. A bracket holds about ``6 / accuracy`` of its group, so
 raise ``accuracy`` for groups beyond a billion rows. The result is exact: a rank that falls outside
 its bracket raises an error.
+
+The sketch is checkpointed when the function is called, so the input is read once for it. Its rows are
+counted: up to BROADCAST_GROUPS groups it is broadcast and the input is never shuffled by group;
+beyond that the join is left to Spark.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import left_join
 
 ACCURACY = 10_000
+BROADCAST_GROUPS = 20_000
 
 
 def order_statistics(
@@ -31,6 +37,11 @@ def order_statistics(
     ``ranks`` maps an output name to (1-based rank as an expression of the group size ``n``, the
     probability it lies at). Missing values are left out. Returns group, n and one column per rank.
     """
+    return _order_statistics(df, group, value, ranks, accuracy)[0]
+
+
+def _order_statistics(df, group, value, ranks, accuracy) -> tuple[DataFrame, bool]:
+    """The statistics, and whether their number of groups allows a broadcast."""
     group = list(group)
     names = list(ranks)
     margin = 3.0 / accuracy
@@ -43,17 +54,20 @@ def order_statistics(
         {min(max(p + d, 0.0), 1.0) for _, p in ranks.values() for d in (-margin, margin)}
     )
     at = {p: i for i, p in enumerate(probabilities)}
-    sketch = base.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_x", probabilities, accuracy).alias("_cuts"),
+    sketch = cut_lineage(
+        base.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx("_x", probabilities, accuracy).alias("_cuts"),
+        )
     )
+    few = sketch.count() <= BROADCAST_GROUPS
     small = F.col("n") <= 4 * accuracy  # a group this small is its own bracket
 
     def cut(p: float, open_end: bool, infinity: float) -> Column:
         bound = F.lit(infinity)
         return bound if open_end else F.when(small, bound).otherwise(F.col("_cuts")[at[p]])
 
-    brackets = sketch.select(
+    ranked = sketch.select(
         *group,
         "n",
         F.array(
@@ -66,47 +80,59 @@ def order_statistics(
                 )
                 for name, (rank, p) in ranks.items()
             ]
-        ).alias("_brackets"),
+        ).alias("_ranks"),
     )
+    # Ranks with the same interval share it.
+    intervals = F.array_distinct(F.transform("_ranks", lambda r: F.struct(r["lo"], r["hi"])))
+    brackets = ranked.select(*group, intervals.alias("_brackets"))
 
     # One pass: values below a bracket collapse into one NULL-valued count, values above it drop.
     probes = (
-        left_join(base, brackets, group) if group else base.withColumn("_brackets", _only(brackets))
+        left_join(base, _small(brackets, few), group)
+        if group
+        else base.withColumn("_brackets", brackets.scalar())
     )
     probes = (
         probes.select(*group, "_x", F.explode("_brackets").alias("_b"))
         .filter(F.col("_x") <= F.col("_b.hi"))
         .select(
             *group,
-            F.col("_b.name").alias("_name"),
-            F.col("_b.rank").alias("_rank"),
+            F.col("_b.lo").alias("_lo"),
+            F.col("_b.hi").alias("_hi"),
             F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x")).alias("_x"),
         )
     )
-    frequencies = probes.groupBy(*group, "_name", "_rank", "_x").agg(F.count(F.lit(1)).alias("_c"))
-
-    w = Window.partitionBy(*group, "_name").orderBy(F.col("_x").asc_nulls_first())
-    running = frequencies.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = (F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_c") < F.col("_rank"))
+    frequencies = probes.groupBy(*group, "_lo", "_hi", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group, "_lo", "_hi").orderBy(F.col("_x").asc_nulls_first())
+    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    running = frequencies.withColumn("_upto", upto)
+
+    # Each rank picks the value whose running count reaches it.
+    wanted = ranked.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.explode("_ranks").alias("_r"))
+    reached = (
+        (F.col("_lo") == F.col("_r.lo"))
+        & (F.col("_hi") == F.col("_r.hi"))
+        & (F.col("_upto") >= F.col("_r.rank"))
+        & (F.col("_upto") - F.col("_c") < F.col("_r.rank"))
+    )
+    for g in group:
+        reached = reached & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     found = (
-        running.filter(hit)
+        running.join(_small(wanted, few), reached)
         .groupBy(*group)
-        .agg(*[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in names])
+        .agg(*[F.max(F.when(F.col("_r.name") == n, F.col("_x"))).alias(n) for n in names])
     )
     sizes = sketch.select(*group, "n")
-    joined = left_join(sizes, found, group) if group else found.withColumn("n", _only_n(sizes))
+    joined = left_join(sizes, found, group) if group else found.withColumn("n", sizes.scalar())
     missed = F.raise_error(F.lit("rank outside its bracket: raise accuracy"))
-    return joined.select(
-        *group, "n", *[F.when(F.col(n).isNull(), missed).otherwise(F.col(n)).alias(n) for n in names]
-    )
-
-
-def _only(brackets: DataFrame) -> Column:
-    return brackets.select("_brackets").scalar()
+    lost = {name: F.col(name).isNull() & (F.col("n") > 0) for name in names}
+    checked = [F.when(lost[name], missed).otherwise(F.col(name)).alias(name) for name in names]
+    return joined.select(*group, "n", *checked), few
 
 
-def _only_n(sizes: DataFrame) -> Column:
-    return sizes.select("n").scalar()
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """Broadcast a table of one or a few rows per group once the groups were counted to be few."""
+    return F.broadcast(df) if few else df
 
 
 def quantiles(
@@ -117,21 +143,25 @@ def quantiles(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact quantiles, interpolated linearly between the two neighbouring order statistics."""
+    return _quantiles(df, group, value, probs, accuracy)[0]
+
+
+def _quantiles(df, group, value, probs, accuracy) -> tuple[DataFrame, bool]:
     n = F.col("n")
     ranks: dict[str, tuple[Column, float]] = {}
     for name, p in probs.items():
         ranks[f"_lo_{name}"] = (F.floor((n - 1) * p) + 1, p)
         ranks[f"_hi_{name}"] = (F.ceil((n - 1) * p) + 1, p)
-    stats = order_statistics(df, group, value, ranks, accuracy)
+    stats, few = _order_statistics(df, group, value, ranks, accuracy)
     out = []
     for name, p in probs.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         fraction = (n - 1) * p - F.floor((n - 1) * p)
         out.append((lo + fraction * (hi - lo)).alias(name))
-    return stats.select(*group, "n", *out)
+    return stats.select(*group, "n", *out), few
 
 
-def hinges(df: DataFrame, group: Sequence[str], value: str, accuracy: int = ACCURACY) -> DataFrame:
+def _hinges(df, group, value, accuracy) -> tuple[DataFrame, bool]:
     """Tukey's lower hinge, median and upper hinge (the edges of a base box plot)."""
     n = F.col("n")
     depth = F.floor((n + 3) / 2) / 2
@@ -140,23 +170,25 @@ def hinges(df: DataFrame, group: Sequence[str], value: str, accuracy: int = ACCU
     for name, (place, p) in places.items():
         ranks[f"_lo_{name}"] = (F.floor(place), p)
         ranks[f"_hi_{name}"] = (F.ceil(place), p)
-    stats = order_statistics(df, group, value, ranks, accuracy)
-    return stats.select(
-        *group,
-        "n",
-        *[((F.col(f"_lo_{x}") + F.col(f"_hi_{x}")) / 2).alias(x) for x in places],
-    )
+    stats, few = _order_statistics(df, group, value, ranks, accuracy)
+    middles = [((F.col(f"_lo_{x}") + F.col(f"_hi_{x}")) / 2).alias(x) for x in places]
+    return stats.select(*group, "n", *middles), few
 
 
-def _boxes(df, group, value, method, accuracy) -> DataFrame:
+def _boxes(df, group, value, method, accuracy, reach) -> DataFrame:
+    """Box edges and fences per group."""
     if method == "hinges":
-        return hinges(df, group, value, accuracy)
-    return quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, accuracy)
-
-
-def _fences(reach: float) -> tuple[Column, Column]:
+        boxes, few = _hinges(df, group, value, accuracy)
+    else:
+        probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+        boxes, few = _quantiles(df, group, value, probs, accuracy)
     spread = F.col("q3") - F.col("q1")
-    return F.col("q1") - spread * reach, F.col("q3") + spread * reach
+    fenced = boxes.select(
+        *group, "q1", "median", "q3",
+        (F.col("q1") - spread * reach).alias("_lo"),
+        (F.col("q3") + spread * reach).alias("_hi"),
+    )
+    return _small(fenced, few)
 
 
 def box_stats(
@@ -172,9 +204,7 @@ def box_stats(
     A whisker ends at the furthest value within ``reach`` box heights of the box.
     """
     group = list(group)
-    boxes = _boxes(df, group, value, method, accuracy)
-    lo, hi = _fences(reach)
-    limits = boxes.select(*group, "q1", "median", "q3", lo.alias("_lo"), hi.alias("_hi"))
+    limits = _boxes(df, group, value, method, accuracy, reach)
     x = F.col(value).cast("double")
     rows = left_join(df.select(*group, x.alias("_x")).na.drop("any", subset=["_x"]), limits, group)
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
@@ -197,10 +227,7 @@ def box_outliers(
 ) -> DataFrame:
     """The rows beyond the whiskers, drawn as single points."""
     group = list(group)
-    lo, hi = _fences(reach)
-    limits = _boxes(df, group, value, method, accuracy).select(
-        *group, lo.alias("_lo"), hi.alias("_hi")
-    )
+    limits = _boxes(df, group, value, method, accuracy, reach).select(*group, "_lo", "_hi")
     x = F.col(value).cast("double")
     return (
         left_join(df.filter(x.isNotNull()), limits, group)
