@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.functions import age_years, grade_points, term_of_date, zip5
 from cohortloom.plans import enrolment, linkage
@@ -21,20 +22,8 @@ GRADES = {
 }
 
 
-SCHEMAS = {
-    "region": "r_regionkey int, r_name string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
-    "c_mktsegment string",
-    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
-    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
-    "p_retailprice double",
-    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
-    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
-    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-}
+# Schemas by path, read once from the files.
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def _letter():
@@ -112,7 +101,10 @@ class Views:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def as_of(self):
         return F.lit(AS_OF).cast("date")

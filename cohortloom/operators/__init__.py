@@ -7,6 +7,7 @@ from .groups import (
     fill_where,
     freq,
     headcount,
+    over_categories,
     per_entity_then,
     share,
     with_overall_mean,
@@ -29,7 +30,7 @@ from .stats import loess, logit_residuals, logit_summary, t_test
 __all__ = [
     "anti_join", "attach_crosswalk", "box_outliers", "box_stats", "counts", "drop_incomplete",
     "exclude", "fill_where", "first_event", "first_row", "freq", "headcount", "is_duplicate",
-    "last_event", "left_join", "loess", "logit_residuals", "logit_summary", "order_statistics", "per_entity_then",
+    "last_event", "left_join", "loess", "logit_residuals", "logit_summary", "order_statistics", "over_categories", "per_entity_then",
     "quantiles", "share", "slice_range", "sort_columns", "stack_sources", "t_test", "top_k",
     "with_group_max", "with_overall_mean", "with_sort_rank",
 ]

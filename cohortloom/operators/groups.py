@@ -40,9 +40,17 @@ def per_entity_then(
     return inner.groupBy(*keys).agg(*[c.alias(k) for k, c in then.items()])
 
 
-def _whole(within: Sequence[str] = ()):
-    """All rows of a group of a dimension-sized table, or of the whole table."""
-    return Window.partitionBy(*(within or [F.lit(0)]))
+MOST_CATEGORIES = 1_000_000
+
+
+def over_categories(aggregate: Column, within: Sequence[str] = (), where: str = "share") -> Column:
+    """An aggregate over all rows of a group of a dimension-sized table, or of the whole table.
+
+    A group beyond MOST_CATEGORIES rows is not dimension-sized: it fails instead of filling a task.
+    """
+    w = Window.partitionBy(*(within or [F.lit(0)]))
+    too_many = F.raise_error(F.lit(f"{where}: more than {MOST_CATEGORIES} categories in a group"))
+    return F.when(F.count(F.lit(1)).over(w) > MOST_CATEGORIES, too_many).otherwise(aggregate.over(w))
 
 
 def share(
@@ -59,12 +67,13 @@ def share(
 
     ``df`` holds one row per category (college, school, zip, course), so a dimension limits its size
     whatever the size of the facts. The total is a window over these rows: one pass over the source.
-    Use ``bounded=False`` for keys without such a limit: the total is then an aggregate joined back,
-    spread over tasks, which may read the source twice.
+    A group of more than MOST_CATEGORIES rows fails. Use ``bounded=False`` for keys without such a
+    limit: the total is then an aggregate joined back, spread over tasks, which may read the source
+    twice.
     """
     within = list(within)
     if bounded:
-        total = F.sum(value).over(_whole(within))
+        total = over_categories(F.sum(value), within, "share, use bounded=False")
     elif not within:
         total = df.agg(F.sum(value).alias("total")).scalar()
     else:
@@ -95,4 +104,4 @@ def fill_where(df: DataFrame, column: str, cond: Column, value) -> DataFrame:
 
 def with_overall_mean(df: DataFrame, value: str, name: str = "overall_mean") -> DataFrame:
     """Reference line of a chart dataset (one row per category): its mean on every row."""
-    return df.withColumn(name, F.avg(value).over(_whole()))
+    return df.withColumn(name, over_categories(F.avg(value), where="overall mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import na_mean, pct_where, yes_no
@@ -14,6 +14,7 @@ from ..operators import (
     counts,
     drop_incomplete,
     left_join,
+    over_categories,
     share,
     t_test,
     top_k,
@@ -48,7 +49,7 @@ def college_ever_top(later: DataFrame, k: int = 10, denominator: int | None = No
     total = (
         F.lit(denominator)
         if denominator is not None
-        else F.sum("_students").over(Window.partitionBy(F.lit(0)))
+        else over_categories(F.sum("_students"), where="colleges")
     )
     table = table.withColumn("percent", F.col("n") / total * 100).drop("_students")
     return top_k(table, k, ["-n", "college"])

@@ -121,6 +121,15 @@ def test_shares(spark, rows, bounded):
     assert df.columns == ["g", "k", "n"]
 
 
+def test_share_of_too_many_categories_fails(spark, monkeypatch):
+    monkeypatch.setattr(op.groups, "MOST_CATEGORIES", 2)
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "k string, n int")
+    with pytest.raises(Exception, match="bounded=False"):
+        op.share(df).collect()
+    assert op.share(df, bounded=False).count() == 3
+    assert op.share(df, within=["k"]).count() == 3
+
+
 def test_exclude_drops_missing(spark, rows):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     assert rows(op.exclude(df, "k", ["a"])) == [("b",)]
