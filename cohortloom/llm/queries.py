@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, toxicity
+from . import langid, neardup, packing, substring, toxicity
 from .frames import held_out, read
 
 
@@ -35,10 +35,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets of least padding and batches of 32,768 words over all documents."""
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words that a repeated window of 35 words covers."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring.repeated(docs).withColumn("changed_sha256", F.sha2("kept_text", 256))
+    rows = substring.word_digest(docs.withColumn("text_key", F.unhex(F.md5("text")))).drop("text")
+    return rows.join(found.drop("kept_text"), "text_key", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("changed_sha256", "words_sha256").alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLE: dict[str, str] = {}
