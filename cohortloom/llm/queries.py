@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, substring, toxicity
+from . import bpe, langid, neardup, packing, quality, search, sharding, substring, toxicity, urls
 from .frames import held_out, read
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by given rules, else by rules mined from labels."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one by integer inner product."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are learned from rows that are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -17,6 +30,28 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of all documents with near equal bytes."""
+    found = sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "size", "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, definition: str | None = None) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded with a public vocabulary."""
+    if definition is None:
+        import public_tokenizers
+
+        definition = public_tokenizers.path("byte_bpe_50k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.encode(docs, definition, ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents on shingles of two words."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +75,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with its host's verdict."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words that a repeated window of 35 words covers."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,11 +98,21 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_sharding": op5_sharding,
+    "op6_bpe": op6_bpe,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_repeated_passages": op10_repeated_passages,
 }
 
-ORACLE: dict[str, str] = {}
+# The others learn models, hash or encode: SQL cannot express them.
+ORACLE: dict[str, str] = {
+    "op2_exact_top_k": search.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
+    "op10_repeated_passages": substring.ORACLE,
+}

@@ -268,3 +268,27 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = WINDOW) -
         for c in names
     ]
     return joined.select(*columns, F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"))
+
+
+# The query's rows in DuckDB's SQL.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), p AS (
+  SELECT k, unnest(range(1, len(w) - 33)) AS i, w FROM d
+), g AS (
+  SELECT k, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM p
+), r AS (
+  SELECT k, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)
+), c AS (
+  SELECT DISTINCT k, unnest(range(i, i + 35)) AS i FROM r
+), gone AS (
+  SELECT k, list(i) AS x, count(*) AS n FROM c GROUP BY k
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN x IS NULL THEN w ELSE list_transform(
+         list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(x, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.k = gone.k
+"""
