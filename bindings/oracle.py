@@ -54,9 +54,7 @@ _TERM_END = (
     "WHEN 40 THEN make_date(max_ce_term // 100, 12, 31) END"
 )
 
-# Common tables; a query lists the text that uses them and gets what it needs, in this order.
-COMMON = {
-    "ce": f"""
+_CE = f"""
         SELECT o_custkey AS sid, o_orderkey AS enroll_id, {_term(_ymd('o_orderdate'))} AS term,
                nullif(CAST(year(o_orderdate) AS INTEGER), 1996) AS hs_grad_year,
                translate(o_orderstatus, 'FOP', 'NUY') AS enrolled_after,
@@ -68,14 +66,16 @@ COMMON = {
                END AS final_grade,
                CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3.3
                     WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 0 END AS DOUBLE) AS grade_num,
+               CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3.3
+                    WHEN '3-MEDIUM' THEN 2 ELSE 0 END AS DOUBLE) AS grade_or_zero,
                CASE o_orderstatus WHEN 'F' THEN 'Female' WHEN 'O' THEN 'Male' ELSE 'Unknown' END
                     AS gender,
                {_BIRTH} AS birth_date,
                {_age(_BIRTH, 'o_orderdate')} AS age_first_day,
                'B' || o_custkey AS inst_id
-        FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'""",
-    "ce_full": """
-        SELECT ce.*, c_mktsegment AS ethnicity, c_name AS last_name,
+        FROM orders"""
+_STUDENT = """
+        SELECT {ce}.*, c_mktsegment AS ethnicity, c_name AS last_name,
                nullif(n_name, 'NATION_7') AS high_school, n_name AS campus,
                CAST(CASE WHEN n_name <> 'NATION_11' THEN 84000 + c_nationkey END AS DOUBLE) AS zip5,
                r_name AS region, n_name AS city,
@@ -83,10 +83,30 @@ COMMON = {
                CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 2000 THEN 'Y' ELSE 'N' END
                     AS first_generation,
                CASE WHEN n_name NOT IN ('NATION_3','NATION_7') THEN r_name END AS district
-        FROM ce JOIN customer ON sid = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        JOIN region ON n_regionkey = r_regionkey""",
+        FROM {ce} JOIN customer ON sid = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey"""
+_ROLLUP = f"""
+        SELECT sid, count(*) AS num_ce, max(term) AS max_ce_term,
+               {_guard('avg(grade_num)', 'grade_num')} AS ce_gpa,
+               {_guard('max(enrolled_after)', 'enrolled_after')} AS enrolled_after,
+               {_guard('max(gender)', 'gender')} AS gender,
+               {_guard('max(ethnicity)', 'ethnicity')} AS ethnicity,
+               {_guard('max(birth_date)', 'birth_date')} AS birth_date"""
+_AGES = f"""
+        SELECT *, {_age('birth_date', f'({_TERM_END})')} AS age_last_term,
+               {_age('birth_date', AS_OF)} AS age_current,
+               CASE WHEN enrolled_after = 'Y' THEN 'Y' WHEN enrolled_after <> 'Y' THEN 'N' END
+                    AS outcome"""
+
+# Common tables; a query lists the text that uses them and gets what it needs, in this order. The
+# early ones hold the enrolments that later spells are looked for.
+COMMON = {
+    "ce": _CE,
+    "early": _CE + " WHERE o_orderdate < TIMESTAMP '1998-01-01'",
+    "ce_full": _STUDENT.format(ce="ce"),
+    "early_full": _STUDENT.format(ce="early"),
     "courses": """
-        SELECT sid, enroll_id, term, enrolled_after, birth_date, final_grade, grade_num,
+        SELECT sid, enroll_id, term, enrolled_after, birth_date, final_grade, grade_num, grade_or_zero,
                l_linenumber AS section, p_type AS subject, p_brand AS course_no,
                p_type || ' ' || p_brand AS class
         FROM lineitem JOIN ce ON l_orderkey = enroll_id JOIN part ON l_partkey = p_partkey""",
@@ -103,29 +123,19 @@ COMMON = {
                        THEN {_term('begin_ymd')} END AS term
         FROM spell_rows""",
     "spells": "SELECT * FROM all_spells WHERE graduated = 'N'",
-    "rollup": f"""
-        SELECT sid, count(*) AS num_ce, max(term) AS max_ce_term,
-               {_guard('avg(grade_num)', 'grade_num')} AS ce_gpa,
-               {_guard('max(enrolled_after)', 'enrolled_after')} AS enrolled_after,
-               {_guard('max(gender)', 'gender')} AS gender,
-               {_guard('max(ethnicity)', 'ethnicity')} AS ethnicity,
-               {_guard('max(birth_date)', 'birth_date')} AS birth_date
-        FROM ce_full GROUP BY sid""",
-    "students": f"""
-        SELECT *, {_age('birth_date', f'({_TERM_END})')} AS age_last_term,
-               {_age('birth_date', AS_OF)} AS age_current,
-               CASE WHEN enrolled_after = 'Y' THEN 'Y' WHEN enrolled_after <> 'Y' THEN 'N' END
-                    AS outcome
-        FROM rollup""",
+    "rollup": _ROLLUP + " FROM ce_full GROUP BY sid",
+    "students": _AGES + " FROM rollup",
+    "early_rollup": _ROLLUP + " FROM early_full GROUP BY sid",
+    "early_students": _AGES + " FROM early_rollup",
     "adults": "SELECT * FROM students WHERE age_current >= 18",
-    "linked": "SELECT * FROM spells LEFT JOIN students USING (sid)",
+    "linked": "SELECT * FROM all_spells LEFT JOIN early_students USING (sid)",
     "later": "SELECT * FROM linked WHERE term > max_ce_term",
     "first": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY term, college) AS rn
                        FROM later) WHERE rn = 1""",
     "people": f"""
         SELECT * REPLACE (CASE WHEN college = '' THEN {NONE} ELSE college END AS college)
-        FROM linked WHERE age_current >= 18""",
+        FROM linked WHERE age_current >= 18 AND graduated = 'N'""",
     "bindall": f"""
         SELECT * EXCLUDE (rn) FROM (
             SELECT *, row_number() OVER (PARTITION BY sid ORDER BY term, college) AS rn
@@ -298,6 +308,18 @@ def _loess(at: int) -> str:
                 WHERE dist < h) GROUP BY g, x)""")
 
 
+def _reach() -> str:
+    """The t with 95 % between it and its negative: its angle is where the trapezoid sums of
+    cos^(df-1) reach 95 %."""
+    return """(SELECT sqrt(dof) * tan(pi() / 2 * (i - 1 + (goal - before) / (after - before)) / 40000)
+        FROM (SELECT i, after, lag(after, 1, 0) OVER (ORDER BY i) AS before,
+                     0.95 * max(after) OVER () AS goal
+              FROM (SELECT i, sum((power(cos(pi() / 2 * i / 40000), dof - 1)
+                           + power(cos(pi() / 2 * (i - 1) / 40000), dof - 1)) / 2) OVER (ORDER BY i) AS after
+                    FROM range(1, 40001) AS r(i)))
+        WHERE after >= goal ORDER BY i LIMIT 1)"""
+
+
 def _ttest(value: str, equal_var: bool) -> str:
     """The p-value integrates cos^(df-1) over the angle whose tangent is t / sqrt(df)."""
     if equal_var:
@@ -312,9 +334,11 @@ def _ttest(value: str, equal_var: bool) -> str:
     return with_common(f"""
         SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
                round(se, 6) AS std_error, round(dof, 6) AS df, round(t, 6) AS t,
-               round(1 - inside * atan(abs(t) / sqrt(dof)) / (pi() / 2) / whole, 6) AS p_value
+               round(1 - inside * atan(abs(t) / sqrt(dof)) / (pi() / 2) / whole, 6) AS p_value,
+               round(mean_a - mean_b - se * reach, 6) AS ci_low,
+               round(mean_a - mean_b + se * reach, 6) AS ci_high
         FROM (
-            SELECT n_a, n_b, mean_a, mean_b, se, dof, t,
+            SELECT n_a, n_b, mean_a, mean_b, se, dof, t, {_reach()} AS reach,
                    sum(weight * power(cos(pi() / 2 * i / 40000), dof - 1)) AS whole,
                    sum(weight * power(cos(atan(abs(t) / sqrt(dof)) * i / 40000), dof - 1)) AS inside
             FROM (SELECT *, {dof} AS dof, {se} AS se, (mean_a - mean_b) / ({se}) AS t FROM (
@@ -373,8 +397,8 @@ def _outcome(age: str) -> str:
     return _count(f"(SELECT * FROM students WHERE {age} >= 18)", "outcome")
 
 
-def _first_top(k: int, digits: int | None, where: str = "") -> str:
-    table = _share(_count(f"first {where}", "college"), "percent", "", 100, digits)
+def _first_top(k: int, digits: int | None, source: str = "first") -> str:
+    table = _share(_count(source, "college"), "percent", "", 100, digits)
     return with_common(_top(table, k, "n DESC, college" if digits is None else "percent DESC, college"))
 
 
@@ -383,7 +407,7 @@ def _ranked(metric: str, order: str, where: str = "", k: int | None = None) -> s
     if k:
         table = _top(table, k, "n DESC, college")
     return with_common(
-        f"SELECT *, CAST(row_number() OVER (ORDER BY {order} DESC, college) AS INTEGER) AS sort_rank "
+        f"SELECT *, row_number() OVER (ORDER BY {order} DESC, college) AS sort_rank "
         f"FROM ({table})"
     )
 
@@ -465,6 +489,9 @@ def _zip_region(where: str, lead: str = "", shares: bool = False) -> str:
     return with_common(_top(f"SELECT * FROM ({table}) WHERE zip IS NOT NULL", 15, "n DESC, zip", lead))
 
 
+_MISSING_IDS = f"""SELECT sid, {_guard('max(id)', 'id')} AS inst_id FROM (
+    SELECT sid, CASE WHEN enroll_id % 7 <> 0 THEN inst_id END AS id FROM ce) GROUP BY sid"""
+
 ORACLE = {
     "null_audit": with_common("""
         SELECT count(*) FILTER (WHERE hs_grad_year IS NULL) AS null_all,
@@ -556,16 +583,16 @@ ORACLE = {
     ),
     "unmatched_left": with_common("""
         SELECT sid, term, enroll_id FROM ce WHERE NOT EXISTS (
-            SELECT 1 FROM spells s WHERE s.sid = ce.sid AND s.term IS NOT DISTINCT FROM ce.term)"""),
+            SELECT 1 FROM all_spells s WHERE s.sid = ce.sid AND s.term IS NOT DISTINCT FROM ce.term)"""),
     "unmatched_right": with_common("""
-        SELECT sid, term, college FROM spells WHERE NOT EXISTS (
-            SELECT 1 FROM ce c WHERE c.sid = spells.sid AND c.term IS NOT DISTINCT FROM spells.term)"""),
+        SELECT sid, term, college FROM all_spells s WHERE NOT EXISTS (
+            SELECT 1 FROM ce c WHERE c.sid = s.sid AND c.term IS NOT DISTINCT FROM s.term)"""),
     "stack_sources": with_common("""
         SELECT sid, term, final_grade, NULL AS college, 'enrollments' AS source FROM ce
-        UNION ALL SELECT sid, term, NULL, college, 'spells' FROM spells"""),
+        UNION ALL SELECT sid, term, NULL, college, 'spells' FROM all_spells"""),
     "linked_term": with_common("""
-        SELECT ce.sid, ce.term, ce.enroll_id, spells.college FROM ce LEFT JOIN spells
-        ON ce.sid = spells.sid AND ce.term IS NOT DISTINCT FROM spells.term"""),
+        SELECT ce.sid, ce.term, ce.enroll_id, s.college FROM ce LEFT JOIN all_spells s
+        ON ce.sid = s.sid AND ce.term IS NOT DISTINCT FROM s.term"""),
     "linked_spells": with_common("""
         SELECT sid, term, college, num_ce, round(ce_gpa, 6) AS ce_gpa, max_ce_term, enrolled_after, gender
         FROM linked"""),
@@ -583,11 +610,12 @@ ORACLE = {
     "non_completions": with_common("SELECT sid, term, college FROM spells"),
     "prior_target": with_common(f"""
         SELECT sid, min(term) AS term, any_value(max_ce_term) AS max_ce_term FROM linked
-        WHERE college = {TARGET} AND term <= max_ce_term GROUP BY sid"""),
+        WHERE graduated = 'N' AND college = {TARGET} AND term <= max_ce_term GROUP BY sid"""),
     "linked_without_prior": with_common(f"""
         SELECT sid, term, college, max_ce_term FROM linked WHERE NOT EXISTS (
             SELECT 1 FROM (SELECT sid, min(term) AS term FROM linked
-                           WHERE college = {TARGET} AND term <= max_ce_term GROUP BY sid) p
+                           WHERE graduated = 'N' AND college = {TARGET} AND term <= max_ce_term
+                           GROUP BY sid) p
             WHERE p.sid = linked.sid AND p.term IS NOT DISTINCT FROM linked.term)"""),
     "max_term_attach": with_common(
         "SELECT sid, term, college, max(term) OVER (PARTITION BY sid) AS max_term FROM all_spells"
@@ -597,6 +625,10 @@ ORACLE = {
             SELECT sid, max(inst_id) AS inst_id FROM ce GROUP BY sid) i ON s.sid = i.sid
         WHERE record_found = 'N'"""),
     "id_by_student": with_common("SELECT sid, max(inst_id) AS inst_id FROM ce GROUP BY sid"),
+    "id_by_student_missing": with_common(f"SELECT * FROM ({_MISSING_IDS})"),
+    "no_record_export_missing": with_common(f"""
+        SELECT s.sid, record_found, graduated, inst_id FROM all_spells s LEFT JOIN ({_MISSING_IDS}) i
+        ON s.sid = i.sid WHERE record_found = 'N'"""),
     "spell_kind": with_common(f"""
         SELECT sid, begin_ymd, CASE WHEN college = '' THEN 'concurrent' ELSE 'college' END AS con_college,
                CASE WHEN college = '' THEN {NONE} ELSE college END AS college_label FROM all_spells"""),
@@ -608,8 +640,8 @@ ORACLE = {
         "SELECT f.sid, term, college, max_ce_term, zip5 FROM first f LEFT JOIN zips z ON f.sid = z.sid"
     ),
     "first_college_top": _first_top(10, None),
-    "first_college_top_rounded": _first_top(11, 1),
-    "first_college_top_without_target": _first_top(10, 1, f"WHERE college <> {TARGET}"),
+    "first_college_top_rounded": _first_top(11, 1, "bindall"),
+    "first_college_top_without_target": _first_top(10, 1, f"bindall WHERE college <> {TARGET}"),
     "college_ever_top": with_common(_top(
         """SELECT college, count(DISTINCT sid) AS n, count(DISTINCT sid)
            / (SELECT count(DISTINCT sid) FROM later) * 100 AS percent FROM later GROUP BY college""",
@@ -648,16 +680,16 @@ ORACLE = {
     "course_mix": with_common(_top(
         _share(
             f"""SELECT f.college, class, count(*) AS n,
-                round({_guard('avg(grade_num)', 'grade_num')}, 6) AS avg_grade
-            FROM first f LEFT JOIN courses c ON f.sid = c.sid
-            WHERE f.college IN ({TARGET},'NATION_9','NATION_14') GROUP BY ALL""",
+                round({_guard('avg(grade_or_zero)', 'grade_or_zero')}, 6) AS avg_grade
+            FROM bindall f LEFT JOIN courses c ON f.sid = c.sid
+            WHERE f.college IN ({TARGET},{NONE},'NATION_9') GROUP BY ALL""",
             "pc_course", "college", 100, 1,
         ),
         10, "pc_course DESC, class", "college",
     )),
     "attend_share": with_common(_share(
         f"SELECT CASE WHEN college = {TARGET} THEN 'Y' ELSE 'N' END AS attend, count(*) AS n "
-        "FROM first GROUP BY ALL", "pc_attend", "", 100, 1,
+        "FROM bindall GROUP BY ALL", "pc_attend", "", 100, 1,
     )),
     "boundary_check": with_common(
         "SELECT max_ce_term = term AS same_term, count(*) AS n FROM bindall GROUP BY ALL"

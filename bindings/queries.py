@@ -66,7 +66,7 @@ def _logit(v: Views, age: str):
 
 def _test(v: Views, value: str, equal_var: bool):
     table = destinations.destination_test(v.bindall("num_ce", "ce_gpa"), value, TARGET, equal_var=equal_var)
-    kept = ["mean_a", "mean_b", "std_error", "df", "t", "p_value"]
+    kept = ["mean_a", "mean_b", "std_error", "df", "t", "p_value", "ci_low", "ci_high"]
     return _r6(table.select("n_a", "n_b", *kept), *kept)
 
 
@@ -77,6 +77,12 @@ def _box(v: Views, value: str, **options):
     return _r6(table, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+def _with_missing_ids(v: Views):
+    """Enrolments of which a seventh lack the institutional id."""
+    ce = v.ce("sid", "enroll_id", "inst_id")
+    return ce.withColumn("inst_id", F.when(F.col("enroll_id") % 7 != 0, F.col("inst_id")))
+
+
 def _zip_top(v: Views, college: str | None = None):
     if college is None:
         return destinations.zip_top(v.zips())
@@ -85,7 +91,8 @@ def _zip_top(v: Views, college: str | None = None):
 
 def _prepared(v: Views):
     done = prepare_enrollments(
-        v.ce_full().withColumnRenamed("gender", "stale").drop("grade_num", "zip5"), drop=("stale",)
+        v.ce_full().withColumnRenamed("gender", "stale").drop("grade_num", "grade_or_zero", "zip5"),
+        drop=("stale",),
     )
     return done.select(
         "sid", "enroll_id", "enrolled_after_01", "ever_nonconcurrent_01", "within_one_year_01",
@@ -166,17 +173,17 @@ QUERIES = {
         v.all_spells(), TARGET, 19970501, 19970731, 199730
     ),
     "unmatched_left": lambda v: linkage.unmatched(
-        v.ce("sid", "term", "enroll_id"), v.spells()
+        v.ce("sid", "term", "enroll_id"), v.all_spells()
     ),
     "unmatched_right": lambda v: linkage.unmatched(
-        v.spells().select("sid", "term", "college"), v.ce()
+        v.all_spells().select("sid", "term", "college"), v.ce()
     ),
     "stack_sources": lambda v: linkage.stack(
         enrollments=v.ce("sid", "term", "final_grade"),
-        spells=v.spells().select("sid", "term", "college"),
+        spells=v.all_spells().select("sid", "term", "college"),
     ),
     "linked_term": lambda v: linkage.linked_term(
-        v.ce("sid", "term", "enroll_id"), v.spells().select("sid", "term", "college")
+        v.ce("sid", "term", "enroll_id"), v.all_spells().select("sid", "term", "college")
     ),
     "linked_spells": lambda v: _r6(
         v.linked("num_ce", "ce_gpa", "max_ce_term", "enrolled_after", "gender").select(
@@ -209,6 +216,10 @@ QUERIES = {
         v.all_spells().select("sid", "record_found", "graduated"), v.ce()
     ),
     "id_by_student": lambda v: linkage.id_by_student(v.ce("sid", "inst_id")),
+    "id_by_student_missing": lambda v: linkage.id_by_student(_with_missing_ids(v)),
+    "no_record_export_missing": lambda v: linkage.no_record_export(
+        v.all_spells().select("sid", "record_found", "graduated"), _with_missing_ids(v)
+    ),
     "spell_kind": lambda v: linkage.spell_kind(v.all_spells()).select(
         "sid", "begin_ymd", "con_college", "college_label"
     ),
@@ -219,9 +230,9 @@ QUERIES = {
     "linked_with_zip": lambda v: linkage.with_zip(v.first(), v.zips()),
     # destinations
     "first_college_top": lambda v: destinations.first_college_top(v.first()),
-    "first_college_top_rounded": lambda v: destinations.first_college_top(v.first(), 11, digits=1),
+    "first_college_top_rounded": lambda v: destinations.first_college_top(v.bindall(), 11, digits=1),
     "first_college_top_without_target": lambda v: destinations.first_college_top(
-        v.first(), 10, digits=1, without=TARGET
+        v.bindall(), 10, digits=1, without=TARGET
     ),
     "college_ever_top": lambda v: destinations.college_ever_top(linkage.spells_after(v.linked())),
     "first_or_none_top": lambda v: destinations.first_or_none_top(v.bindall()),
@@ -252,9 +263,10 @@ QUERIES = {
         linkage.with_zip(linkage.first_destination(v.people()), v.zips()), CHOSEN
     ),
     "course_mix": lambda v: _r6(
-        destinations.course_mix(v.first(), v.courses(), CHOSEN[:1] + OTHERS[:2]), "avg_grade"
+        destinations.course_mix(v.bindall(), v.courses(), CHOSEN[:3], grade="grade_or_zero"),
+        "avg_grade",
     ),
-    "attend_share": lambda v: destinations.attend_share(v.first(), TARGET),
+    "attend_share": lambda v: destinations.attend_share(v.bindall(), TARGET),
     "boundary_check": lambda v: destinations.boundary_check(v.bindall()),
     # cohorts
     "cohort_gap": lambda v: _cohorts(v),

@@ -1,8 +1,11 @@
 """Driver tables in the roles of enrolments, courses and college spells.
 
-Students are customers, enrolments are orders placed before 1998, courses are the line items of those
-orders, and college spells are returned line items, whose college is the supplier's nation. One
-supplier nation plays "no record": its spells have a blank college and no date.
+Students are customers, enrolments are orders, courses are the line items of orders, and college
+spells are returned line items, whose college is the supplier's nation. One supplier nation plays "no
+record": its spells have a blank college and no date.
+
+Analyses that look for spells after a student's last enrolment take as enrolments only the orders
+before ``ENROLLED_BEFORE``, so that later spells exist; all others read all orders.
 """
 
 from __future__ import annotations
@@ -13,19 +16,15 @@ from pyspark.sql import types as T
 
 from cohortloom.functions import age_years, grade_points, term_of_date, zip5
 from cohortloom.plans import enrolment, linkage
-from cohortloom.session import tune
 from cohortloom.sources import crosswalk
 
 AS_OF = "1998-06-15"
+ENROLLED_BEFORE = "1998-01-01"
 GRADES = {
     "1-URGENT": "A", "2-HIGH": "B+", "3-MEDIUM": "C", "4-NOT SPECIFIED": "P", "5-LOW": "E",
 }
 
 
-# Schemas by path, read once from the files.
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def _letter():
     letter = F.when(F.lit(False), "")
     for value, grade in GRADES.items():
@@ -62,6 +61,8 @@ ENROLMENT = {
     "within_one_year": lambda: F.when(F.col("o_totalprice") > 250000, "Y").otherwise("N"),
     "final_grade": _letter,
     "grade_num": lambda: grade_points(_letter()),
+    # Any other letter counts as no points.
+    "grade_or_zero": lambda: grade_points(_letter(), other=0),
     "gender": lambda: F.when(F.col("o_orderstatus") == "F", "Female")
     .when(F.col("o_orderstatus") == "O", "Male")
     .otherwise("Unknown"),
@@ -97,34 +98,36 @@ class Views:
     """The roles over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tune(spark)
+        self.spark = spark
         self.dir = sf_dir
+        self._schemas: dict[str, T.StructType] = {}  # read once per table
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.dir}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def as_of(self):
         return F.lit(AS_OF).cast("date")
 
-    def _early_orders(self) -> DataFrame:
-        return self.table("orders").filter(
-            F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
-        )
+    def _orders(self, before: str | None) -> DataFrame:
+        orders = self.table("orders")
+        if before is None:
+            return orders
+        return orders.filter(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
 
-    def ce(self, *columns: str) -> DataFrame:
-        """Enrolments from orders alone."""
-        return self._early_orders().select(
+    def ce(self, *columns: str, before: str | None = None) -> DataFrame:
+        """Enrolments from orders alone, all or those before a date."""
+        return self._orders(before).select(
             *[ENROLMENT[name]().alias(name) for name in columns or ENROLMENT]
         )
 
-    def ce_full(self, *columns: str) -> DataFrame:
+    def ce_full(self, *columns: str, before: str | None = None) -> DataFrame:
         """Enrolments with student attributes, school, campus, zip, indicators."""
         wanted = columns or (*ENROLMENT, *STUDENT)
         roles = {**ENROLMENT, **STUDENT}
-        joined = self._early_orders().join(
+        joined = self._orders(before).join(
             self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
         )
         if any(name in PLACES for name in wanted):
@@ -163,11 +166,12 @@ class Views:
         return crosswalk(pairs, key, "district")
 
     def courses(self) -> DataFrame:
-        """Course enrolments: line items of the early orders."""
+        """Course enrolments: line items of the orders."""
         part = self.table("part").select("p_partkey", "p_type", "p_brand")
         line = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
         ce = self.ce(
-            "sid", "enroll_id", "term", "enrolled_after", "birth_date", "final_grade", "grade_num"
+            "sid", "enroll_id", "term", "enrolled_after", "birth_date", "final_grade", "grade_num",
+            "grade_or_zero",
         )
         return (
             line.join(ce, F.col("l_orderkey") == F.col("enroll_id"))
@@ -210,26 +214,29 @@ class Views:
     def spells(self) -> DataFrame:
         return linkage.completions(self.all_spells(), keep=False)
 
-    def rollup(self, *columns: str) -> DataFrame:
+    def rollup(self, *columns: str, before: str | None = None) -> DataFrame:
         needed = ["sid", *(c for name in columns or ROLLED for c in ROLLED[name])]
-        ce = self.ce_full(*needed) if "ethnicity" in needed else self.ce(*needed)
-        return enrolment.student_rollup(ce, *columns)
+        source = self.ce_full if "ethnicity" in needed else self.ce
+        return enrolment.student_rollup(source(*needed, before=before), *columns)
 
-    def students(self, *columns: str) -> DataFrame:
+    def students(self, *columns: str, before: str | None = None) -> DataFrame:
         """Rollup with ages."""
         ages = {"age_last_term", "age_current"}
         wanted = dict.fromkeys([*(c for c in columns if c not in ages), "max_ce_term", "birth_date"])
-        return enrolment.age_at_event(self.rollup(*wanted), self.as_of())
+        return enrolment.age_at_event(self.rollup(*wanted, before=before), self.as_of())
 
     def linked(self, *columns: str) -> DataFrame:
-        """Spells that are not completions, with rollup and current age."""
-        return linkage.linked_spells(self.spells(), self.students(*columns))
+        """All spells, with rollup and current age."""
+        return linkage.linked_spells(self.all_spells(), self.students(*columns, before=ENROLLED_BEFORE))
 
     def first(self) -> DataFrame:
         return linkage.first_college(self.linked(), ["term", "college", "max_ce_term"])
 
     def people(self, *columns: str) -> DataFrame:
-        return linkage.adult_spells(self.linked(*columns))
+        """Spells of adults that are not completions."""
+        spells = self.spells()
+        rollup = self.students(*columns, before=ENROLLED_BEFORE)
+        return linkage.adult_spells(linkage.linked_spells(spells, rollup))
 
     def bindall(self, *columns: str) -> DataFrame:
         """First later college of each adult, or none."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import left_join
@@ -40,19 +40,6 @@ def per_entity_then(
     return inner.groupBy(*keys).agg(*[c.alias(k) for k, c in then.items()])
 
 
-MOST_CATEGORIES = 1_000_000
-
-
-def over_categories(aggregate: Column, within: Sequence[str] = (), where: str = "share") -> Column:
-    """An aggregate over all rows of a group of a dimension-sized table, or of the whole table.
-
-    A group beyond MOST_CATEGORIES rows is not dimension-sized: it fails instead of filling a task.
-    """
-    w = Window.partitionBy(*(within or [F.lit(0)]))
-    too_many = F.raise_error(F.lit(f"{where}: more than {MOST_CATEGORIES} categories in a group"))
-    return F.when(F.count(F.lit(1)).over(w) > MOST_CATEGORIES, too_many).otherwise(aggregate.over(w))
-
-
 def share(
     df: DataFrame,
     value: str = "n",
@@ -60,21 +47,15 @@ def share(
     name: str = "share",
     scale: int = 1,
     digits: int | None = None,
-    bounded: bool = True,
 ) -> DataFrame:
     """Each row's part of the total, overall or within leading keys; the filters applied before this
     call decide the denominator.
 
-    ``df`` holds one row per category (college, school, zip, course), so a dimension limits its size
-    whatever the size of the facts. The total is a window over these rows: one pass over the source.
-    A group of more than MOST_CATEGORIES rows fails. Use ``bounded=False`` for keys without such a
-    limit: the total is then an aggregate joined back, spread over tasks, which may read the source
-    twice.
+    The total is an aggregate of the same rows, joined back or taken as one value, so no group is ever
+    read by one task. Spark computes the rows once and reuses their shuffle for the total.
     """
     within = list(within)
-    if bounded:
-        total = over_categories(F.sum(value), within, "share, use bounded=False")
-    elif not within:
+    if not within:
         total = df.agg(F.sum(value).alias("total")).scalar()
     else:
         df = left_join(df, df.groupBy(*within).agg(F.sum(value).alias("_total")), within)
@@ -103,5 +84,5 @@ def fill_where(df: DataFrame, column: str, cond: Column, value) -> DataFrame:
 
 
 def with_overall_mean(df: DataFrame, value: str, name: str = "overall_mean") -> DataFrame:
-    """Reference line of a chart dataset (one row per category): its mean on every row."""
-    return df.withColumn(name, over_categories(F.avg(value), where="overall mean"))
+    """Reference line of a chart dataset: its mean on every row."""
+    return df.withColumn(name, df.agg(F.avg(value).alias("mean")).scalar())

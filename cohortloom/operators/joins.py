@@ -13,7 +13,7 @@ def _condition(on: Sequence[str], null_safe: bool | Sequence[str]) -> Column:
     safe = (on if null_safe else ()) if isinstance(null_safe, bool) else null_safe
     pairs = [(k, F.col(k), F.col(f"_right_{k}")) for k in on]
     tests = [a.eqNullSafe(b) if k in safe else a == b for k, a, b in pairs]
-    return reduce(lambda a, b: a & b, tests)
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def left_join(

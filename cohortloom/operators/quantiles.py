@@ -2,13 +2,12 @@
 
 A quantile sketch (one small buffer per group) brackets each wanted rank. One pass then counts the
 values below each bracket and keeps, as value frequencies, only those inside it; the wanted value is
-found by a running count over the bracket. A bracket holds about ``6 / accuracy`` of its group, so
-raise ``accuracy`` for groups beyond a billion rows. The result is exact: a rank that falls outside
-its bracket raises an error.
+found by a running count over the bracket. A bracket reaches max(3 / accuracy, 2 / n) of its group to
+either side of the rank, rounded up to the next step of a ladder; the sketch errs by at most a third
+of that, so the rank lies inside for a group of any size.
 
-The sketch is checkpointed when the function is called, so the input is read once for it. Its rows are
-counted: up to BROADCAST_GROUPS groups it is broadcast and the input is never shuffled by group;
-beyond that the join is left to Spark.
+The sketch is checkpointed when the function is called, so the input is read once for it. How it is
+joined is left to Spark, which broadcasts it while it is small.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from ..session import cut_lineage
 from .joins import left_join
 
 ACCURACY = 10_000
-BROADCAST_GROUPS = 20_000
+LADDER = 10.0
 
 
 def order_statistics(
@@ -37,22 +36,18 @@ def order_statistics(
     ``ranks`` maps an output name to (1-based rank as an expression of the group size ``n``, the
     probability it lies at). Missing values are left out. Returns group, n and one column per rank.
     """
-    return _order_statistics(df, group, value, ranks, accuracy)[0]
-
-
-def _order_statistics(df, group, value, ranks, accuracy) -> tuple[DataFrame, bool]:
-    """The statistics, and whether their number of groups allows a broadcast."""
     group = list(group)
     names = list(ranks)
-    margin = 3.0 / accuracy
+    margins = [3.0 / accuracy]
+    while margins[-1] < 1.0:
+        margins.append(margins[-1] * LADDER)
     base = df.select(*group, F.col(value).cast("double").alias("_x")).filter(
         F.col("_x").isNotNull() & ~F.isnan("_x")
     )
 
     # Sketch: group size and, per rank, an interval of values around its probability.
-    probabilities = sorted(
-        {min(max(p + d, 0.0), 1.0) for _, p in ranks.values() for d in (-margin, margin)}
-    )
+    sides = [d * m for m in margins for d in (-1, 1)]
+    probabilities = sorted({min(max(p + d, 0.0), 1.0) for _, p in ranks.values() for d in sides})
     at = {p: i for i, p in enumerate(probabilities)}
     sketch = cut_lineage(
         base.groupBy(*group).agg(
@@ -60,12 +55,17 @@ def _order_statistics(df, group, value, ranks, accuracy) -> tuple[DataFrame, boo
             F.percentile_approx("_x", probabilities, accuracy).alias("_cuts"),
         )
     )
-    few = sketch.count() <= BROADCAST_GROUPS
-    small = F.col("n") <= 4 * accuracy  # a group this small is its own bracket
 
-    def cut(p: float, open_end: bool, infinity: float) -> Column:
-        bound = F.lit(infinity)
-        return bound if open_end else F.when(small, bound).otherwise(F.col("_cuts")[at[p]])
+    def cut(p: float, side: int) -> Column:
+        """End of a bracket; open where it would reach beyond the group."""
+        bound = F.lit(side * float("inf"))
+        for m in reversed(margins):
+            q = p + side * m
+            if 0.0 < q < 1.0:
+                bound = F.when(m * F.col("n") >= 4, F.col("_cuts")[at[q]]).otherwise(bound)
+            else:
+                bound = F.when(m * F.col("n") >= 4, F.lit(side * float("inf"))).otherwise(bound)
+        return bound
 
     ranked = sketch.select(
         *group,
@@ -75,8 +75,8 @@ def _order_statistics(df, group, value, ranks, accuracy) -> tuple[DataFrame, boo
                 F.struct(
                     F.lit(name).alias("name"),
                     rank.cast("long").alias("rank"),
-                    cut(max(p - margin, 0.0), p - margin <= 0, float("-inf")).alias("lo"),
-                    cut(min(p + margin, 1.0), p + margin >= 1, float("inf")).alias("hi"),
+                    cut(p, -1).alias("lo"),
+                    cut(p, 1).alias("hi"),
                 )
                 for name, (rank, p) in ranks.items()
             ]
@@ -88,7 +88,7 @@ def _order_statistics(df, group, value, ranks, accuracy) -> tuple[DataFrame, boo
 
     # One pass: values below a bracket collapse into one NULL-valued count, values above it drop.
     probes = (
-        left_join(base, _small(brackets, few), group)
+        left_join(base, brackets, group)
         if group
         else base.withColumn("_brackets", brackets.scalar())
     )
@@ -118,21 +118,16 @@ def _order_statistics(df, group, value, ranks, accuracy) -> tuple[DataFrame, boo
     for g in group:
         reached = reached & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     found = (
-        running.join(_small(wanted, few), reached)
+        running.join(wanted, reached)
         .groupBy(*group)
         .agg(*[F.max(F.when(F.col("_r.name") == n, F.col("_x"))).alias(n) for n in names])
     )
     sizes = sketch.select(*group, "n")
     joined = left_join(sizes, found, group) if group else found.withColumn("n", sizes.scalar())
-    missed = F.raise_error(F.lit("rank outside its bracket: raise accuracy"))
+    missed = F.raise_error(F.lit("internal error: a rank lies outside its bracket"))
     lost = {name: F.col(name).isNull() & (F.col("n") > 0) for name in names}
     checked = [F.when(lost[name], missed).otherwise(F.col(name)).alias(name) for name in names]
-    return joined.select(*group, "n", *checked), few
-
-
-def _small(df: DataFrame, few: bool) -> DataFrame:
-    """Broadcast a table of one or a few rows per group once the groups were counted to be few."""
-    return F.broadcast(df) if few else df
+    return joined.select(*group, "n", *checked)
 
 
 def quantiles(
@@ -143,25 +138,21 @@ def quantiles(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact quantiles, interpolated linearly between the two neighbouring order statistics."""
-    return _quantiles(df, group, value, probs, accuracy)[0]
-
-
-def _quantiles(df, group, value, probs, accuracy) -> tuple[DataFrame, bool]:
     n = F.col("n")
     ranks: dict[str, tuple[Column, float]] = {}
     for name, p in probs.items():
         ranks[f"_lo_{name}"] = (F.floor((n - 1) * p) + 1, p)
         ranks[f"_hi_{name}"] = (F.ceil((n - 1) * p) + 1, p)
-    stats, few = _order_statistics(df, group, value, ranks, accuracy)
+    stats = order_statistics(df, group, value, ranks, accuracy)
     out = []
     for name, p in probs.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         fraction = (n - 1) * p - F.floor((n - 1) * p)
         out.append((lo + fraction * (hi - lo)).alias(name))
-    return stats.select(*group, "n", *out), few
+    return stats.select(*group, "n", *out)
 
 
-def _hinges(df, group, value, accuracy) -> tuple[DataFrame, bool]:
+def _hinges(df, group, value, accuracy) -> DataFrame:
     """Tukey's lower hinge, median and upper hinge (the edges of a base box plot)."""
     n = F.col("n")
     depth = F.floor((n + 3) / 2) / 2
@@ -170,25 +161,24 @@ def _hinges(df, group, value, accuracy) -> tuple[DataFrame, bool]:
     for name, (place, p) in places.items():
         ranks[f"_lo_{name}"] = (F.floor(place), p)
         ranks[f"_hi_{name}"] = (F.ceil(place), p)
-    stats, few = _order_statistics(df, group, value, ranks, accuracy)
+    stats = order_statistics(df, group, value, ranks, accuracy)
     middles = [((F.col(f"_lo_{x}") + F.col(f"_hi_{x}")) / 2).alias(x) for x in places]
-    return stats.select(*group, "n", *middles), few
+    return stats.select(*group, "n", *middles)
 
 
 def _boxes(df, group, value, method, accuracy, reach) -> DataFrame:
     """Box edges and fences per group."""
     if method == "hinges":
-        boxes, few = _hinges(df, group, value, accuracy)
+        boxes = _hinges(df, group, value, accuracy)
     else:
         probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-        boxes, few = _quantiles(df, group, value, probs, accuracy)
+        boxes = quantiles(df, group, value, probs, accuracy)
     spread = F.col("q3") - F.col("q1")
-    fenced = boxes.select(
+    return boxes.select(
         *group, "q1", "median", "q3",
         (F.col("q1") - spread * reach).alias("_lo"),
         (F.col("q3") + spread * reach).alias("_hi"),
     )
-    return _small(fenced, few)
 
 
 def box_stats(
@@ -230,7 +220,7 @@ def box_outliers(
     limits = _boxes(df, group, value, method, accuracy, reach).select(*group, "_lo", "_hi")
     x = F.col(value).cast("double")
     return (
-        left_join(df.filter(x.isNotNull()), limits, group)
+        left_join(df.filter(x.isNotNull() & ~F.isnan(x)), limits, group)
         .filter((x < F.col("_lo")) | (x > F.col("_hi")))
         .drop("_lo", "_hi")
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import left_join
 from .ordering import sort_columns, sort_key
 
@@ -63,15 +64,24 @@ def slice_range(df: DataFrame, order_by: Sequence[str], lo: int, hi: int) -> Dat
     return df.orderBy(*sort_columns(order_by)).offset(lo - 1).limit(hi - lo + 1)
 
 
-def with_sort_rank(df: DataFrame, order_by: Sequence[str], bound: int = 10_000) -> DataFrame:
-    """Explicit plot order (1, 2, ...) for a chart dataset, which may hold at most ``bound`` rows.
+def with_sort_rank(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Explicit plot order (1, 2, ...) of all rows.
 
-    A longer frame fails instead of being cut: ranking it would need one task for all rows.
+    The rows are range-partitioned on the order and numbered inside their partition; the partitions'
+    sizes give the offsets, so no task sees all rows. The partitioning is checkpointed, as both steps
+    must see the same one.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(*sort_columns(order_by))
-    rank = F.row_number().over(w)
-    too_long = F.raise_error(F.lit(f"sort rank is for chart datasets of at most {bound} rows"))
-    return df.withColumn("sort_rank", F.when(rank > bound, too_long).otherwise(rank).cast("int"))
+    columns = sort_columns(order_by)
+    parts = cut_lineage(
+        df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = parts.groupBy("_part").count().select(
+        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))
+    ranked = parts.withColumn("_rn", inside).join(offsets, "_part")
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_rn")).alias("sort_rank"))
 
 
 def is_duplicate(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import na_mean, pct_where, yes_no
@@ -14,7 +14,6 @@ from ..operators import (
     counts,
     drop_incomplete,
     left_join,
-    over_categories,
     share,
     t_test,
     top_k,
@@ -41,18 +40,18 @@ def college_ever_top(later: DataFrame, k: int = 10, denominator: int | None = No
 
     ``denominator`` overrides that number.
     """
-    # A student's set of colleges is limited by the number of colleges; its first entry stands for
-    # the student, so one pass gives the visits per college and the students overall.
-    visits = later.groupBy("sid").agg(F.collect_set("college").alias("_colleges"))
-    visits = visits.select(F.posexplode("_colleges").alias("_at", "college"))
-    table = counts(visits, "college", _students=F.count_if(F.col("_at") == 0))
-    total = (
-        F.lit(denominator)
-        if denominator is not None
-        else over_categories(F.sum("_students"), where="colleges")
+    # One pass counts the students of each college and of all; the row of all has the most.
+    sets = later.rollup("college").agg(
+        F.grouping_id().alias("_all"), F.count_distinct("sid").alias("n")
     )
-    table = table.withColumn("percent", F.col("n") / total * 100).drop("_students")
-    return top_k(table, k, ["-n", "college"])
+    top = top_k(sets, k + 1, ["-_all", "-n", "college"])
+    if denominator is None:
+        few = Window.partitionBy(F.lit(0))  # k + 1 rows
+        total = F.max(F.when(F.col("_all") == 1, F.col("n"))).over(few)
+    else:
+        total = F.lit(denominator)
+    found = top.withColumn("percent", F.col("n") / total * 100)
+    return found.filter(F.col("_all") == 0).drop("_all")
 
 
 def first_or_none_top(bindall: DataFrame, k: int = 10) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import between_open, or_label, zip5
+from ..functions import between_open, na_max, or_label, zip5
+from ..operators.ordering import sort_key
 from ..operators import (
     anti_join,
     counts,
@@ -97,8 +98,8 @@ def max_term_attach(spells: DataFrame) -> DataFrame:
 
 
 def id_by_student(ce: DataFrame) -> DataFrame:
-    """Institutional id per student."""
-    return ce.groupBy("sid").agg(F.max("inst_id").alias("inst_id"))
+    """Institutional id per student; missing if it is missing on any of the student's rows."""
+    return ce.groupBy("sid").agg(na_max("inst_id").alias("inst_id"))
 
 
 def no_record_export(spells: DataFrame, ce: DataFrame) -> DataFrame:
@@ -140,11 +141,26 @@ def first_college_or_none(
     """First later spell of each adult student, together with all their no-college rows.
 
     ``people`` comes from ``adult_spells``. A student whose spells are all at or before the last
-    enrolment term, and at real colleges, appears in neither part.
+    enrolment term, and at real colleges, appears in neither part. Both parts come from one pass: a
+    student's later spells are reduced to the first, equal no-college rows to one with their number.
     """
-    first = first_college(people, columns)
-    none = people.filter(F.col("college") == NO_COLLEGE).select("sid", *columns)
-    return first.unionByName(none)
+    columns = list(columns)
+    kept = people.select("sid", *columns)
+    none = F.when(F.col("college") == NO_COLLEGE, F.struct(*columns))
+    later = F.col("term") > F.col("max_ce_term")
+    # A row per part that a spell belongs to: as a later spell it has no _none, as a no-college row
+    # it is its own.
+    parts = F.when(later & none.isNotNull(), F.array(F.nullif(none, none), none)).when(
+        later | none.isNotNull(), F.array(none)
+    )
+    tagged = kept.withColumn("_none", F.explode(parts))
+    order = sort_key(kept, ["term", "college"], carry=columns)
+    found = tagged.groupBy("sid", "_none").agg(
+        F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows")
+    )
+    copies = F.when(F.col("_none").isNull(), 1).otherwise(F.col("_rows"))
+    repeated = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return repeated.select("sid", *[F.col("_first")[c].alias(c) for c in columns])
 
 
 def first_destination(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,6 @@ SQL_SETTINGS = {
 
 # A shuffle partition should fit in the memory of one task.
 PARTITION_BYTES = 128 * 1024 * 1024
-MOST_PARTITIONS = 100_000
 
 
 def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
@@ -31,7 +32,7 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
         spark.conf.set(key, value)
     if input_bytes is not None:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        wanted = min(max(least, -(-input_bytes // PARTITION_BYTES)), MOST_PARTITIONS)
+        wanted = max(least, -(-input_bytes // PARTITION_BYTES))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
@@ -44,6 +45,7 @@ def local_session(cpus: int | str = "*", app: str = "cohortloom", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python call site of every column costs more than building the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -55,7 +57,8 @@ def local_session(cpus: int | str = "*", app: str = "cohortloom", **conf: str) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes when Python ends;
+    ``local_session`` also has Spark remove each checkpoint once its frame is no longer in use.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -64,5 +67,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()

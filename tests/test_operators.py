@@ -53,8 +53,10 @@ def test_slice_and_rank(spark, rows):
     df = spark.createDataFrame([(i,) for i in (None, 5, 3, 9, 1)], "k int")
     assert rows(op.slice_range(df, ["k"], 2, 3)) == [(3,), (5,)]
     assert rows(op.with_sort_rank(df, ["-k"])) == [(1, 4), (3, 3), (5, 2), (9, 1), (None, 5)]
-    with pytest.raises(Exception, match="chart datasets"):
-        op.with_sort_rank(df, ["k"], bound=4).collect()
+    many = op.with_sort_rank(spark.range(25_000).withColumn("k", -F.col("id")), ["k"])
+    assert many.filter(F.col("sort_rank") != 25_000 - F.col("id")).count() == 0
+    assert many.count() == 25_000
+    assert op.with_sort_rank(df.limit(0), ["k"]).count() == 0
 
 
 def test_duplicates_over_the_whole_frame(events, rows):
@@ -110,24 +112,34 @@ def test_counts_and_freq(spark, rows):
     assert rows(op.freq(df, "k")) == [("a", 2)]
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_shares(spark, rows, bounded):
+def test_shares(spark, rows):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), (None, "x", 4)], "g string, k string, n int")
-    assert rows(op.share(df, bounded=bounded), "k", "share") == [("x", 0.125), ("x", 0.5), ("y", 0.375)]
-    inner = op.share(df, within=["g"], bounded=bounded)
+    assert rows(op.share(df), "k", "share") == [("x", 0.125), ("x", 0.5), ("y", 0.375)]
+    inner = op.share(df, within=["g"])
     assert rows(inner, "g", "k", "share") == [("a", "x", 0.25), ("a", "y", 0.75), (None, "x", 1.0)]
-    rounded = op.share(df, scale=100, digits=0, bounded=bounded)
+    rounded = op.share(df, scale=100, digits=0)
     assert rows(rounded, "share") == [(12.0,), (38.0,), (50.0,)]  # 12.5 and 37.5 go to even
     assert df.columns == ["g", "k", "n"]
 
 
-def test_share_of_too_many_categories_fails(spark, monkeypatch):
-    monkeypatch.setattr(op.groups, "MOST_CATEGORIES", 2)
-    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "k string, n int")
-    with pytest.raises(Exception, match="bounded=False"):
-        op.share(df).collect()
-    assert op.share(df, bounded=False).count() == 3
-    assert op.share(df, within=["k"]).count() == 3
+def test_share_has_no_limit(spark):
+    df = spark.range(1_000_001).select(F.col("id").alias("k"), F.lit(1).alias("n"), F.lit("g").alias("g"))
+    total = F.round(F.sum("share"), 6)
+    assert op.share(df).agg(total, F.count("*")).first() == (1.0, 1_000_001)
+    assert op.share(df, within=["g"]).agg(total).first()[0] == 1.0
+    assert op.with_overall_mean(df, "n").filter("overall_mean <> 1").count() == 0
+
+
+def test_box_outliers_leave_nan_out(spark, rows):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 2, 3, 99, "nan")] + [(None,)], "x double")
+    assert rows(op.box_outliers(df, [], "x")) == [(99.0,)]
+    assert rows(op.box_stats(df, [], "x"), "n", "n_outliers") == [(5, 1)]
+
+
+def test_many_small_groups(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("g"), F.col("id").cast("double").alias("x"))
+    wrong = op.quantiles(df, ["g"], "x", {"m": 0.5}).filter(F.col("m") != F.col("g") + 2250)
+    assert wrong.count() == 0
 
 
 def test_exclude_drops_missing(spark, rows):

@@ -10,7 +10,7 @@ from bindings.views import Views
 from __spark_entry__ import queries
 from cohortloom import operators as op
 from cohortloom.plans import cohorts, enrolment, linkage
-from cohortloom.session import SQL_SETTINGS, cut_lineage
+from cohortloom.session import SQL_SETTINGS, cut_lineage, tune
 
 SF = "/root/testdata/sf0.01"
 PYTHON = {"gpa_welch", "load_ttest", "load_welch"}  # one result row each
@@ -43,15 +43,22 @@ def test_no_python_and_no_cross_join(spark, name):
         assert node not in plan
 
 
-@pytest.mark.parametrize("name", ["first_college_top", "cohort_yield", "college_ever_top"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "first_college_top", "cohort_yield", "college_ever_top", "college_profile", "first_or_none_top",
+        "load_welch", "boundary_check",
+    ],
+)
 def test_facts_are_read_once(spark, name):
     plan = plan_of(queries()[name](spark, SF))
     assert len([s for s in read_schemas(plan) if "l_shipdate" in s]) == 1
 
 
 def test_filter_and_columns_reach_the_scan(spark):
+    early = Views(spark, SF).ce("sid", before="1998-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(o_orderdate" in early
     plan = queries()["term_headcount"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(o_orderdate" in plan
     assert set(read_schemas(plan)[0].split(",")) == {"o_custkey:bigint", "o_orderdate:timestamp_ntz"}
 
 
@@ -142,10 +149,25 @@ def test_hot_group_quantiles(spark, small_skew):
     assert got[0] == 29998.5  # 0, 3, ..., 59997
 
 
-def test_share_without_a_bound_reads_no_group_whole(spark):
+def test_shares_read_no_group_whole(spark):
     df = op.counts(hot_spells(spark), "college", "sid")
-    plan = plan_of(op.share(df, within=["college"], bounded=False))
+    plan = plan_of(op.share(df, within=["college"]))
     assert "Window" not in plan and "ReusedExchange" in plan
+    assert "Window" not in plan_of(op.share(df))
+    assert "Window" not in plan_of(op.with_overall_mean(df, "n"))
+
+
+def test_partitions_follow_the_input(spark, conf):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf(**{key.replace(".", "__"): "4"})
+    tune(spark, input_bytes=100 * 10**12)
+    assert int(spark.conf.get(key)) == 745_059
+
+
+def test_queries_leave_the_session_alone(spark, conf):
+    conf(spark__sql__adaptive__forceOptimizeSkewedJoin="false")
+    queries()["term_headcount"](spark, SF)
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "false"
 
 
 def test_checkpoint_cuts_lineage(spark):

@@ -39,6 +39,22 @@ def test_first_or_none(linked, rows):
     assert rows(cohorts.cohort_gap(people)) == rows(cohorts.cohort_gap(both))
 
 
+def test_a_spell_may_be_later_and_without_college(spark, rows):
+    people = spark.createDataFrame(
+        [(1, 3, 2, "NO COLLEGE"), (1, 4, 2, "A"), (2, None, 2, "NO COLLEGE"), (2, None, 2, "NO COLLEGE"), (3, 1, 2, "A")],
+        "sid long, term int, max_ce_term int, college string",
+    )
+    both = linkage.first_college_or_none(people, ["term", "college", "max_ce_term"])
+    assert rows(both, "sid", "term", "college") == [
+        (1, 3, "NO COLLEGE"), (1, 3, "NO COLLEGE"), (2, None, "NO COLLEGE"), (2, None, "NO COLLEGE"),
+    ]
+
+
+def test_a_missing_id_makes_the_students_id_missing(spark, rows):
+    ce = spark.createDataFrame([(1, "B1"), (1, None), (2, "B2")], "sid long, inst_id string")
+    assert rows(linkage.id_by_student(ce)) == [(1, None), (2, "B2")]
+
+
 def test_boundary(linked, rows):
     at_boundary = destinations.boundary_check(linked.filter("sid = 2"))
     assert rows(at_boundary) == [(True, 1)]
