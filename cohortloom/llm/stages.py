@@ -3,7 +3,7 @@ columns of ``docs`` and a part of its rows, or changed texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, neardup, packing, substring, toxicity as toxic
@@ -13,6 +13,13 @@ from .frames import cut_lineage, held_out, read
 LEAST_COSINE = 0.05
 
 
+def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its own columns of these names renamed, and the columns that bring them back."""
+    mapping = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    back = [F.col(f"`{mapping.get(c, c)}`").alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(mapping), back
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or like no profile go.
 
@@ -20,17 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row names a language, nothing can be judged and every document with a letter stays.
     """
     known = langid.profiles(docs, ~held_out())
-    found = langid.identify(docs, known)
+    docs, columns = _set_aside(docs, "lang_pred", "lang_score")
     if not known:
-        return found.filter(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*columns)
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_COSINE)
-    return found.filter(sure).select(*docs.columns)
+    return langid.identify(docs, known).filter(sure).select(*columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not judged toxic by models of the labelled documents left."""
     model = toxic.fit(docs, read(spark, sf_dir, "labels"), ~held_out())
-    return toxic.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    docs, columns = _set_aside(docs, "score", "predicted", "evidence")
+    return toxic.score(docs, model).filter("predicted = 0").select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,26 +51,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     keepers = grouped.groupBy("group_id").agg(F.min(first).alias("first"))
     keepers = keepers.select(
-        "group_id", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")
+        F.col("group_id").alias("_group"),
+        F.col("first.doc_id").alias("_id"),
+        F.col("first.text_key").alias("_key"),
     )
+    docs, columns = _set_aside(docs, "_group", "_id", "_key", "_md5")
     keyed = docs.withColumn("_md5", F.unhex(F.md5("text")))
     kept = keyed.join(
         keepers, (F.col("_md5") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     )
     repeats = grouped.groupBy("doc_id", "text_key").count().filter("count > 1")
     if not repeats.isEmpty():  # equal rows: one of them stays
-        kept = kept.dropDuplicates(["group_id"])
+        kept = kept.dropDuplicates(["_group"])
     wordless = docs.filter(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    return kept.select(*docs.columns).unionByName(wordless)
+    return kept.select(*columns).unionByName(wordless.select(*columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that a repeated window of 35 words covers; ``n_chars`` follows."""
+    docs, columns = _set_aside(docs, "n_removed", "_key", "_kept")
     found = substring.remove_repeated(docs)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return found.select(*columns)
 
 
 def packing_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
