@@ -265,6 +265,10 @@ def _logit(age: str) -> str:
                  SELECT 'num_ce', b1, sqrt(i00 / (i00 * i11 - i01 * i01)), * FROM total)"""
     return with_common(
         """SELECT term, round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS z,
+           round(1 - 2 / sqrt(2 * pi()) * (
+               SELECT sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                          * exp(-power(least(abs(b / se), 9) * i / 20000, 2) / 2))
+                      * least(abs(b / se), 9) / 20000 / 3 FROM range(0, 20001) AS r(i)), 6) AS p_value,
            round(-2 * n * (ybar * ln(ybar) + (1 - ybar) * ln(1 - ybar)), 6) AS null_deviance,
            CAST(n AS BIGINT) - 1 AS null_df, round(dev, 6) AS residual_deviance,
            CAST(n AS BIGINT) - 2 AS residual_df, round(dev + 4, 6) AS aic FROM estimates""",

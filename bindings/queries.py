@@ -57,10 +57,10 @@ def _logit(v: Views, age: str):
     fit = op.logit_summary(_fitted(v, age), "after", ["num_ce"])
     return _r6(
         fit.select(
-            "term", "estimate", "std_error", "z", "null_deviance", "null_df",
+            "term", "estimate", "std_error", "z", "p_value", "null_deviance", "null_df",
             "residual_deviance", "residual_df", "aic",
         ),
-        "estimate", "std_error", "z", "null_deviance", "residual_deviance", "aic",
+        "estimate", "std_error", "z", "p_value", "null_deviance", "residual_deviance", "aic",
     )
 
 

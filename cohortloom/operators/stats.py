@@ -139,37 +139,50 @@ def t_test(
 
 
 def _logit_fit(df: DataFrame, outcome: str, predictors: list[str], max_iter: int, tol: float):
-    """Fitted model and the weighted points it was fitted to."""
+    """Fitted model and the points it was fitted to: rows and share of successes per predictor values."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     columns = [outcome, *predictors]
-    weighted = (
+    counted = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         .na.drop("any")
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+        .groupBy(*predictors)
+        .agg(F.count(F.lit(1)).cast("double").alias("_weight"), F.avg(outcome).alias("_share"))
     )
-    points = cut_lineage(VectorAssembler(inputCols=predictors, outputCol="_x").transform(weighted))
+    points = cut_lineage(VectorAssembler(inputCols=predictors, outputCol="_x").transform(counted))
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol=outcome, weightCol="_weight",
+        family="binomial", link="logit", featuresCol="_x", labelCol="_share", weightCol="_weight",
         maxIter=max_iter, tol=tol,
     ).fit(points)
     return model, points
 
 
+def _linear(model, predictors: list[Column]) -> Column:
+    value = F.lit(float(model.intercept))
+    for weight, x in zip(model.coefficients, predictors, strict=True):
+        value = value + F.lit(float(weight)) * x
+    return value
+
+
 def logit_summary(
     df: DataFrame, outcome: str, predictors: list[str], max_iter: int = 25, tol: float = 1e-10
 ) -> DataFrame:
     """Binomial-logit fit: one row per coefficient, the intercept first.
 
-    Rows are first counted by their distinct (outcome, predictors) values and the fit weights those
-    counts: the iterations then run over the value combinations, not over the entities. The counts
-    are checkpointed, since every iteration reads them again. Rows with a missing value are left out.
+    Rows are first counted by their distinct predictor values and the fit weights those counts: the
+    iterations then run over the value combinations, not over the entities. The counts are
+    checkpointed, since every iteration reads them again. Rows with a missing value are left out.
+    Deviances are those of the single rows.
     """
     model, points = _logit_fit(df, outcome, predictors, max_iter, tol)
     fit = model.summary
-    total = points.agg(F.sum("_weight")).first()[0]
+    linear = _linear(model, [F.col(c) for c in predictors])
+    hits = F.col("_weight") * F.col("_share")
+    lost = hits * F.log1p(F.exp(-linear)) + (F.col("_weight") - hits) * F.log1p(F.exp(linear))
+    total, successes, deviance = points.agg(F.sum("_weight"), F.sum(hits), 2 * F.sum(lost)).first()
+    share = successes / total
+    likely = sum(q * math.log(q) for q in (share, 1 - share) if q > 0)
     order = [len(predictors), *range(len(predictors))]  # the summary lists the intercept last
     estimates = [*model.coefficients, model.intercept]
     rows = [
@@ -179,11 +192,11 @@ def logit_summary(
             float(fit.coefficientStandardErrors[i]),
             float(fit.tValues[i]),
             float(fit.pValues[i]),
-            float(fit.nullDeviance),
+            -2 * total * likely,
             int(total) - 1,
-            float(fit.deviance),
+            float(deviance),
             int(total) - 1 - len(predictors),
-            float(fit.aic),
+            float(deviance) + 2 * (1 + len(predictors)),
             int(fit.numIterations),
         )
         for position, i in enumerate(order)
@@ -202,9 +215,7 @@ def logit_residuals(
     """Five-number summary of the deviance residuals of the same fit: one row."""
     model, _ = _logit_fit(df, outcome, predictors, max_iter, tol)
     columns = [F.col(c).cast("double") for c in (outcome, *predictors)]
-    y, linear = columns[0], F.lit(float(model.intercept))
-    for weight, x in zip(model.coefficients, columns[1:], strict=True):
-        linear = linear + F.lit(float(weight)) * x
+    y, linear = columns[0], _linear(model, columns[1:])
     p = 1 / (1 + F.exp(-linear))
     size = F.sqrt(-2 * F.log(F.when(y == 1, p).otherwise(1 - p)))
     residual = F.when(y == 1, size).otherwise(-size)
