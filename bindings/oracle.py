@@ -570,6 +570,12 @@ ORACLE = {
     "person_lookup": with_common(
         "SELECT sid, enroll_id, term, enrolled_after, age_first_day FROM ce WHERE sid = 17"
     ),
+    "enrollment_lines": with_common("""
+        SELECT sid, term, hs_grad_year, enrolled_after, ever_nonconcurrent, last_name, birth_date,
+               inst_id, gender, ethnicity, final_grade, high_school, age_first_day FROM ce_full"""),
+    "spell_lines": with_common(
+        "SELECT sid, record_found, college, begin_ymd, graduated, degree_title FROM all_spells"
+    ),
     "prepare_enrollments": with_common(f"""
         SELECT sid, enroll_id, CAST(enrolled_after = 'Y' AS INTEGER) AS enrolled_after_01,
                CAST(ever_nonconcurrent = 'Y' AS INTEGER) AS ever_nonconcurrent_01,

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from cohortloom import operators as op
 from cohortloom.functions import flag01, label, percent_label, strip_suffix
 from cohortloom.plans import cohorts, demographics, destinations, enrolment, linkage, schools
-from cohortloom.sources import prepare_enrollments, prepare_spells
+from cohortloom.sources import (
+    ENROLLMENTS,
+    SPELLS,
+    from_lines,
+    prepare_enrollments,
+    prepare_spells,
+    to_lines,
+)
 
 from .views import Views
 
@@ -35,7 +42,7 @@ def _profile(v: Views):
 
 
 def _cohorts(v: Views, one: int = 100, five: int = 500):
-    return cohorts.cohort_gap(v.people(), one, five)
+    return cohorts.cohort_gap(v.visitors(), one, five)
 
 
 def _cohort_campus(v: Views):
@@ -77,6 +84,12 @@ def _box(v: Views, value: str, **options):
     return _r6(table, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+def _round_trip(df, layout, sep: str):
+    """Rows written as delimited text and typed again by the readers' rules."""
+    kept = tuple(entry for entry in layout if entry[1] in df.columns)
+    return from_lines(to_lines(df.select(*[ours for _, ours, _ in kept]), sep), kept, sep)
+
+
 def _with_missing_ids(v: Views):
     """Enrolments of which a seventh lack the institutional id."""
     ce = v.ce("sid", "enroll_id", "inst_id")
@@ -163,6 +176,17 @@ QUERIES = {
     "person_lookup": lambda v: enrolment.person_lookup(
         v.ce(), "sid", 17, ["sid", "enroll_id", "term", "enrolled_after", "age_first_day"]
     ),
+    "enrollment_lines": lambda v: _round_trip(
+        v.ce_full(
+            "sid", "term", "hs_grad_year", "enrolled_after", "ever_nonconcurrent", "last_name",
+            "birth_date", "inst_id", "gender", "ethnicity", "final_grade", "high_school", "age_first_day",
+        ),
+        ENROLLMENTS, "\t",
+    ),
+    "spell_lines": lambda v: _round_trip(
+        v.all_spells().select("sid", "record_found", "college", "begin_ymd", "graduated", "degree_title"),
+        SPELLS, ",",
+    ),
     "prepare_enrollments": _prepared,
     "prepare_spells": lambda v: prepare_spells(v.all_spells(), domain=(1995, 2000)).select(
         "sid", "college", "begin_ymd", "term", "source"
@@ -234,7 +258,9 @@ QUERIES = {
     "first_college_top_without_target": lambda v: destinations.first_college_top(
         v.bindall(), 10, digits=1, without=TARGET
     ),
-    "college_ever_top": lambda v: destinations.college_ever_top(linkage.spells_after(v.linked())),
+    "college_ever_top": lambda v: destinations.college_ever_top(
+        linkage.spells_after(v.linked_visits())
+    ),
     "first_or_none_top": lambda v: destinations.first_or_none_top(v.bindall()),
     "college_profile": _profile,
     "profile_metric_rank": lambda v: destinations.profile_metric_rank(
@@ -260,7 +286,7 @@ QUERIES = {
     "zip_top_target": lambda v: _zip_top(v, TARGET),
     "zip_top_none": lambda v: _zip_top(v, linkage.NO_COLLEGE),
     "zip_top_by_college": lambda v: destinations.zip_top_by_college(
-        linkage.with_zip(linkage.first_destination(v.people()), v.zips()), CHOSEN
+        linkage.with_zip(linkage.first_destination(v.visitors()), v.zips()), CHOSEN
     ),
     "course_mix": lambda v: _r6(
         destinations.course_mix(v.bindall(), v.courses(), CHOSEN[:3], grade="grade_or_zero"),

@@ -20,6 +20,10 @@ from cohortloom.sources import crosswalk
 
 AS_OF = "1998-06-15"
 ENROLLED_BEFORE = "1998-01-01"
+LEVELS = {
+    "gender": ("Female", "Male", "Unknown"),
+    "ethnicity": ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
+}
 GRADES = {
     "1-URGENT": "A", "2-HIGH": "B+", "3-MEDIUM": "C", "4-NOT SPECIFIED": "P", "5-LOW": "E",
 }
@@ -217,7 +221,7 @@ class Views:
     def rollup(self, *columns: str, before: str | None = None) -> DataFrame:
         needed = ["sid", *(c for name in columns or ROLLED for c in ROLLED[name])]
         source = self.ce_full if "ethnicity" in needed else self.ce
-        return enrolment.student_rollup(source(*needed, before=before), *columns)
+        return enrolment.student_rollup(source(*needed, before=before), *columns, levels=LEVELS)
 
     def students(self, *columns: str, before: str | None = None) -> DataFrame:
         """Rollup with ages."""
@@ -229,14 +233,24 @@ class Views:
         """All spells, with rollup and current age."""
         return linkage.linked_spells(self.all_spells(), self.students(*columns, before=ENROLLED_BEFORE))
 
+    def linked_visits(self) -> DataFrame:
+        """Distinct visits of all spells, with the last enrolment term."""
+        rollup = self.rollup("max_ce_term", before=ENROLLED_BEFORE)
+        return linkage.linked_spells(linkage.visits(self.all_spells()), rollup, null_safe=False)
+
     def first(self) -> DataFrame:
-        return linkage.first_college(self.linked(), ["term", "college", "max_ce_term"])
+        return linkage.first_college(self.linked_visits(), ["term", "college", "max_ce_term"])
 
     def people(self, *columns: str) -> DataFrame:
         """Spells of adults that are not completions."""
-        spells = self.spells()
         rollup = self.students(*columns, before=ENROLLED_BEFORE)
-        return linkage.adult_spells(linkage.linked_spells(spells, rollup))
+        return linkage.adult_spells(linkage.linked_spells(self.spells(), rollup))
+
+    def visitors(self) -> DataFrame:
+        """The distinct visits among these spells."""
+        rollup = self.students(before=ENROLLED_BEFORE)
+        linked = linkage.linked_spells(linkage.visits(self.spells()), rollup, null_safe=False)
+        return linkage.adult_spells(linked)
 
     def bindall(self, *columns: str) -> DataFrame:
         """First later college of each adult, or none."""

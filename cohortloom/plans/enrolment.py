@@ -71,18 +71,24 @@ def term_bounds(ce: DataFrame) -> DataFrame:
     return ce.agg(F.min("term").alias("min_term"), F.max("term").alias("max_term"))
 
 
-def student_rollup(ce: DataFrame, *columns: str) -> DataFrame:
+def student_rollup(
+    ce: DataFrame, *columns: str, levels: dict[str, tuple[str, ...]] | None = None
+) -> DataFrame:
     """One row per student. Name the output columns needed, or get all of them.
 
-    A column with a missing value on any row of a student is missing for the student.
+    A column with a missing value on any row of a student is missing for the student. ``levels`` may
+    declare the values of gender and ethnicity, lowest first: their maximum is then taken over
+    integers in a hash aggregate, while a maximum over text sorts the input. Another value counts as
+    missing.
     """
+    levels = levels or {}
+    text = {c: ever_flag(c, levels[c]) if c in levels else na_max(c) for c in ("gender", "ethnicity")}
     available: dict[str, Column] = {
         "num_ce": F.count(F.lit(1)),
         "max_ce_term": na_max("term"),
         "ce_gpa": na_mean("grade_num"),
         "enrolled_after": ever_flag("enrolled_after"),
-        "gender": na_max("gender"),
-        "ethnicity": na_max("ethnicity"),
+        **text,
         "birth_date": na_max("birth_date"),
     }
     wanted = columns or tuple(available)

@@ -47,9 +47,22 @@ def linked_term(ce: DataFrame, spells: DataFrame) -> DataFrame:
     return left_join(ce, spells, ["sid", "term"])
 
 
-def linked_spells(spells: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Spells with their student's rollup."""
-    return left_join(spells, rollup, ["sid"])
+def visits(spells: DataFrame) -> DataFrame:
+    """Distinct (student, term, college).
+
+    First and later colleges need no more of the spells. Map tasks already combine them, so a student
+    with very many spells is a few rows before any join.
+    """
+    return spells.select("sid", "term", "college").distinct()
+
+
+def linked_spells(spells: DataFrame, rollup: DataFrame, null_safe: bool = True) -> DataFrame:
+    """Spells with their student's rollup.
+
+    Of ``visits``, where no student is missing, ``null_safe=False`` joins on the partitioning that the
+    rollup and later steps per student have anyway.
+    """
+    return left_join(spells, rollup, ["sid"], null_safe)
 
 
 def spells_after(linked: DataFrame) -> DataFrame:

@@ -1,11 +1,18 @@
 """Typed reading of the input files, delimited export, checked lookups."""
 
 from .crosswalks import crosswalk, read_crosswalk
-from .readers import prepare_enrollments, prepare_spells, read_enrollments, read_spells
+from .readers import (
+    from_lines,
+    prepare_enrollments,
+    prepare_spells,
+    read_enrollments,
+    read_spells,
+)
 from .schemas import ENROLLMENTS, ENROLLMENTS_V2, SPELLS
-from .writers import write_delimited
+from .writers import to_lines, write_delimited
 
 __all__ = [
-    "ENROLLMENTS", "ENROLLMENTS_V2", "SPELLS", "crosswalk", "prepare_enrollments",
-    "prepare_spells", "read_crosswalk", "read_enrollments", "read_spells", "write_delimited",
+    "ENROLLMENTS", "ENROLLMENTS_V2", "SPELLS", "crosswalk", "from_lines",
+    "prepare_enrollments", "prepare_spells", "read_crosswalk", "read_enrollments", "read_spells",
+    "to_lines", "write_delimited",
 ]

@@ -12,6 +12,8 @@ from ..functions import flag01, grade_points, label, parse_date, term_of_ymd, te
 from .schemas import ENROLLMENTS, SPELLS
 
 Layout = tuple[tuple[str, str, str], ...]
+# How a value is written in either file.
+TEXT = {"nullValue": "NA", "quote": '"', "escape": '"'}
 
 
 def _plain(name: str) -> str:
@@ -35,14 +37,21 @@ def read_delimited(
     ``header`` names the file's columns in order and saves opening a file to read them. A value that
     does not parse, and the text NA, become NULL. Apostrophes and '#' are ordinary characters.
     """
-    options = {
-        "sep": sep, "header": True, "nullValue": "NA", "quote": '"', "escape": '"',
-        "mode": "PERMISSIVE", "enforceSchema": False,
-    }
-    reader = spark.read.options(**options)
+    reader = spark.read.options(**TEXT, sep=sep, header=True, mode="PERMISSIVE", enforceSchema=False)
     if header is not None:
         reader = reader.schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
-    raw = reader.csv(path)
+    return typed(reader.csv(path), layout)
+
+
+def from_lines(lines: DataFrame, layout: Layout, sep: str, line: str = "line") -> DataFrame:
+    """Type lines of delimited text that hold the layout's columns in its order, by the same rules."""
+    fields = ", ".join(f"`{name}` string" for name, _, _ in layout)
+    parsed = F.from_csv(line, F.lit(fields), {**TEXT, "sep": sep})
+    return typed(lines.select(parsed.alias("parsed")).select("parsed.*"), layout)
+
+
+def typed(raw: DataFrame, layout: Layout) -> DataFrame:
+    """Text columns by the layout's names, in its types."""
     at = {_plain(c): f"`{c}`" for c in raw.columns}
     missing = [name for name, _, _ in layout if _plain(name) not in at]
     if missing:

@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     """Write delimited text with a header, one part file per task; missing values as NA."""
     df.write.mode(mode).csv(path, sep=sep, header=True, nullValue="NA", quote='"', escape='"')
+
+
+def to_lines(df: DataFrame, sep: str = ",") -> DataFrame:
+    """The same rows as text in a column ``line``; dates in the pattern that the readers expect."""
+    values = [
+        F.date_format(name, "dd-MMM-yyyy").alias(name) if kind == "date" else F.col(name)
+        for name, kind in df.dtypes
+    ]
+    options = {"sep": sep, "nullValue": "NA", "quote": '"', "escape": '"'}
+    return df.select(F.to_csv(F.struct(*values), options).alias("line"))

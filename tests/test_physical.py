@@ -149,6 +149,27 @@ def test_hot_group_quantiles(spark, small_skew):
     assert got[0] == 29998.5  # 0, 3, ..., 59997
 
 
+def test_rollup_needs_no_sort(spark):
+    plan = plan_of(queries()["student_rollup"](spark, SF))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_spells_shrink_before_the_join(spark, small_skew):
+    """No shuffle of joined spells: a hot student's spells are distinct visits by then."""
+    spells = hot_spells(spark)
+    rollup = spells.groupBy("sid").agg((F.min("term") + 100).alias("max_ce_term"))
+    linked = linkage.linked_spells(linkage.visits(spells), rollup, null_safe=False)
+    first = linkage.first_college(linked, ["term", "college", "max_ce_term"])
+    plan = plan_of(first)
+    joined = plan.index("Join")
+    assert "Exchange" not in plan[:joined]
+    assert first.count() == plan_rows(linkage.first_college(linkage.linked_spells(spells, rollup)))
+
+
+def plan_rows(df) -> int:
+    return df.select("sid").distinct().count()
+
+
 def test_shares_read_no_group_whole(spark):
     df = op.counts(hot_spells(spark), "college", "sid")
     plan = plan_of(op.share(df, within=["college"]))
