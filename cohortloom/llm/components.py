@@ -52,35 +52,36 @@ def _forest(batches):
         yield out(parts)
 
 
+def _stars(tree: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child: then each star is a component."""
+    ends = tree.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionAll(
+        tree.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return roles.filter("child > 1 or child = 1 and parent = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the edges; the root is the smallest node of its component.
 
     Each round hangs a node's larger neighbours under its smallest one, then the smaller ones too, and
-    ends when nothing moves. A node's neighbours are never gathered: minima are aggregated and joined
-    back. Rounds are cut from each other by a checkpoint.
+    the rounds end when only stars are left. A node's neighbours are never gathered: minima are
+    aggregated and joined back. Rounds are cut from each other by a checkpoint.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    pairs = pairs.filter("u <> v")
-    tree = cut_lineage(emitted(pairs, "u long, v long", _forest).distinct())
-    before = None
-    while True:
+    tree = cut_lineage(emitted(pairs.filter("u <> v"), "u long, v long", _forest).distinct())
+    while not _stars(tree):
         # Large star: every larger neighbour of u goes under the smallest of u and its neighbours.
         both = tree.unionAll(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: the smaller neighbours of u, and u, go under the smallest of them.
-        large = large.filter("u > v").distinct()
+        large = large.filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        tree = cut_lineage(
-            small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        )
-        after = tree.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if after == before:
-            break
-        before = after
-    roots = tree.groupBy("u").agg(F.min("v").alias("root"))
-    alone = tree.select(F.col("v").alias("u")).distinct().join(roots, "u", "left_anti")
-    return roots.select(F.col("u").alias("node"), "root").unionAll(
-        alone.select(F.col("u").alias("node"), F.col("u").alias("root"))
+        hung = small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u > v")
+        tree = cut_lineage(hung.distinct())
+    roots = tree.select("v").distinct()
+    return tree.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
+        roots.select(F.col("v").alias("node"), F.col("v").alias("root"))
     )

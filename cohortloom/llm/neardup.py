@@ -6,9 +6,11 @@ pseudo-random permutation of the signature's places: in step j the element offer
 
 Documents with equal sets form a class and are one node from there on. Nodes that agree in a band of
 places are candidates. With 32 bands of 4 places, a pair of similarity 0.8 is missed with probability
-5e-8. Inside a band's bucket every node is first compared with one node; only buckets that the links
-found leave in several components are then compared in full, in blocks of bounded size, by their
-signatures, and the pairs that may reach the threshold are verified on their sets like the others.
+5e-8. Inside a band's bucket every node is first compared with one node, and the pairs that may reach
+the threshold are verified on their sets. Where these links leave a bucket in several components, the
+pairs across them are looked at in blocks of bounded size: signatures first, which puts nodes that
+may be linked into clusters, then the full sets of a cluster, block against block, by counting common
+shingles as a product of matrices. A block returns no pairs but a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .among import maybe_among
-from .components import components
+from .components import components, union_find
 from .frames import added, cut_lineage
 from .words import hashed_texts, mix, rolling
 
@@ -30,7 +32,9 @@ PLACES = 128
 BANDS = 32
 WIDTH = 5
 SIMILARITY = 80  # percent
-_BLOCK = 1024
+_BLOCK = 1024  # texts of a block
+_SHINGLES = 1_000_000  # of a block, about
+_SKETCHES = 4096  # signatures of a block
 # Six standard deviations of a signature's agreement at the threshold.
 _SLACK = 6
 
@@ -113,49 +117,50 @@ def _signed(batch_texts: pa.Array, width: int):
     ]
 
 
-def _shared(left: pa.Array, right: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the sets of two columns of texts."""
-    both = np.zeros(len(left), dtype=np.int64)
-    either = np.zeros(len(left), dtype=np.int64)
-    sets: list[np.ndarray] = []
-    for column in (left, right):
-        at = 0
-        for row, stop, hashes, offsets in hashed_texts(column, lower=True):
-            for i in range(stop - row):
-                found = shingles(hashes[offsets[i] : offsets[i + 1]], width)
-                if column is left:
-                    sets.append(found)
-                else:
-                    other = sets[row + i]
-                    common = len(np.intersect1d(found, other, assume_unique=True))
-                    both[row + i], either[row + i] = common, len(found) + len(other) - common
-            at = stop
-    return both, either
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The shingle sets of a column of texts."""
+    return [
+        shingles(hashes[a:b], width)
+        for _, _, hashes, offsets in hashed_texts(column, lower=True)
+        for a, b in zip(offsets[:-1], offsets[1:])
+    ]
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _reach(left: pa.Array, right: pa.Array, width: int, percent: int) -> np.ndarray:
+    """Whether the sets of two columns of texts reach the threshold, row by row."""
+    out = np.zeros(len(left), dtype=bool)
+    for i, (a, b) in enumerate(zip(_sets(left, width), _sets(right, width))):
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        either = len(a) + len(b) - common
+        out[i] = either > 0 and 100 * common >= percent * either
+    return out
+
+
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of some nodes."""
     keys = nodes.join(wanted, "node").select("node", "text_key")
-    texts = (
+    return (
         maybe_among(docs.select("text_key", "text"), F.col("text_key"), keys, F.col("text_key"))
         .groupBy("text_key")
         .agg(F.first("text").alias("text"))
         .join(keys, "text_key")
         .select("node", "text")
     )
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets reach the threshold."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts(wanted, nodes, docs)
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
 
     def compute():
         def work(batch):
-            out = np.zeros(batch.num_rows, dtype=bool)
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                both, either = _shared(part.column("text_a"), part.column("text_b"), width)
-                out[at : at + 64] = (100 * both >= percent * either) & (either > 0)
-            return [pa.array(out)]
+            parts = (batch.slice(at, 64) for at in range(0, batch.num_rows, 64))
+            found = [_reach(p.column("text_a"), p.column("text_b"), width, percent) for p in parts]
+            return [pa.array(np.concatenate(found))]
 
         return work
 
@@ -185,34 +190,116 @@ def _close(percent: int):
     return compute
 
 
-def _across(percent: int):
-    """Pairs of a block of a bucket that may be linked and lie in different components."""
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The two blocks of a group; they are the same where a block meets itself (side 0)."""
+    side = table["side"].to_numpy()
+    return table.filter(pa.array(side <= 1)), table.filter(pa.array(side != 1))
+
+
+def _forest(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    """A spanning forest of the edges."""
+    if not a:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    nodes, roots = union_find(np.concatenate(a), np.concatenate(b))
+    other = nodes != roots
+    return pa.table({"a": roots[other], "b": nodes[other]})
+
+
+def _may_link(percent: int):
+    """Edges between nodes of a block pair that lie in different components and may be linked."""
     least = _may_reach(percent) * PLACES
 
     def compare(table: pa.Table) -> pa.Table:
-        left = table.filter(table["side"].to_numpy() <= 1)
-        right = table.filter(table["side"].to_numpy() != 1)
+        left, right = _sides(table)
         sketch = [
             np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, PLACES)
             for t in (left, right)
         ]
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found_a, found_b = [], []
         node, root, n = (right[c].to_numpy() for c in ("node", "root", "n"))
-        for i, (x, r, size) in enumerate(
-            zip(left["node"].to_pylist(), left["root"].to_pylist(), left["n"].to_pylist())
-        ):
+        columns = (left[c].to_pylist() for c in ("node", "root", "n"))
+        for i, (x, r, size) in enumerate(zip(*columns)):
             fits = (root != r) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
             rows = np.flatnonzero(fits)
             if len(rows):
                 same = (sketch[1][rows] == sketch[0][i]).sum(axis=1)
                 rows = rows[same >= least]
-                found_a.append(np.minimum(node[rows], x))
-                found_b.append(np.maximum(node[rows], x))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+                found_a.append(np.full(len(rows), x))
+                found_b.append(node[rows])
+        return _forest(found_a, found_b)
 
     return compare
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every set on the right."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place, held = np.unique(
+        np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True, return_counts=True
+    )
+    shared = np.cumsum(held > 1) - 1  # a value that one set alone holds is in no intersection
+    keep = held[place] > 1
+    owner, place = owner[keep], shared[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, b = np.searchsorted(place, [first, first + columns])
+        held_by = np.zeros((len(sets), columns), dtype=np.float32)
+        held_by[owner[a:b], place[a:b] - first] = 1
+        out += held_by[: len(left)] @ held_by[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links(width: int, percent: int):
+    """Links between nodes of a block pair that lie in different components."""
+
+    def sets_of(table: pa.Table) -> list[np.ndarray]:
+        return [found for chunk in table["text"].chunks for found in _sets(chunk, width)]
+
+    def compare(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        sets = sets_of(left), sets_of(right)
+        common = common_counts(*sets)
+        sizes = [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
+        either = sizes[0][:, None] + sizes[1][None, :] - common
+        roots = [t["root"].to_numpy() for t in (left, right)]
+        linked = (100 * common >= percent * either) & (roots[0][:, None] != roots[1][None, :])
+        i, j = np.nonzero(linked)
+        return _forest([left["node"].to_numpy()[i]], [right["node"].to_numpy()[j]])
+
+    return compare
+
+
+def _blocks_of_clusters(clustered: DataFrame) -> DataFrame:
+    """(cluster, i, j, side, node, root): the block pairs that every node of a cluster takes part in.
+
+    The nodes of a cluster's largest component need no look at each other, so their blocks meet only
+    the blocks of the others; these meet all.
+    """
+    part = F.greatest(F.lit(1 / _BLOCK), F.col("n") / _SHINGLES)  # of a block
+    by_root = clustered.groupBy("cluster", "root").agg(F.sum(part).alias("parts"))
+    shape = by_root.groupBy("cluster").agg(
+        F.max(F.struct("parts", "root")).alias("main"), F.sum("parts").alias("all")
+    )
+    main = F.ceil(F.col("main.parts")).cast("int")
+    rest = F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("main.parts"))).cast("int")
+    shape = shape.select("cluster", F.col("main.root").alias("main_root"), main.alias("main"), rest.alias("rest"))
+    hashed = F.xxhash64("node")
+    own = F.when(
+        F.col("root") == F.col("main_root"), F.col("rest") + F.pmod(hashed, F.col("main"))
+    ).otherwise(F.pmod(hashed, F.col("rest"))).cast("int")
+    last = F.when(F.col("own") < F.col("rest"), F.col("rest") + F.col("main")).otherwise(F.col("rest"))
+    placed = clustered.join(shape, "cluster").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return placed.select(
+        "cluster", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        side.alias("side"),
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -279,7 +366,7 @@ def near_duplicates(
     member = member.withColumn("root", F.coalesce("root", "node"))
     mixed = member.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
     open_rows = member.join(mixed.select("band"), "band").withColumn(
-        "blocks", F.ceil(F.col("size") / _BLOCK).cast("int")
+        "blocks", F.ceil(F.col("size") / _SKETCHES).cast("int")
     )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     open_rows = (
@@ -293,15 +380,23 @@ def near_duplicates(
         )
         .join(sketches.select("node", "sketch"), "node")
     )
-    more = (
-        open_rows.groupBy("band", "i", "j")
-        .applyInArrow(_across(percent), "a long, b long")
-        .distinct()
-        .join(compared, ["a", "b"], "left_anti")
+    may_link = cut_lineage(
+        open_rows.groupBy("band", "i", "j").applyInArrow(_may_link(percent), "a long, b long").distinct()
     )
-    more_links = cut_lineage(_verified(cut_lineage(more), nodes, keyed, width, percent))
-    if not more_links.isEmpty():
-        grouped = cut_lineage(components(links.unionAll(more_links)))
+    if not may_link.isEmpty():
+        clusters = components(may_link).select("node", F.col("root").alias("cluster"))
+        clustered = cut_lineage(
+            clusters.join(grouped, "node", "left")
+            .withColumn("root", F.coalesce("root", "node"))
+            .join(nodes.select("node", "n"), "node")
+        )
+        more = (
+            _blocks_of_clusters(clustered)
+            .join(_texts(clustered.select("node"), nodes, keyed), "node")
+            .groupBy("cluster", "i", "j")
+            .applyInArrow(_links(width, percent), "a long, b long")
+        )
+        grouped = cut_lineage(components(links.unionAll(more)))
 
     roots = nodes.join(grouped, "node", "left").select(
         "set_key", "least_id", F.coalesce("root", "node").alias("root")

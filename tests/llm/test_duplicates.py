@@ -107,12 +107,39 @@ def test_chains_and_crowded_buckets(spark, monkeypatch):
             rows.append((len(rows), " ".join(copy)))
     expected, _ = near_by_force(rows, 2)
     monkeypatch.setattr(neardup, "_BLOCK", 7)
+    monkeypatch.setattr(neardup, "_SKETCHES", 9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, width=2).collect()}
     assert found == expected
     assert 1 < len(set(expected.values())) < len(rows)
 
 
+def test_common_counts():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 300, n, dtype=np.uint64)) for n in (0, 5, 90, 200, 200, 31)]
+    found = neardup.common_counts(sets[:4], sets[2:], columns=16)
+    expected = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:4]]
+    assert found.tolist() == expected
+    assert neardup.common_counts([], sets).shape == (0, 6)
+
+
+def test_blocks_hold_every_pair_of_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_BLOCK", 3)
+    rows = [(1, n, 0 if n < 11 else n // 4) for n in range(30)] + [(2, 40, 40), (2, 41, 41)]
+    df = spark.createDataFrame([(*r, 700_000 if r[1] == 12 else 9) for r in rows], "cluster long, node long, root long, n long")
+    groups = collections.defaultdict(list)
+    for r in neardup._blocks_of_clusters(df).collect():
+        groups[r["cluster"], r["i"], r["j"]].append((r["node"], r["root"], r["side"]))
+    met = set()
+    for members in groups.values():
+        left = [(n, r) for n, r, side in members if side <= 1]
+        right = [(n, r) for n, r, side in members if side != 1]
+        met |= {tuple(sorted((a, b))) for a, ra in left for b, rb in right if ra != rb}
+    assert met == {
+        (a, b) for c, a, ra in rows for d, b, rb in rows if c == d and ra != rb and a < b
+    }
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     found = neardup.near_duplicates(odd).collect()
     assert len(found) == len(odd_rows)
