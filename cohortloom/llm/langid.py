@@ -7,8 +7,8 @@ its documents, each with the same weight whatever its length. A document gets th
 cosine with it.
 
 Text is lower-cased; what is no letter (Unicode) counts as one gap, and a text begins and ends with
-one. A text is taken in parts of half a million characters, each with gaps around it. Only the profiles leave the tasks: one vector per language, of integers, so that sums do not
-depend on their order.
+one. A text is taken in parts of 131,072 characters, each with gaps around it. Only the profiles leave
+the tasks: one vector per language, of integers, so that sums do not depend on their order.
 """
 
 from __future__ import annotations
