@@ -35,6 +35,7 @@ WINDOW = 35
 ANCHOR = 8
 _PASSAGE = 256  # windows of a passage
 _SHARD = 40_000  # words of the passages of a shard
+_KEYS_HELD = 500_000
 _PLACE = (1 << 24) - 1
 
 
@@ -180,6 +181,22 @@ def _stripped(window: int):
     return work
 
 
+def _once_per_task(batches):
+    """Rows of texts that a task has not met before: copies are sent once by a task, not once each."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        if len(seen) > _KEYS_HELD:
+            seen.clear()
+        keys = batch.column("text_key").to_pylist()
+        new = []
+        for key in keys:
+            new.append(key not in seen)
+            seen.add(key)
+        rows = batch.filter(pa.array(new))
+        if rows.num_rows:
+            yield rows
+
+
 def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """(text_key, n_removed, kept_text) of the distinct texts that hold a repeated window.
 
@@ -202,9 +219,11 @@ def repeated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
     distinct = keyed.withColumn("text_key", F.unhex(F.md5("text")))
 
     def texts_of(keys: DataFrame) -> DataFrame:
-        """Distinct texts, reduced before the shuffle to those that may be wanted."""
-        found = maybe_among(distinct, F.col("doc"), keys, F.col("doc"))
-        return found.groupBy("text_key").agg(F.first("text").alias("text"), F.first("doc").alias("doc"))
+        """Distinct texts, reduced before their one shuffle to those that may be wanted."""
+        found = maybe_among(distinct, F.col("doc"), keys, F.col("doc")).select("doc", "text_key", "text")
+        once = emitted(found, "doc long, text_key binary, text string", _once_per_task)
+        # Partitioned by doc, as the aggregate and the join with the keys need it.
+        return once.repartition("doc").groupBy("doc", "text_key").agg(F.first("text").alias("text"))
 
     by_text = reference.groupBy("doc").agg(F.collect_list("window").alias("windows"))
     passages = cut_lineage(
