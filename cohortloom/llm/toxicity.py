@@ -5,7 +5,8 @@ interpolated Kneser-Ney counts: token counts at the highest order, continuation
 lowest order is shared: it counts in how many different words of the whole corpus a byte follows a
 context, so an expression that one class never showed falls back to the same probabilities in both.
 A text's evidence is the difference of the two log-likelihoods divided by its length; the cut-off is
-the best one on labelled documents that the counts did not see.
+the best one on labelled documents that the counts did not see, each weighted by how many labelled
+documents of its class it stands for, so that it does not move when a class is sampled.
 
 The class counts are fitted on at most ``per_class`` labelled documents of each class (those with the
 smallest hash of their id); the shared counts and the scores cover every document. The model is
@@ -251,6 +252,7 @@ def fit(
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
+    totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     # At most per_class rows of each class: bounded, so they may be broadcast.
     sample = marked.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(
         marked.filter("toxic = 0").orderBy(*order).limit(per_class)
@@ -273,17 +275,22 @@ def fit(
         return ToxicityModel({}, np.zeros(1 << 16))
     model = ToxicityModel(tables, shared_counts(docs, text))
     tuned = evidence(chosen.filter("tune"), model).select("toxic", "evidence").toArrow()
-    model.cut, model.scale = _cut(tuned["evidence"].to_numpy(), tuned["toxic"].to_numpy())
+    weights = [max(1.0, totals.get(label, 0) / per_class) for label in (0, 1)]
+    toxic = tuned["toxic"].to_numpy()
+    model.cut, model.scale = _cut(tuned["evidence"].to_numpy(), toxic, np.array(weights)[toxic])
     return model
 
 
-def _cut(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """The cut-off of the best F1, midway to the next value below, and the spread around it."""
+def _cut(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The cut-off of the best F1, midway to the next value below, and the spread around it.
+
+    ``weight`` is how many labelled documents each row stands for.
+    """
     if not toxic.any() or toxic.all():
         return 0.03, 0.01
     place = np.argsort(-evidence, kind="stable")
-    values, hits = evidence[place], np.cumsum(toxic[place])
-    f1 = 2 * hits / (np.arange(len(values)) + 1 + toxic.sum())
+    values, hits = evidence[place], np.cumsum((toxic * weight)[place])
+    f1 = 2 * hits / (np.cumsum(weight[place]) + hits[-1])
     f1[:-1][values[:-1] == values[1:]] = 0
     best = int(f1.argmax())
     below = values[best + 1] if best + 1 < len(values) else values[best] - 0.02

@@ -108,3 +108,32 @@ def test_class_model_is_a_distribution():
         head = int.from_bytes(context, "big") << 8
         grams = np.array([head | b for b in range(256)], dtype=np.uint64)
         assert abs(np.exp(model.log_probability(grams)).sum() - 1) < 1e-9
+
+
+def test_class_cap_does_not_move_the_cut(spark, monkeypatch):
+    import numpy as np
+
+    seen = []
+    plain = toxicity._cut
+    monkeypatch.setattr(toxicity, "_cut", lambda *args: seen.append(args) or plain(*args))
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    capped = toxicity.fit(docs, labels, ~held_out(), per_class=400)
+    (evidence, toxic, *_), = seen
+    marked = {r[0]: r[1] for r in labels.filter(~held_out()).groupBy("toxic").count().collect()}
+    # As if every sampled ordinary row stood in the table as often as rows were left out for it.
+    times = np.where(toxic == 1, 1, round(marked[0] / 400))
+    assert marked[1] <= 400 < marked[0] / 4
+    assert abs(capped.cut - plain(np.repeat(evidence, times), np.repeat(toxic, times), np.ones(times.sum()))[0]) < 2e-3
+
+
+def test_cut_of_a_sampled_class():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    evidence = np.concatenate([draw.normal(0, 1, 80_000), draw.normal(2.5, 1, 10_000)])
+    toxic = np.repeat([0, 1], [80_000, 10_000])
+    whole, _ = toxicity._cut(evidence, toxic, np.ones(90_000))
+    part = np.r_[0:10_000, 80_000:90_000]
+    cut, _ = toxicity._cut(evidence[part], toxic[part], np.where(toxic[part] == 1, 1.0, 8.0))
+    assert abs(cut - whole) < 0.1
+    assert toxicity._cut(evidence[part], toxic[part], np.ones(20_000))[0] < whole - 0.3
