@@ -1,16 +1,19 @@
 """Toxicity by two Kneser-Ney models over the bytes of words, one per class.
 
 A word is lower-cased (A-Z) and read as byte n-grams with a start and an end mark. Each class has
-interpolated Kneser-Ney counts: token counts at the highest order, continuation counts below. The
-lowest order is shared: it counts in how many different words of the whole corpus a byte follows a
-context, so an expression that one class never showed falls back to the same probabilities in both.
+discounted token counts at the highest order. What the discount leaves, and every context that a
+class never showed, goes to one shared model of all documents: interpolated Kneser-Ney over the
+different words of the corpus, of orders 5 to 2, so that an n-gram which is rare or missing in a class
+is judged by how the whole corpus goes on, and one that neither class knows counts for nothing.
 A text's evidence is the difference of the two log-likelihoods divided by its length; the cut-off is
 the best one on labelled documents that the counts did not see, each weighted by how many labelled
 documents of its class it stands for, so that it does not move when a class is sampled.
 
 The class counts are fitted on at most ``per_class`` labelled documents of each class (those with the
-smallest hash of their id); the shared counts and the scores cover every document. The model is
-bounded by that sample; the shared part has at most 65,536 entries.
+smallest hash of their id); the shared counts and the scores cover every document. The shared counts
+are a distributed table, which grows with the words of the corpus. Only its rows that a class can back
+off to are joined out and sent to the tasks: all n-grams whose context ends a context of a class. With
+them the probability of any byte after such a context is exact, whether the corpus shows it or not.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import added, emitted
+from .frames import added, cut_lineage, emitted
 from .words import NO_LETTER, word_slices
 
 ORDER = 5
@@ -118,56 +121,118 @@ def _new_words(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["word"])
 
 
-def _pairs_of_words(batches):
-    """How many of a partition's words hold each pair (previous byte, byte)."""
-    total = np.zeros(1 << 16, dtype=np.int64)
+def _grams_of_words(batches):
+    """(gram, n): how many of a partition's words hold each n-gram of the highest order."""
+    held, size = [], 0
+
+    def flush():
+        keys, counts = _merged(*(np.concatenate(x) for x in zip(*held)))
+        arrays = [pa.array(keys.astype(np.int64)), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(arrays, ["gram", "n"])
+
     for batch in batches:
-        body = batch.column("word")
-        data = np.frombuffer(b"".join(body.to_pylist()), dtype=np.uint8)
-        ends = np.cumsum(np.array([len(x) for x in body.to_pylist()], dtype=np.int64))
-        starts = np.concatenate([[0], ends[:-1]])
-        keys, word = _grams(data, starts, ends)
-        once = np.unique((word.astype(np.uint64) << np.uint64(16)) | (keys & np.uint64(0xFFFF)))
-        total += np.bincount((once & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-    pairs = np.flatnonzero(total)
-    if len(pairs):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], ["pair", "n"])
-
-
-def shared_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """In how many different words of the corpus each byte follows each other byte."""
+        body = batch.column("word").to_pylist()
+        data = np.frombuffer(b"".join(body), dtype=np.uint8)
+        ends = np.cumsum(np.array([len(x) for x in body], dtype=np.int64))
+        keys, word = _grams(data, np.concatenate([[0], ends[:-1]]), ends)
+        place = np.lexsort((keys, word))
+        keys, word = keys[place], word[place]
+        once = np.append(True, (keys[1:] != keys[:-1]) | (word[1:] != word[:-1]))
+        keys, counts = np.unique(keys[once], return_counts=True)
+        held.append((keys, counts.astype(np.float64)))
+        size += len(keys)
+        if size > 1_000_000:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def shared_counts(docs: DataFrame, text: str = "text") -> dict[int, DataFrame]:
+    """By order, (gram, n) over the corpus: in how many different words an n-gram of the highest order
+    stands, and how many different bytes come before a shorter one."""
     words = emitted(docs.select(F.col(text).alias("text")), "word binary", _new_words).distinct()
-    rows = emitted(words, "pair long, n long", _pairs_of_words).groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << 16, dtype=np.float64)
-    for row in rows.collect():  # at most 65,536
-        counts[row["pair"]] = row["n"]
-    return counts
+    grams = emitted(words, "gram long, n long", _grams_of_words).groupBy("gram").agg(F.sum("n").alias("n"))
+    tables = {ORDER: cut_lineage(grams)}
+    for order in range(ORDER - 1, 1, -1):
+        tail = F.col("gram").bitwiseAND((1 << (8 * order)) - 1)
+        shorter = tables[order + 1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        tables[order] = cut_lineage(shorter)
+    return tables
+
+
+def _contexts(keys: np.ndarray, order: int) -> np.ndarray:
+    """The contexts of this order that end a context of n-grams of the highest order."""
+    return np.unique((keys >> np.uint64(8)) & np.uint64((1 << (8 * (order - 1))) - 1))
+
+
+def backed_counts(tables: dict[int, DataFrame], keys: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of the shared counts that models of these n-grams can back off to, sorted."""
+    out = {}
+    for order, table in tables.items():
+        if order > 2:
+            wanted = pa.table({"context": pa.array(_contexts(keys, order).astype(np.int64))})
+            wanted = F.broadcast(table.sparkSession.createDataFrame(wanted))  # bounded by the class sample
+            table = table.withColumn("context", F.shiftright("gram", 8)).join(wanted, "context", "left_semi")
+        rows = table.select("gram", "n").toArrow()
+        grams = rows["gram"].to_numpy().astype(np.uint64)
+        place = np.argsort(grams)
+        out[order] = grams[place], rows["n"].to_numpy()[place].astype(np.float64)
+    return out
+
+
+def _level(order: int, keys: np.ndarray, counts: np.ndarray):
+    """Discounted shares of n-grams, and what each of their contexts leaves to shorter ones."""
+    contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
+    totals = np.bincount(place, weights=counts, minlength=len(contexts))
+    kinds = np.bincount(place, minlength=len(contexts))
+    seen = np.maximum(counts - DISCOUNT, 0) / totals[place]
+    return order, keys, seen, contexts, DISCOUNT * kinds / totals
+
+
+def _interpolated(levels, grams: np.ndarray, p: np.ndarray) -> np.ndarray:
+    for order, keys, seen, contexts, backoff in levels:
+        tail = grams & np.uint64((1 << (8 * order)) - 1)
+        weight = _find(contexts, backoff, tail >> np.uint64(8), 1.0)
+        p = _find(keys, seen, tail, 0.0) + weight * p
+    return p
+
+
+class _SharedModel:
+    """Interpolated Kneser-Ney probabilities of the corpus, right for the contexts of its counts."""
+
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        # How many different bytes come before each byte, never zero.
+        follows = np.bincount((counts[2][0] & np.uint64(0xFF)).astype(np.int64), minlength=256) + 0.5
+        self.base = follows / follows.sum()
+        self.levels = [_level(order, *counts[order]) for order in sorted(counts)]
 
+    def probability(self, grams: np.ndarray) -> np.ndarray:
+        return _interpolated(self.levels, grams, self.base[(grams & np.uint64(0xFF)).astype(np.int64)])
 
-class _ClassModel:
-    """Interpolated Kneser-Ney probabilities of one class over the shared lowest order."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray):
+class _ClassModel:
+    """Interpolated Kneser-Ney probabilities of one class, alone or over the shared model."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray | _SharedModel):
+        """``shared`` is the shared model, or counts of byte pairs, below which the class has orders of
+        its own."""
+        if isinstance(shared, _SharedModel):
+            self.levels = [_level(ORDER, keys, counts)]
+            self.below = shared.probability
+            return
         # Lowest order: the share of word types that a byte follows anything in, never zero.
         follows = shared.reshape(256, 256).sum(axis=0) + 0.5
-        self.base = follows / follows.sum()
+        base = follows / follows.sum()
+        self.below = lambda grams: base[(grams & np.uint64(0xFF)).astype(np.int64)]
         self.levels = []
         for order in range(ORDER, 1, -1):
-            contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
-            totals = np.bincount(place, weights=counts, minlength=len(contexts))
-            kinds = np.bincount(place, minlength=len(contexts))
-            seen = np.maximum(counts - DISCOUNT, 0) / totals[place]
-            self.levels.append((order, keys, seen, contexts, DISCOUNT * kinds / totals))
+            self.levels.append(_level(order, keys, counts))
             keys, counts = np.unique(keys & np.uint64((1 << (8 * (order - 1))) - 1), return_counts=True)
         self.levels.reverse()
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        p = self.base[(grams & np.uint64(0xFF)).astype(np.int64)]
-        for order, keys, seen, contexts, backoff in self.levels:
-            tail = grams & np.uint64((1 << (8 * order)) - 1)
-            weight = _find(contexts, backoff, tail >> np.uint64(8), 1.0)
-            p = _find(keys, seen, tail, 0.0) + weight * p
-        return np.log(p)
+        return np.log(_interpolated(self.levels, grams, self.below(grams)))
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -180,17 +245,23 @@ class ToxicityModel:
     """Class counts, shared counts and the fitted cut-off; ``counts`` is empty without both classes."""
 
     counts: dict[int, tuple[np.ndarray, np.ndarray]]
-    shared: np.ndarray
+    shared: dict[int, tuple[np.ndarray, np.ndarray]]
     cut: float = 0.0
     scale: float = 0.01
 
 
 def _word_scores(counts, shared):
     """A function from words in bytes to their log-likelihood differences."""
-    toxic, ordinary = (_ClassModel(*counts[c], shared) for c in (1, 0))
+    backing = _SharedModel(shared)
+    toxic, ordinary = (_ClassModel(*counts[c], backing) for c in (1, 0))
+    contexts = np.union1d(*(counts[c][0] >> np.uint64(8) for c in (0, 1)))
+    known = np.ones(len(contexts))
 
     def score(data, starts, ends):
         grams, word = _grams(data, starts, ends)
+        # After a context that neither class showed both have the shared probability.
+        met = _find(contexts, known, grams >> np.uint64(8), 0.0) > 0
+        grams, word = grams[met], word[met]
         gain = toxic.log_probability(grams) - ordinary.log_probability(grams)
         return np.bincount(word, weights=gain, minlength=len(starts))
 
@@ -272,8 +343,9 @@ def fit(
             place = np.argsort(keys)
             tables[label] = keys[place], rows["n"].to_numpy()[place].astype(np.float64)
     if len(tables) < 2:
-        return ToxicityModel({}, np.zeros(1 << 16))
-    model = ToxicityModel(tables, shared_counts(docs, text))
+        return ToxicityModel({}, {})
+    keys = np.union1d(tables[0][0], tables[1][0])
+    model = ToxicityModel(tables, backed_counts(shared_counts(docs, text), keys))
     tuned = evidence(chosen.filter("tune"), model).select("toxic", "evidence").toArrow()
     weights = [max(1.0, totals.get(label, 0) / per_class) for label in (0, 1)]
     toxic = tuned["toxic"].to_numpy()

@@ -137,3 +137,54 @@ def test_cut_of_a_sampled_class():
     cut, _ = toxicity._cut(evidence[part], toxic[part], np.where(toxic[part] == 1, 1.0, 8.0))
     assert abs(cut - whole) < 0.1
     assert toxicity._cut(evidence[part], toxic[part], np.ones(20_000))[0] < whole - 0.3
+
+
+def _plain_counts(words):
+    """The shared counts by hand: {order: {gram: n}}."""
+    tables = {5: {}}
+    for word in set(words):
+        padded = b"\1\1\1\1" + word + b"\2"
+        for gram in {padded[i : i + 5] for i in range(len(word) + 1)}:
+            tables[5][gram] = tables[5].get(gram, 0) + 1
+    for order in (4, 3, 2):
+        tables[order] = {}
+        for gram in tables[order + 1]:
+            tables[order][gram[1:]] = tables[order].get(gram[1:], 0) + 1
+    return {n: {int.from_bytes(g, "big"): c for g, c in t.items()} for n, t in tables.items()}
+
+
+def test_shared_counts_of_all_orders(spark):
+    import numpy as np
+
+    texts = ["banana bandana Band", "banana, aaaaaaaa ananas", None, "", "cabana"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tables = toxicity.shared_counts(docs)
+    plain = _plain_counts([b"banana", b"bandana", b"band", b"aaaaaaaa", b"ananas", b"cabana"])
+    assert {n: dict(map(tuple, t.collect())) for n, t in tables.items()} == plain
+    # Of the rows, those a class can back off to; any byte after its contexts has the exact probability.
+    keys, _ = toxicity._grams(np.frombuffer(b"bandits", np.uint8), np.array([0]), np.array([7]))
+    keys = np.unique(keys)
+    held = toxicity.backed_counts(tables, keys)
+    whole = {n: tuple(np.array(x) for x in zip(*sorted(t.items()))) for n, t in plain.items()}
+    whole = {n: (g.astype(np.uint64), c.astype(float)) for n, (g, c) in whole.items()}
+    assert 0 < len(held[5][0]) < len(whole[5][0])
+    every = ((keys >> np.uint64(8) << np.uint64(8))[:, None] + np.arange(256, dtype=np.uint64)).ravel()
+    found, right = (toxicity._SharedModel(x).probability(every) for x in (held, whole))
+    assert np.allclose(found, right, atol=0) and np.allclose(found.reshape(-1, 256).sum(axis=1), 1)
+    model = toxicity._ClassModel(keys, np.ones(len(keys)), toxicity._SharedModel(held))
+    assert np.allclose(np.exp(model.log_probability(every)).reshape(-1, 256).sum(axis=1), 1)
+
+
+def test_unlabelled_documents_smooth_the_classes(spark):
+    rows = [(i, "vile grudge here" if i % 2 else "kind garden here") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    gain = []
+    for words in ("other words", "grudger grudged grudging grudges grudgy grudgeon"):
+        more = [(100 + i, w) for i, w in enumerate(words.split())]
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        model = toxicity.fit(docs, labels, F.lit(True))
+        asked = spark.createDataFrame([(1, "grudgeful"), (2, "zzzz")], "doc_id long, text string")
+        gain.append({r["doc_id"]: r["evidence"] for r in toxicity.evidence(asked, model).collect()})
+    # The same labelled rows: what a class has not shown is judged by how the whole corpus goes on.
+    assert abs(gain[0][1] - gain[1][1]) > 0.01
+    assert all(g[1] > 0 for g in gain), gain
