@@ -29,6 +29,13 @@ MOST_LANGUAGES = 8192
 _RUN = 1 << 17  # characters taken together
 _BLOCK = 4096  # rare trigrams bound together
 _FIXED = 1 << 20
+# Of the learning rows of a language and length, so many have a smaller cosine than the least ...
+QUANTILE = 0.005
+# ... divided by this, which leaves room for rows that were not learned from.
+MARGIN = 0.75
+_ROWS = 50  # of a length, or it is taken together with the next
+_LENGTHS = 48
+_BINS = 1000
 
 
 class _Binder:
@@ -236,3 +243,58 @@ def identify(
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
     return added(docs, fields, compute)
+
+
+def length_class(text: str = "text") -> Column:
+    """How often the number of a text's letters doubles from one."""
+    letters = F.length(F.regexp_replace(F.col(text), r"\P{L}+", ""))
+    return F.least(F.floor(F.log2(F.greatest(letters, F.lit(1)))), F.lit(_LENGTHS - 1)).cast("int")
+
+
+def _least_by_length(counts: np.ndarray) -> list[float]:
+    """The least cosine per length class, from counts by length class and cosine.
+
+    Lengths are taken together from the shortest on until they have ``_ROWS`` rows. The cosine of a
+    text grows with the root of its letters, so of such a group the shorter ones have a smaller one.
+    """
+    if not counts.any():  # nothing measured: beyond chance for vectors of this size
+        return [4 / DIM**0.5] * _LENGTHS
+    groups, start = [], 0
+    for end in range(1, _LENGTHS + 1):
+        if counts[start:end].sum() >= _ROWS:
+            groups.append((start, end))
+            start = end
+    # What is left of the longest goes with the group before it.
+    first = groups.pop()[0] if groups else 0
+    groups.append((first, _LENGTHS))
+    out: list[float] = []
+    for start, end in groups:
+        below = np.cumsum(counts[start:end].sum(axis=0))
+        cut = MARGIN * int(np.searchsorted(below, QUANTILE * below[-1], "right")) / _BINS
+        top = start + int(np.flatnonzero(counts[start:end].any(axis=1))[-1])
+        out += [cut * 2 ** (min(0, size - top) / 2) for size in range(start, end)]
+    return out
+
+
+def least_cosines(
+    docs: DataFrame, known: dict[str, np.ndarray], learn: Column, text: str = "text", lang: str = "lang"
+) -> dict[str, list[float]]:
+    """By language and length class, the cosine below which a text is not in that language.
+
+    Set from the learning rows that their own profile wins. Only counts by language, length and a
+    thousandth of the cosine leave the tasks.
+    """
+    rows = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang")
+    )
+    found = (
+        identify(rows, known)
+        .filter(F.col("lang_pred") == F.col("lang"))
+        .groupBy("lang", length_class().alias("size"), F.floor(F.col("lang_score") * _BINS).alias("bin"))
+        .count()
+        .collect()
+    )
+    counts = {name: np.zeros((_LENGTHS, _BINS + 1), dtype=np.int64) for name in known}
+    for row in found:
+        counts[row["lang"]][row["size"], row["bin"]] = row["count"]
+    return {name: _least_by_length(table) for name, table in counts.items()}

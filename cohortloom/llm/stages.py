@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from . import langid, neardup, packing, substring, toxicity as toxic
 from .frames import cut_lineage, held_out, read
 
-# A text whose trigrams resemble no language this much is rejected.
-LEAST_COSINE = 0.05
-
 
 def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     """``docs`` with its own columns of these names renamed, and the columns that bring them back."""
@@ -23,15 +20,24 @@ def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or like no profile go.
 
-    Profiles are learned from the documents' own ``lang`` where given, except held-out rows. Where no
+    A text is like a profile if its cosine is not below what the learning rows of that language and
+    about that length have, but for the lowest few (``langid.least_cosines``). Profiles are learned from the documents' own ``lang`` where given, except held-out rows. Where no
     row names a language, nothing can be judged and every document with a letter stays.
     """
     known = langid.profiles(docs, ~held_out())
-    docs, columns = _set_aside(docs, "lang_pred", "lang_score")
     if not known:
-        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*columns)
-    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_COSINE)
-    return langid.identify(docs, known).filter(sure).select(*columns)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    cuts = langid.least_cosines(docs, known, ~held_out())
+    docs, columns = _set_aside(docs, "lang_pred", "lang_score", "_lang", "_size", "_least")
+    table = [(name, size, cut) for name, row in cuts.items() for size, cut in enumerate(row)]
+    least = F.broadcast(spark.createDataFrame(table, "_lang string, _size int, _least double"))
+    like = (
+        (F.col("lang_pred") == F.col("_lang"))
+        & (langid.length_class() == F.col("_size"))
+        & (F.col("lang_score") >= F.col("_least"))
+    )
+    sure = langid.identify(docs, known).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return sure.join(least, like).select(*columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,37 @@ def test_the_whole_pipeline(spark):
     docs = read(spark, "/root/testdata/sf0.001", "documents")
     assert 0 < found.count() <= docs.count()
     assert found.join(docs, "doc_id", "left_anti").count() == 0
+
+
+def test_gibberish_and_unlearned_languages_go(spark):
+    import random
+
+    draw = random.Random(5)
+    kinds = {
+        "latin": ("abcdefghijklmnopqrstuvwxyz", 9),
+        "base64": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 40),
+        "cyrillic": ([chr(c) for c in range(0x430, 0x450)], 9),
+        "han": ([chr(c) for c in range(0x4E00, 0x9FFF)], 9),
+    }
+
+    def text(letters, most):
+        return " ".join("".join(draw.choices(letters, k=draw.randint(2, most))) for _ in range(200))
+
+    docs = read(spark, "/root/testdata/sf0.1", "documents")
+    names = [kind for kind in kinds for _ in range(60)]
+    italian = (
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era"
+        " smarrita. Ahi quanto a dir qual era e cosa dura esta selva selvaggia e aspra e forte, che nel"
+        " pensier rinova la paura. Tanto e amara che poco e piu morte; ma per trattar del ben che vi"
+        " trovai, diro delle altre cose che vi ho scorte."
+    )
+    rows = [(-1 - i, text(*kinds[kind]), None, kind, 0) for i, kind in enumerate(names)]
+    rows.append((-1000, italian, None, "italian", 0))
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    kept = stages.language(spark, both, SF).select("doc_id", "source").collect()
+    assert [r["source"] for r in kept if r["doc_id"] is not None and r["doc_id"] < 0] == []
+    held = docs.filter(F.col("text").rlike(r"\p{L}")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    clean = {r[0] for r in held.select("doc_id").collect()}
+    stay = len(clean & {r["doc_id"] for r in kept}) / len(clean)
+    assert stay >= 0.995, stay
