@@ -34,6 +34,7 @@ QUANTILE = 0.005
 # ... divided by this, which leaves room for rows that were not learned from.
 MARGIN = 0.75
 _ROWS = 50  # of a length, or it is taken together with the next
+_HALF = 128  # letters at which the cosine of a text is about 0.7 of that of a long one
 _LENGTHS = 48
 _BINS = 1000
 
@@ -254,11 +255,12 @@ def length_class(text: str = "text") -> Column:
 def _least_by_length(counts: np.ndarray) -> list[float]:
     """The least cosine per length class, from counts by length class and cosine.
 
-    Lengths are taken together from the shortest on until they have ``_ROWS`` rows. The cosine of a
-    text grows with the root of its letters, so of such a group the shorter ones have a smaller one.
+    Lengths are taken together from the shortest on until they have ``_ROWS`` rows. The cosine of n
+    letters goes as the root of n / (n + ``_HALF``), so of such a group the shorter ones have less.
     """
     if not counts.any():  # nothing measured: beyond chance for vectors of this size
         return [4 / DIM**0.5] * _LENGTHS
+    expected = np.sqrt(1 / (1 + _HALF / 2.0 ** np.arange(_LENGTHS)))
     groups, start = [], 0
     for end in range(1, _LENGTHS + 1):
         if counts[start:end].sum() >= _ROWS:
@@ -272,7 +274,7 @@ def _least_by_length(counts: np.ndarray) -> list[float]:
         below = np.cumsum(counts[start:end].sum(axis=0))
         cut = MARGIN * int(np.searchsorted(below, QUANTILE * below[-1], "right")) / _BINS
         top = start + int(np.flatnonzero(counts[start:end].any(axis=1))[-1])
-        out += [cut * 2 ** (min(0, size - top) / 2) for size in range(start, end)]
+        out += [float(cut * min(1, expected[size] / expected[top])) for size in range(start, end)]
     return out
 
 

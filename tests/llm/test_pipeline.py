@@ -70,14 +70,9 @@ def test_gibberish_and_unlearned_languages_go(spark):
 
     docs = read(spark, "/root/testdata/sf0.1", "documents")
     names = [kind for kind in kinds for _ in range(60)]
-    italian = (
-        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era"
-        " smarrita. Ahi quanto a dir qual era e cosa dura esta selva selvaggia e aspra e forte, che nel"
-        " pensier rinova la paura. Tanto e amara che poco e piu morte; ma per trattar del ben che vi"
-        " trovai, diro delle altre cose che vi ho scorte."
-    )
     rows = [(-1 - i, text(*kinds[kind]), None, kind, 0) for i, kind in enumerate(names)]
-    rows.append((-1000, italian, None, "italian", 0))
+    # Longer than nearly all learning rows.
+    rows.append((-1000, " ".join(text(*kinds["latin"]) for _ in range(20)), None, "long", 0))
     more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     both = docs.unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
     kept = stages.language(spark, both, SF).select("doc_id", "source").collect()
