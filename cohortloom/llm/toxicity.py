@@ -1,10 +1,11 @@
 """Toxicity by two Kneser-Ney models over the bytes of words, one per class.
 
 A word is lower-cased (A-Z) and read as byte n-grams with a start and an end mark. Each class has
-discounted token counts at the highest order. What the discount leaves, and every context that a
-class never showed, goes to one shared model of all documents: interpolated Kneser-Ney over the
-different words of the corpus, of orders 5 to 2, so that an n-gram which is rare or missing in a class
-is judged by how the whole corpus goes on, and one that neither class knows counts for nothing.
+interpolated Kneser-Ney counts: token counts at the highest order, continuation counts below. What
+the discount takes from a context of a class goes to the class's next shorter order and, a quarter of
+it, to one shared model of all documents: interpolated Kneser-Ney over the different words of the corpus,
+of orders 5 to 2, so that an n-gram which is rare or missing in a class is also judged by how the whole
+corpus goes on.
 A text's evidence is the difference of the two log-likelihoods divided by its length; the cut-off is
 the best one on labelled documents that the counts did not see, each weighted by how many labelled
 documents of its class it stands for, so that it does not move when a class is sampled.
@@ -32,6 +33,7 @@ from .words import NO_LETTER, word_slices
 ORDER = 5
 DISCOUNT = 0.75
 PER_CLASS = 20_000
+SHARE = 0.25  # of what a class backs off, to the shared counts
 _START, _END = 1, 2  # marks; neither byte is part of a word
 _CACHE = 1 << 18
 
@@ -190,12 +192,17 @@ def _level(order: int, keys: np.ndarray, counts: np.ndarray):
     return order, keys, seen, contexts, DISCOUNT * kinds / totals
 
 
-def _interpolated(levels, grams: np.ndarray, p: np.ndarray) -> np.ndarray:
-    for order, keys, seen, contexts, backoff in levels:
+def _interpolated(levels, grams: np.ndarray, p: np.ndarray, shared: list[np.ndarray] | None = None):
+    """Probabilities by the highest order of each level, from the lowest on; ``shared`` has those of the
+    shared model. A context that was not seen leaves the probability as it is."""
+    out = []
+    for i, (order, keys, seen, contexts, backoff) in enumerate(levels):
         tail = grams & np.uint64((1 << (8 * order)) - 1)
-        weight = _find(contexts, backoff, tail >> np.uint64(8), 1.0)
-        p = _find(keys, seen, tail, 0.0) + weight * p
-    return p
+        weight = _find(contexts, backoff, tail >> np.uint64(8), -1.0)
+        lower = p if shared is None else (1 - SHARE) * p + SHARE * shared[i]
+        p = np.where(weight < 0, p, _find(keys, seen, tail, 0.0) + weight * lower)
+        out.append(p)
+    return out
 
 
 class _SharedModel:
@@ -207,32 +214,28 @@ class _SharedModel:
         self.base = follows / follows.sum()
         self.levels = [_level(order, *counts[order]) for order in sorted(counts)]
 
-    def probability(self, grams: np.ndarray) -> np.ndarray:
+    def probabilities(self, grams: np.ndarray) -> list[np.ndarray]:
+        """By order, from 2 on."""
         return _interpolated(self.levels, grams, self.base[(grams & np.uint64(0xFF)).astype(np.int64)])
 
 
 class _ClassModel:
-    """Interpolated Kneser-Ney probabilities of one class, alone or over the shared model."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray | _SharedModel):
-        """``shared`` is the shared model, or counts of byte pairs, below which the class has orders of
-        its own."""
-        if isinstance(shared, _SharedModel):
-            self.levels = [_level(ORDER, keys, counts)]
-            self.below = shared.probability
-            return
+    """Interpolated Kneser-Ney probabilities of one class."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray):
         # Lowest order: the share of word types that a byte follows anything in, never zero.
         follows = shared.reshape(256, 256).sum(axis=0) + 0.5
-        base = follows / follows.sum()
-        self.below = lambda grams: base[(grams & np.uint64(0xFF)).astype(np.int64)]
+        self.base = follows / follows.sum()
         self.levels = []
         for order in range(ORDER, 1, -1):
             self.levels.append(_level(order, keys, counts))
             keys, counts = np.unique(keys & np.uint64((1 << (8 * (order - 1))) - 1), return_counts=True)
         self.levels.reverse()
 
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        return np.log(_interpolated(self.levels, grams, self.below(grams)))
+    def log_probability(self, grams: np.ndarray, shared: list[np.ndarray] | None = None) -> np.ndarray:
+        """``shared``: the shared model's probabilities by order; without them the class stands alone."""
+        p = self.base[(grams & np.uint64(0xFF)).astype(np.int64)]
+        return np.log(_interpolated(self.levels, grams, p, shared)[-1])
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -253,16 +256,14 @@ class ToxicityModel:
 def _word_scores(counts, shared):
     """A function from words in bytes to their log-likelihood differences."""
     backing = _SharedModel(shared)
-    toxic, ordinary = (_ClassModel(*counts[c], backing) for c in (1, 0))
-    contexts = np.union1d(*(counts[c][0] >> np.uint64(8) for c in (0, 1)))
-    known = np.ones(len(contexts))
+    pairs = np.zeros(1 << 16)
+    pairs[shared[2][0].astype(np.int64)] = shared[2][1]
+    toxic, ordinary = (_ClassModel(*counts[c], pairs) for c in (1, 0))
 
     def score(data, starts, ends):
         grams, word = _grams(data, starts, ends)
-        # After a context that neither class showed both have the shared probability.
-        met = _find(contexts, known, grams >> np.uint64(8), 0.0) > 0
-        grams, word = grams[met], word[met]
-        gain = toxic.log_probability(grams) - ordinary.log_probability(grams)
+        behind = backing.probabilities(grams)
+        gain = toxic.log_probability(grams, behind) - ordinary.log_probability(grams, behind)
         return np.bincount(word, weights=gain, minlength=len(starts))
 
     return score
