@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import plan_of
+from plans_of import plan_of
 from pyspark.sql import functions as F
 
 from bindings.views import Views
