@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, packing, quality, search, sharding, substring, toxicity, urls
+from . import bpe, fingerprint, langid, neardup, packing, quality, search, sharding, substring, toxicity, urls
 from .frames import held_out, read
 
 
@@ -97,6 +97,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return fingerprint.with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_top_k": op2_exact_top_k,
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_repeated_passages": op10_repeated_passages,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 # The others learn models, hash or encode: SQL cannot express them.
