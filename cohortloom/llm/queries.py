@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, neardup, packing, quality, search, sharding, substring, toxicity, urls
+from . import bpe, fingerprint, langid, neardup, negatives, packing, quality, search, sharding, substring, toxicity, urls
 from .frames import held_out, read
 
 
@@ -102,6 +102,13 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives of every anchor and positive; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_top_k": op2_exact_top_k,
@@ -114,6 +121,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_repeated_passages": op10_repeated_passages,
     "op12_fingerprints": op12_fingerprints,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # The others learn models, hash or encode: SQL cannot express them.
@@ -121,4 +129,5 @@ ORACLE: dict[str, str] = {
     "op2_exact_top_k": search.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_repeated_passages": substring.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import fingerprint
+from cohortloom.llm import fingerprint, negatives
 from cohortloom.llm.frames import read
 from cohortloom.llm.queries import QUERIES
 
@@ -101,3 +101,83 @@ def test_merged_sketches(spark):
         assert {r["hash"] for r in sources.filter(F.col("source") == side).collect()} == expected
     covered = {(r["doc_id"], r["source"]): r["contained"] for r in fingerprint.coverage(known, "doc_id", sources, "source").collect()}
     assert all(covered[i, s] == 1 for i, s, _ in texts)
+
+
+# Hard negatives
+
+
+def negatives_by_force(rows, is_anchor, positives=5, count=10):
+    """rows: (id, label, whole vector)."""
+    out = set()
+    for a, label, q in rows:
+        if not is_anchor(a):
+            continue
+        scores = sorted((-sum(map(int.__mul__, q, v)), i, other) for i, other, v in rows if i != a)
+        for s, p, _ in [x for x in scores if x[2] == label][:positives]:
+            window = [x for x in scores if x[2] != label and 30 * -s <= 100 * -x[0] <= 90 * -s]
+            out |= {(a, p, r, i, -s, -t) for r, (t, i, _) in enumerate(window[:count], 1)}
+    return out
+
+
+def results(df):
+    return {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("rows, anchors", [(1000, 500), (90, 7)])
+def test_negatives_on_cells(spark, monkeypatch, rows, anchors):
+    monkeypatch.setattr(negatives, "ROWS", rows)
+    monkeypatch.setattr(negatives, "ANCHORS", anchors)
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(4, 12))
+    data = []
+    for i in range(400):
+        label = 0 if i % 3 else int(draw.integers(1, 4))  # a hot label
+        data.append((i, label, (centres[label] + draw.normal(size=12)).round(1).tolist()))
+    data += [(400 + i, data[i][1], data[i][2]) for i in range(20)]  # ties
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")
+    floors = [(i, k, [int(x) for x in np.floor(256 * np.array(v))]) for i, k, v in data]
+    expected = negatives_by_force(floors, lambda i: i % 10 == 0)
+    assert len(expected) > 500
+    assert results(negatives.mine(df, F.col("vec_id") % 10 == 0)) == expected
+
+
+def test_negatives_of_odd_rows(spark):
+    rows = [
+        (0, 1, [1.0, 2.0], "x"), (0, 1, [1.0, 2.0], "y"), (0, 2, [0.5, 0.5], "x"), (1, 1, None, "x"), (2, None, [1.0, 1.0], "x"),
+        (3, 1, [1.0, None], "x"), (4, 1, [float("nan"), 1.0], "x"), (5, 2, [float("inf"), 0.0], "x"), (6, 1, [], "x"),
+        (7, 1, [3.0], "x"), (8, 2, [-1.0, 1.0, 9.0], "x"), (9, 1, [-5.0, 0.0], "x"), (None, 1, [1.0, 1.0], "x"),
+        (100, 3, [1.0, 0.0], "x"), (200, 1, [0.0, 0.0], "x"), (10, 2, [1e6, -1e6], "x"), (11, 2, [1.0, 0.3], "x"), (11, 2, [1.0, 0.3], "x"),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, positive_score string")
+    floors = {
+        (i, k, tuple(int(np.floor(256 * x)) for x in v) + (0,) * (3 - len(v)))
+        for i, k, v, _ in rows
+        if None not in (i, k, v) and all(x is not None and np.isfinite(x) for x in v)
+    }
+    expected = negatives_by_force(sorted(floors), lambda i: i % 100 == 0)
+    assert expected and results(negatives.mine(df, F.col("vec_id") % 100 == 0)) == expected
+    assert negatives.mine(df.limit(0), F.lit(True)).count() == 0
+    assert negatives.mine(df.limit(1), F.lit(True)).count() == 0
+
+
+def test_large_scores_stay_exact(spark):
+    big = float(2**40 + 2**9)
+    rows = [(0, 1, [big, 1.0]), (1, 1, [3.0, -7.0]), (2, 1, [3.0, 5.0]), (3, 2, [2.0, 3.0]), (4, 2, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    floors = [(i, k, [int(256 * x) for x in v]) for i, k, v in rows]
+    expected = negatives_by_force(floors, lambda i: i == 0)
+    assert len(expected) == 4 and results(negatives.mine(df, F.col("vec_id") == 0)) == expected
+    huge = spark.createDataFrame([(0, 1, [1e30]), (1, 1, [1e30])], df.schema)
+    with pytest.raises(Exception, match="Overflow|too large|too big"):
+        negatives.mine(huge, F.lit(True)).collect()
+
+
+def test_index_and_thresholds_spare_work():
+    draw = np.random.default_rng(8)
+    scales = 2.0 ** -np.arange(32)  # skewed dimensions
+    vectors = np.floor(1000 * draw.normal(size=(3000, 32)) * scales)
+    block = negatives.Block(vectors)
+    top = np.sort(vectors @ vectors[0])[-20]
+    rows, scores = block.search(vectors[:1], np.array([top]))[0]
+    assert set(rows[scores >= top]) == set(np.flatnonzero(vectors @ vectors[0] >= top))
+    assert block.scored < 0.1 * block.asked and block.listed < 0.9 * block.held
