@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, neardup, negatives, packing, quality, search, sharding, substring, toxicity, urls
+from . import bpe, fingerprint, langid, neardup, negatives, packing, quality, search, sharding, substring, toxicity, urls, whitening
 from .frames import held_out, read
 
 
@@ -102,6 +102,11 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 leading components of all vectors, with unit variance."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten hard negatives of every anchor and positive; every seventh label is moved on by one."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_whitening": op11_whitening,
     "op12_fingerprints": op12_fingerprints,
     "op13_hard_negatives": op13_hard_negatives,
 }

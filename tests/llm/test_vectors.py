@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import fingerprint, negatives
+from cohortloom.llm import fingerprint, negatives, whitening
 from cohortloom.llm.frames import read
 from cohortloom.llm.queries import QUERIES
 
@@ -181,3 +181,104 @@ def test_index_and_thresholds_spare_work():
     rows, scores = block.search(vectors[:1], np.array([top]))[0]
     assert set(rows[scores >= top]) == set(np.flatnonzero(vectors @ vectors[0] >= top))
     assert block.scored < 0.1 * block.asked and block.listed < 0.9 * block.held
+
+
+# Whitening
+
+
+def whitened_by_force(rows, components=32, factor=64, offset=1_000_000):
+    """rows: (id, vector). n, deviations, eigenvalues, eigenvectors, centred vectors, trace."""
+    x = np.array([[int(np.floor(factor * c)) + offset for c in v] for _, v in rows], dtype=object)
+    n, sums = len(x), x.sum(axis=0)
+    gaps = x * n - sums
+    y = gaps.astype(float) / n
+    covariance = y.T @ y / n
+    values, directions = np.linalg.eigh(covariance)
+    order = np.argsort(-values)[:components]
+    return n, (gaps**2).sum(axis=1), values[order], directions[:, order], y, np.trace(covariance)
+
+
+def check_whitening(found, rows, components):
+    n, far, values, directions, y, trace = whitened_by_force(rows, components)
+    values, directions = values[values > 1e-9 * values[0]], directions[:, values > 1e-9 * values[0]]
+    count = len(values)
+    assert len(found) == len(rows) * count
+    ids = [i for i, _ in rows]
+    assert len(set(ids)) == len(ids)
+    z = np.full((len(rows), count), np.nan)
+    at = {i: k for k, i in enumerate(ids)}
+    for r in found:
+        k = at[r["vec_id"]]
+        z[k, r["component"] - 1] = r["whitened"]
+        assert (r["n"], r["deviation"]) == (n, far[k])
+        assert r["explained"] == pytest.approx(values[r["component"] - 1] / trace, rel=1e-10)
+    assert {r["identity_error"] for r in found} == {found[0]["identity_error"]} and found[0]["identity_error"] < 1e-9
+    expected = y @ directions / np.sqrt(values)
+    signs = np.sign((z * expected).sum(axis=0))
+    gap = np.min(np.abs(np.diff(values)), initial=np.inf) / values[0]
+    assert np.abs(z * signs - expected).max() < 1e-9 + 1e-11 / gap
+    assert np.abs(z.T @ z / n - np.eye(count)).max() < 1e-9
+
+
+def test_whitening_of_the_table(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in read(spark, SF, "embeddings").collect()]
+    rows = [(i, v) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    check_whitening(QUERIES["op11_whitening"](spark, SF).collect(), rows, 32)
+
+
+def test_whitening_of_correlated_vectors(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "_ROWS", 50)
+    draw = np.random.default_rng(9)
+    turn = draw.normal(size=(12, 12)) * 2.0 ** -np.arange(12)
+    rows = [(i, (100 * draw.normal(size=12) @ turn.T).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    check_whitening(whitening.whiten(df, 5).collect(), rows, 5)
+
+
+@pytest.mark.parametrize("wide, count, spectrum", [
+    (300, 12, lambda i: 1.0 / (1 + i)), (200, 10, lambda i: np.exp(-i / 3.0)), (150, 8, lambda i: 1.0 + (i < 20)),
+    (60, 20, lambda i: (i < 5) * 1.0), (40, 40, lambda i: 2.0**-i), (120, 6, lambda i: 1 + 1e-6 * (i == 0)), (1, 3, lambda i: i + 1.0),
+])
+def test_jacobi_davidson(wide, count, spectrum):
+    draw = np.random.default_rng(10)
+    basis = np.linalg.qr(draw.normal(size=(wide, wide)))[0]
+    true = np.array([float(spectrum(i)) for i in range(wide)])
+    matrix = (basis * true) @ basis.T
+    values, vectors, spent = whitening.leading(lambda p: matrix @ p, wide, count)
+    count = min(count, wide)
+    assert np.abs(values - np.sort(true)[::-1][:count]).max() < 1e-12 * true.max()
+    assert np.linalg.norm(matrix @ vectors - vectors * values, axis=0).max() <= 2 * whitening.PRECISION * true.max()
+    assert np.abs(vectors.T @ vectors - np.eye(count)).max() < 1e-13
+    assert spent["products"] < 400
+
+
+def test_minres_solves():
+    draw = np.random.default_rng(11)
+    a = draw.normal(size=(20, 20))
+    a = a + a.T
+    right = draw.normal(size=(20, 3))
+    shifts = np.array([0.3, -0.2, 1.1])
+    found = whitening.minres(lambda p: a @ p, right, shifts, lambda t: t, 40)
+    for i, s in enumerate(shifts):
+        assert np.allclose((a - s * np.eye(20)) @ found[:, i], right[:, i], atol=1e-6)
+
+
+def test_whitening_of_odd_rows(spark):
+    rows = [
+        (1, [1.0, 2.0], "x"), (1, [1.0, 2.0], "x"), (2, None, "x"), (3, [None, 1.0], "x"), (4, [float("nan"), 0.0], "x"),
+        (5, [float("inf"), 0.0], "x"), (6, [], "x"), (None, [3.0, -1.0], "x"), (7, [2.0], "x"), (8, [-4.0, 0.5], "x"),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, component string")
+    found = whitening.whiten(df).collect()
+    assert sorted(r["vec_id"] or 0 for r in found if r["component"] == 1) == [0, 1, 1, 6, 7, 8]
+    assert {r["n"] for r in found} == {6} and {r["component"] for r in found} == {1, 2}
+    filled = [[1, 2], [1, 2], [0, 0], [3, -1], [2, 0], [-4, 0.5]]
+    _, far, *_ = whitened_by_force(list(enumerate(filled)), 2)
+    assert sorted(r["deviation"] for r in found if r["component"] == 1) == sorted(far)
+    assert whitening.whiten(df.limit(0)).count() == 0
+    assert whitening.whiten(df.limit(1)).count() == 0
+    assert whitening.whiten(df.filter("vec_id = 6")).count() == 0
+    assert whitening.whiten(df.filter("vec_id = 1")).count() == 0
+    large = spark.createDataFrame([(i, [2.0**40 * i, 1.0 * i]) for i in range(4)], df.schema.fieldNames()[:2])
+    with pytest.raises(Exception, match="too large|Overflow|overflow|out of range|too big"):
+        whitening.whiten(large).collect()
