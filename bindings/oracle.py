@@ -290,26 +290,74 @@ def _logit_residuals(age: str) -> str:
     )
 
 
-def _loess(at: int) -> str:
-    return with_common(f"""
-        SELECT g AS grid_id, round(x, 6) AS x,
-               round(((s2*s4-s3*s3)*t0 + (s2*s3-s1*s4)*t1 + (s1*s3-s2*s2)*t2)
-                   / (s0*(s2*s4-s3*s3) + s1*(s2*s3-s1*s4) + s2*(s1*s3-s2*s2)), 6) AS fitted
-        FROM (
-            SELECT g, x, sum(w) s0, sum(w*d) s1, sum(w*d*d) s2, sum(w*d*d*d) s3, sum(w*d*d*d*d) s4,
-                   sum(w*py) t0, sum(w*py*d) t1, sum(w*py*d*d) t2
-            FROM (SELECT *, (1-power(dist/h,3))*(1-power(dist/h,3))*(1-power(dist/h,3)) AS w FROM (
-                SELECT *, max(CASE WHEN rn = q THEN dist END) OVER (PARTITION BY g) AS h FROM (
-                    SELECT *, px - x AS d, abs(px - x) AS dist,
-                           row_number() OVER (PARTITION BY g ORDER BY abs(px - x)) AS rn
-                    FROM (SELECT CAST(g AS INTEGER) AS g, lo + g * ((hi - lo) / 79) AS x, px, py,
-                                 CAST(floor(n * 0.75::DOUBLE + 1e-5) AS BIGINT) AS q
-                          FROM (SELECT CAST(min_load AS DOUBLE) AS px, freq AS py,
-                                       min(CAST(min_load AS DOUBLE)) OVER () AS lo,
-                                       max(CAST(min_load AS DOUBLE)) OVER () AS hi,
-                                       count(*) OVER () AS n
-                                FROM ({_capped(at)}) WHERE outcome = 'Y'), range(0, 80) AS r(g))))
-                WHERE dist < h) GROUP BY g, x)""")
+def _loess(at: int, direct: bool = False) -> str:
+    """Blended local fits with their band; with ``direct`` the fits of the grid positions themselves.
+
+    Cells are cut at the middle ranks, ``local`` holds what a local fit's value and slope give each point,
+    ``hat`` what the blended fit at a target gives it, and ``gap`` the matrix (I-L)(I-L)'.
+    """
+    steps = f"""
+        pts AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY min_load) AS i, CAST(min_load AS DOUBLE) AS px, freq AS py
+            FROM ({_capped(at)}) WHERE outcome = 'Y'),
+        size AS MATERIALIZED (
+            SELECT count(*) AS n, min(px) AS lo, max(px) AS hi,
+                   CAST(floor(count(*) * 0.75::DOUBLE + 1e-5) AS BIGINT) AS q,
+                   CAST(floor(count(*) * 0.75::DOUBLE * 0.2::DOUBLE) AS BIGINT) AS most FROM pts),
+        cells AS (
+            SELECT 1::BIGINT AS l, n AS u FROM size
+            UNION ALL
+            SELECT CASE side WHEN 0 THEN l ELSE (l + u) // 2 + 1 END, CASE side WHEN 0 THEN (l + u) // 2 ELSE u END
+            FROM cells, size, (VALUES (0), (1)) AS sides(side) WHERE u - l + 1 > most AND u > l),
+        grid AS MATERIALIZED (SELECT CAST(g AS INTEGER) AS g, lo + g * ((hi - lo) / 79) AS x FROM size, range(0, 80) AS r(g)),
+        vertices AS MATERIALIZED (
+            SELECT v, lead(v) OVER (ORDER BY v) AS next FROM (
+                SELECT lo - 0.1::DOUBLE * (hi - lo) AS v FROM size UNION SELECT hi + 0.1::DOUBLE * (hi - lo) FROM size
+                UNION SELECT (a.px + b.px) / 2 FROM cells, size, pts a, pts b
+                WHERE u - l + 1 > most AND u > l AND a.i = (l + u) // 2 AND b.i = (l + u) // 2 + 1)),
+        centres AS MATERIALIZED (SELECT v FROM vertices{" UNION SELECT x FROM grid" if direct else ""}),
+        weighted AS MATERIALIZED (
+            SELECT v, i, py, d, power(1 - power(abs(d) / h, 3), 3) AS w FROM (
+                SELECT v, i, py, px - v AS d, max(CASE WHEN rn = q THEN abs(px - v) END) OVER (PARTITION BY v) AS h
+                FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY abs(px - v)) AS rn FROM centres, pts, size))
+            WHERE abs(d) < h),
+        sums AS MATERIALIZED (
+            SELECT v, sum(w) s0, sum(w*d) s1, sum(w*d*d) s2, sum(w*d*d*d) s3, sum(w*d*d*d*d) s4 FROM weighted GROUP BY v),
+        local AS MATERIALIZED (
+            SELECT v, i, w * ((s2*s4-s3*s3) + (s2*s3-s1*s4)*d + (s1*s3-s2*s2)*d*d) / det AS level,
+                   w * ((s2*s3-s1*s4) + (s0*s4-s2*s2)*d + (s1*s2-s0*s3)*d*d) / det AS slope
+            FROM (SELECT *, s0*(s2*s4-s3*s3) + s1*(s2*s3-s1*s4) + s2*(s1*s3-s2*s2) AS det FROM weighted JOIN sums USING (v))),
+        targets AS MATERIALIZED (SELECT -1 - g AS id, x FROM grid UNION ALL SELECT i, px FROM pts),
+        blend AS MATERIALIZED (
+            SELECT id, v, next, next - v AS width, (x - v) / (next - v) AS t FROM targets, vertices WHERE x >= v AND x < next),
+        hat AS MATERIALIZED (
+            SELECT id, i, sum(part) AS l FROM (
+                SELECT id, i, (1 + 2*t) * (1-t) * (1-t) * level + width * t * (1-t) * (1-t) * slope AS part
+                FROM blend JOIN local USING (v)
+                UNION ALL
+                SELECT id, i, t*t * (3 - 2*t) * level + width * t*t * (t-1) * slope
+                FROM blend JOIN local ON next = local.v) GROUP BY id, i),
+        gap AS MATERIALIZED (
+            SELECT a.i AS a, b.i AS b, (a.i = b.i)::INTEGER - coalesce((SELECT l FROM hat WHERE id = a.i AND i = b.i), 0)
+                   - coalesce((SELECT l FROM hat WHERE id = b.i AND i = a.i), 0)
+                   + (SELECT sum(x.l * y.l) FROM hat x JOIN hat y USING (i) WHERE x.id = a.i AND y.id = b.i) AS m
+            FROM pts a, pts b),
+        spread AS MATERIALIZED (
+            SELECT sqrt(rss / d1) AS s, d1 * d1 / d2 AS dof FROM
+                (SELECT sum(CASE WHEN a = b THEN m END) AS d1, sum(m * m) AS d2 FROM gap),
+                (SELECT sum(power(p.py - f, 2)) AS rss FROM pts p JOIN
+                    (SELECT id, sum(l * py) AS f FROM hat JOIN pts USING (i) GROUP BY id) ON id = p.i)),
+        fits AS MATERIALIZED (
+            {"SELECT g, x, sum(level * py) AS fitted, sqrt(sum(level * level)) AS norm FROM grid JOIN local ON v = x JOIN pts USING (i) GROUP BY g, x"
+             if direct else
+             "SELECT g, x, sum(l * py) AS fitted, sqrt(sum(l * l)) AS norm FROM grid JOIN hat ON id = -1 - g JOIN pts USING (i) GROUP BY g, x"}),
+        reach AS MATERIALIZED (SELECT s, {_reach()} AS reach FROM spread)"""
+    return with_common(
+        """SELECT g AS grid_id, round(x, 6) AS x, round(fitted, 6) AS fitted, round(s * norm, 6) AS std_error,
+                  round(fitted - reach * s * norm, 6) AS lower, round(fitted + reach * s * norm, 6) AS upper
+           FROM fits, reach""",
+        steps,
+    )
 
 
 def _reach() -> str:
@@ -547,6 +595,7 @@ ORACLE = {
     "outcome_by_load_capped": with_common(_capped(8)),
     "outcome_by_load_capped_yes": with_common(f"SELECT * FROM ({_capped(8)}) WHERE outcome = 'Y'"),
     "outcome_loess": _loess(16),
+    "outcome_loess_direct": _loess(16, direct=True),
     "common_courses": with_common(_top(
         _count("courses", "class", more="round(avg(grade_num), 6) AS average_grade"), 10, "n DESC, class"
     )),

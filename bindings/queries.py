@@ -77,6 +77,13 @@ def _test(v: Views, value: str, equal_var: bool):
     return _r6(table.select("n_a", "n_b", *kept), *kept)
 
 
+def _loess(v: Views, **options):
+    students = enrolment.adults(v.students("num_ce", "enrolled_after"))
+    return _r6(
+        enrolment.outcome_loess(students, 16, **options), "x", "fitted", "std_error", "lower", "upper"
+    )
+
+
 def _box(v: Views, value: str, **options):
     table = destinations.box_by_college(
         v.bindall("num_ce", "ce_gpa"), value, [TARGET, linkage.NO_COLLEGE], **options
@@ -159,10 +166,8 @@ QUERIES = {
     "outcome_by_load_capped_yes": lambda v: enrolment.outcome_by_load_capped(
         enrolment.adults(v.students("num_ce", "enrolled_after")), 8
     ).filter(F.col("outcome") == "Y"),
-    "outcome_loess": lambda v: _r6(
-        enrolment.outcome_loess(enrolment.adults(v.students("num_ce", "enrolled_after")), 16),
-        "x", "fitted",
-    ),
+    "outcome_loess": lambda v: _loess(v),
+    "outcome_loess_direct": lambda v: _loess(v, surface="direct"),
     "common_courses": lambda v: _r6(enrolment.common_courses(v.courses()), "average_grade"),
     "retakes": lambda v: _r6(enrolment.retakes(v.courses()), "mean_grade"),
     "common_subjects": lambda v: enrolment.common_subjects(v.courses(), 4),

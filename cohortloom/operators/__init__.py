@@ -24,7 +24,8 @@ from .rows import (
     with_group_max,
     with_sort_rank,
 )
-from .stats import loess, logit_residuals, logit_summary, t_test
+from .smooth import loess
+from .stats import logit_residuals, logit_summary, t_test
 
 __all__ = [
     "anti_join", "attach_crosswalk", "box_outliers", "box_stats", "counts", "drop_incomplete",

@@ -1,4 +1,4 @@
-"""Two-sample tests, logistic regression and local regression."""
+"""Two-sample tests and logistic regression."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .quantiles import ACCURACY, order_statistics, quantiles
+from .quantiles import quantiles
 
 
 def _student_t():
@@ -222,55 +222,3 @@ def logit_residuals(
     known = df.na.drop("any", subset=[outcome, *predictors])
     probs = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
     return quantiles(cut_lineage(known.select(residual.alias("residual"))), [], "residual", probs)
-
-
-def loess(
-    df: DataFrame,
-    x: str,
-    y: str,
-    grid: int = 80,
-    span: float = 0.75,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """Local quadratic regression with tricube weights, evaluated on an even grid over the x range.
-
-    Each point is repeated for the grid positions; bandwidths are order statistics of the distances
-    and the fit of a grid position is a handful of weighted sums, so it is two grouped aggregates
-    whatever the number of points. Where a position has too few distinct neighbours the fit is NULL.
-    """
-    points = df.select(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
-    points = points.na.drop("any")
-    span_x = points.agg(F.struct(F.min("_px").alias("lo"), F.max("_px").alias("hi")).alias("r")).scalar()
-    step = (span_x["hi"] - span_x["lo"]) / (grid - 1)
-    placed = points.withColumn("grid_id", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "x", span_x["lo"] + F.col("grid_id") * step
-    )
-    placed = placed.withColumn("_d", F.col("_px") - F.col("x")).withColumn("_dist", F.abs("_d"))
-    neighbours = F.floor(F.col("n") * min(span, 1.0) + 1e-5)
-    widths = order_statistics(
-        placed, ["grid_id"], "_dist", {"_h": (neighbours, min(span, 1.0))}, accuracy
-    )
-    if span > 1.0:
-        widths = widths.withColumn("_h", F.col("_h") * span)
-    widths = widths.select(F.col("grid_id").alias("_gid"), "_h")
-
-    u = F.col("_dist") / F.col("_h")
-    cube = 1 - u * u * u
-    weighted = (
-        placed.join(widths, F.col("grid_id") == F.col("_gid"))
-        .filter(F.col("_dist") < F.col("_h"))
-        .withColumn("_w", cube * cube * cube)
-    )
-    d = F.col("_d")
-    powers = [F.lit(1.0), d, d * d, d * d * d, d * d * d * d]
-    sums = weighted.groupBy("grid_id", "x").agg(
-        *[F.sum(F.col("_w") * p).alias(f"s{i}") for i, p in enumerate(powers)],
-        *[F.sum(F.col("_w") * p * F.col("_py")).alias(f"t{i}") for i, p in enumerate(powers[:3])],
-    )
-    s0, s1, s2, s3, s4, t0, t1, t2 = [
-        F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")
-    ]
-    # Normal equations of a + b d + c d^2, solved for a, the value at the grid position.
-    c0, c1, c2 = s2 * s4 - s3 * s3, s2 * s3 - s1 * s4, s1 * s3 - s2 * s2
-    fitted = F.try_divide(c0 * t0 + c1 * t1 + c2 * t2, s0 * c0 + s1 * c1 + s2 * c2)
-    return sums.select("grid_id", "x", fitted.alias("fitted"))

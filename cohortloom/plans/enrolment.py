@@ -33,7 +33,6 @@ from ..operators import (
     slice_range,
     top_k,
 )
-from ..session import cut_lineage
 
 
 def null_audit(
@@ -180,12 +179,9 @@ def outcome_by_load_capped(students: DataFrame, cap_at: int = 16) -> DataFrame:
 
 
 def outcome_loess(students: DataFrame, cap_at: int = 16, **options) -> DataFrame:
-    """Smoothed share of outcome Y by number of courses.
-
-    The few points are checkpointed: the smoother reads them several times.
-    """
+    """Smoothed share of outcome Y by number of courses, with a confidence band."""
     points = outcome_by_load_capped(students, cap_at).filter(F.col("outcome") == "Y")
-    return loess(cut_lineage(points.select("min_load", "freq")), "min_load", "freq", **options)
+    return loess(points, "min_load", "freq", **options)
 
 
 def common_courses(courses: DataFrame, k: int = 10) -> DataFrame:

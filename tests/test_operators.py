@@ -265,18 +265,3 @@ def test_logit_against_newton(spark):
     assert got[0]["residual_deviance"] == pytest.approx(deviance)
     assert got[0]["aic"] == pytest.approx(deviance + 4)
     assert (got[0]["null_df"], got[0]["residual_df"]) == (799, 798)
-
-
-def test_loess_against_weighted_least_squares(spark):
-    rng = np.random.default_rng(2)
-    x = np.sort(rng.uniform(0, 10, 40))
-    y = np.sin(x) + rng.normal(0, 0.1, 40)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    for row in op.loess(df, "x", "y", grid=9).collect():
-        g = x.min() + row["grid_id"] * (x.max() - x.min()) / 8
-        distance = np.abs(x - g)
-        width = np.sort(distance)[int(40 * 0.75) - 1]
-        w = np.where(distance < width, (1 - (distance / width) ** 3) ** 3, 0)
-        design = np.column_stack([np.ones(40), x - g, (x - g) ** 2])
-        fit = np.linalg.solve(design.T @ (design * w[:, None]), design.T @ (w * y))[0]
-        assert row["x"] == pytest.approx(g) and row["fitted"] == pytest.approx(fit, rel=1e-6)
