@@ -1,3 +1,4 @@
+import importlib
 import math
 import random
 
@@ -183,6 +184,41 @@ def test_quantiles_are_exact(spark, accuracy):
             assert row[name] == pytest.approx(type7(values, p), rel=1e-12), (row["g"], name)
 
 
+@pytest.mark.parametrize("astray", [False, True])
+def test_wide_brackets_are_narrowed(spark, monkeypatch, astray):
+    """Brackets of more values than one task may add up, of a hot group, ties and a far tail."""
+    quantiles = importlib.import_module("cohortloom.operators.quantiles")
+
+    monkeypatch.setattr(quantiles, "ONE_TASK", 200)
+    taken = []
+
+    def watched(base, group, names, ranked, found=quantiles._found):
+        if astray and not taken:  # brackets beside their ranks
+            off = F.transform("_ranks", lambda r: r.withField("lo", r["hi"] + 1000).withField("hi", r["hi"] + 2000))
+            ranked = ranked.withColumn("_ranks", off)
+        taken.append(ranked)
+        return found(base, group, names, ranked)
+
+    monkeypatch.setattr(quantiles, "_found", watched)
+    rng = np.random.default_rng(8)
+    groups = {
+        "hot": rng.normal(size=30_000), "ties": np.repeat([1.0, 2.0, 3.0], 4000),
+        "tail": rng.lognormal(0, 20, 5000), None: rng.normal(size=40),
+        "ends": np.concatenate([np.zeros(3000), rng.uniform(0, 1, 2000), np.ones(3000)]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "g string, x double")
+    probs = {"min": 0.0, "q1": 0.25, "median": 0.5, "q99": 0.99, "max": 1.0}
+    for row in op.quantiles(df.repartition(6), ["g"], "x", probs, accuracy=100).collect():
+        expected = np.quantile(groups[row["g"]], list(probs.values()))
+        assert [row[name] for name in probs] == pytest.approx(list(expected), rel=1e-12)
+    assert len(taken) == 1 + astray
+    inside = df.join(taken[-1].select(F.col("g").alias("h"), F.explode("_ranks").alias("r")), F.col("g").eqNullSafe(F.col("h")))
+    inside = inside.filter((F.col("x") > F.col("r.lo")) & (F.col("x") < F.col("r.hi")))
+    assert inside.groupBy("g", "r.name").count().agg(F.max("count")).first()[0] <= 2 * 200
+    whole = op.quantiles(df.filter("g = 'hot'"), [], "x", {"median": 0.5}, accuracy=100).first()
+    assert whole["median"] == pytest.approx(np.median(groups["hot"]), rel=1e-12)
+
+
 def test_quantiles_without_groups(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)], "x double")
     assert tuple(op.quantiles(df, [], "x", {"q1": 0.25, "q3": 0.75}).first()) == (4, 1.75, 3.25)
