@@ -290,6 +290,34 @@ def _logit_residuals(age: str) -> str:
     )
 
 
+def _audit(rows: str, *checks: tuple[str, str, str, str]) -> str:
+    """A row per check: field, expected, which rows are rejected, what is shown of them."""
+    return with_common(" UNION ALL ".join(
+        f"""SELECT '{field}' AS field, '{expected}' AS expected, count(*) AS n_lines,
+            count(*) FILTER (WHERE {bad}) AS n_rejected, min(CASE WHEN {bad} THEN {shown} END) AS example FROM {rows}"""
+        for field, expected, bad, shown in checks
+    ))
+
+
+_TOO_FEW = "as many fields as the header"
+
+
+def _line(sep: str, *values: str) -> str:
+    return f" || '{sep}' || ".join(f"coalesce(CAST({v} AS VARCHAR), 'NA')" for v in values)
+
+
+_SHORT_LINE = _line(
+    "\t", "sid", "term", "hs_grad_year", "enrolled_after", "ever_nonconcurrent", "last_name",
+    "CASE WHEN sid % 17 = 2 THEN '31-FEB-1979' ELSE strftime(birth_date, '%d-%b-%Y') END", "inst_id", "gender",
+    "ethnicity", "final_grade", "high_school",
+)
+_LONG_LINE = _line(
+    ",", "sid", "record_found", "CASE college WHEN '' THEN '\"\"' ELSE college END",
+    "CASE WHEN sid % 13 = 4 THEN 'May 1997' ELSE CAST(begin_ymd AS VARCHAR) END", "graduated", "degree_title",
+    "'more'",
+)
+
+
 def _loess(at: int, direct: bool = False) -> str:
     """Blended local fits with their band; with ``direct`` the fits of the grid positions themselves.
 
@@ -622,6 +650,29 @@ ORACLE = {
     "enrollment_lines": with_common("""
         SELECT sid, term, hs_grad_year, enrolled_after, ever_nonconcurrent, last_name, birth_date,
                inst_id, gender, ethnicity, final_grade, high_school, age_first_day FROM ce_full"""),
+    "enrollment_file": with_common("""
+        SELECT sid, term, hs_grad_year, enrolled_after, ever_nonconcurrent, last_name,
+               CASE WHEN sid % 17 <> 2 THEN birth_date END AS birth_date, inst_id, gender, ethnicity, final_grade,
+               high_school, CASE WHEN sid % 13 <> 1 THEN age_first_day END AS age_first_day
+        FROM ce_full WHERE sid % 11 <> 0"""),
+    "enrollment_file_audit": _audit(
+        "ce_full",
+        ("(line)", _TOO_FEW, "sid % 11 = 0", _SHORT_LINE),
+        ("sid", "long", "false", "NULL::VARCHAR"),
+        ("term", "int", "false", "NULL::VARCHAR"),
+        ("hs_grad_year", "int", "false", "NULL::VARCHAR"),
+        ("birth_date", "date", "sid % 11 <> 0 AND sid % 17 = 2", "'31-FEB-1979'"),
+        ("age_first_day", "int", "sid % 11 <> 0 AND sid % 13 = 1", "'about 17'"),
+    ),
+    "spell_file": with_common("""
+        SELECT sid, record_found, college, CASE WHEN sid % 13 <> 4 THEN begin_ymd END AS begin_ymd, graduated,
+               degree_title FROM all_spells WHERE sid % 11 <> 3"""),
+    "spell_file_audit": _audit(
+        "all_spells",
+        ("(line)", _TOO_FEW, "sid % 11 = 3", _LONG_LINE),
+        ("sid", "long", "false", "NULL::VARCHAR"),
+        ("begin_ymd", "int", "sid % 11 <> 3 AND sid % 13 = 4", "'May 1997'"),
+    ),
     "spell_lines": with_common(
         "SELECT sid, record_found, college, begin_ymd, graduated, degree_title FROM all_spells"
     ),

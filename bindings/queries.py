@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 from cohortloom import operators as op
 from cohortloom.functions import flag01, label, percent_label, strip_suffix
 from cohortloom.plans import cohorts, demographics, destinations, enrolment, linkage, schools
+from cohortloom.session import shared_folder
 from cohortloom.sources import (
     ENROLLMENTS,
     SPELLS,
+    audit_delimited,
+    export_delimited,
     from_lines,
     prepare_enrollments,
     prepare_spells,
+    read_enrollments,
+    read_export,
+    read_spells,
     to_lines,
+    write_lines,
 )
 
 from .views import Views
@@ -97,6 +104,59 @@ def _round_trip(df, layout, sep: str):
     return from_lines(to_lines(df.select(*[ours for _, ours, _ in kept]), sep), kept, sep)
 
 
+def _exported(v: Views, name: str, df, sep: str):
+    """The rows as read back from their export."""
+    path = f"{shared_folder(v.spark)}/exports/{name}"
+    export_delimited(df, path, sep)
+    return read_export(v.spark, path, sep)
+
+
+def _layout(table, columns):
+    return tuple(entry for entry in table if entry[1] in columns)
+
+
+ENROLLMENT_COLUMNS = (
+    "sid", "term", "hs_grad_year", "enrolled_after", "ever_nonconcurrent", "last_name",
+    "birth_date", "inst_id", "gender", "ethnicity", "final_grade", "high_school", "age_first_day",
+)
+SPELL_COLUMNS = ("sid", "record_found", "college", "begin_ymd", "graduated", "degree_title")
+
+
+def _enrollment_file(v: Views):
+    """A file of all enrolments in which some ages and birth dates do not parse and some lines end early."""
+    path = f"{shared_folder(v.spark)}/files/enrollments"
+    layout = _layout(ENROLLMENTS, ENROLLMENT_COLUMNS)
+    sid = F.col("sid")
+    ce = v.ce_full(*ENROLLMENT_COLUMNS).withColumns(
+        {
+            "age_first_day": F.when(sid % 13 == 1, "about 17").otherwise(F.col("age_first_day").cast("string")),
+            "birth_date": F.when(sid % 17 == 2, "31-FEB-1979").otherwise(F.date_format("birth_date", "dd-MMM-yyyy")),
+        }
+    )
+    lines = to_lines(ce.select(*[ours for _, ours, _ in layout]), "\t")
+    number = F.split("line", "\t")[0].cast("long")
+    cut = F.when(number % 11 == 0, F.regexp_replace("line", "\t[^\t]*$", "")).otherwise(F.col("line"))
+    write_lines(lines.select(cut.alias("line")), path, "\t".join(name for name, _, _ in layout))
+    return path, layout
+
+
+def _spell_file(v: Views):
+    """A file of all spells in which some begin dates do not parse and some lines have a field too many."""
+    path = f"{shared_folder(v.spark)}/files/spells"
+    layout = _layout(SPELLS, SPELL_COLUMNS)
+    begin = F.when(F.col("sid") % 13 == 4, "May 1997").otherwise(F.col("begin_ymd").cast("string"))
+    spells = v.all_spells().select(*SPELL_COLUMNS).withColumn("begin_ymd", begin)
+    lines = to_lines(spells.select(*[ours for _, ours, _ in layout]), ",")
+    number = F.split("line", ",")[0].cast("long")
+    longer = F.when(number % 11 == 3, F.concat("line", F.lit(",more"))).otherwise(F.col("line"))
+    write_lines(lines.select(longer.alias("line")), path, ",".join(name for name, _, _ in layout))
+    return path, layout
+
+
+def _intact(rows):
+    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
 def _with_missing_ids(v: Views):
     """Enrolments of which a seventh lack the institutional id."""
     ce = v.ce("sid", "enroll_id", "inst_id")
@@ -124,8 +184,12 @@ QUERIES = {
     # enrolment
     "null_audit": lambda v: enrolment.null_audit(v.ce()),
     "grad_year_funnel": lambda v: enrolment.grad_year_funnel(v.ce(), 1994, 1998, ORDER),
-    "roster_distinct": lambda v: enrolment.roster_distinct(
-        v.ce_full("sid", "last_name", "birth_date"), ["sid", "last_name", "birth_date"]
+    "roster_distinct": lambda v: _exported(
+        v, "roster_distinct",
+        enrolment.roster_distinct(
+            v.ce_full("sid", "last_name", "birth_date"), ["sid", "last_name", "birth_date"]
+        ),
+        ",",
     ),
     "term_bounds": lambda v: enrolment.term_bounds(v.ce("term")),
     "student_rollup": lambda v: _r6(v.rollup(), "ce_gpa"),
@@ -181,17 +245,14 @@ QUERIES = {
     "person_lookup": lambda v: enrolment.person_lookup(
         v.ce(), "sid", 17, ["sid", "enroll_id", "term", "enrolled_after", "age_first_day"]
     ),
-    "enrollment_lines": lambda v: _round_trip(
-        v.ce_full(
-            "sid", "term", "hs_grad_year", "enrolled_after", "ever_nonconcurrent", "last_name",
-            "birth_date", "inst_id", "gender", "ethnicity", "final_grade", "high_school", "age_first_day",
-        ),
-        ENROLLMENTS, "\t",
-    ),
-    "spell_lines": lambda v: _round_trip(
-        v.all_spells().select("sid", "record_found", "college", "begin_ymd", "graduated", "degree_title"),
-        SPELLS, ",",
+    "enrollment_lines": lambda v: _round_trip(v.ce_full(*ENROLLMENT_COLUMNS), ENROLLMENTS, "\t"),
+    "spell_lines": lambda v: _round_trip(v.all_spells().select(*SPELL_COLUMNS), SPELLS, ","),
+    "enrollment_file": lambda v: _intact(
+        read_enrollments(v.spark, *_enrollment_file(v), corrupt="_corrupt")
     ),
+    "enrollment_file_audit": lambda v: audit_delimited(v.spark, *_enrollment_file(v), "\t"),
+    "spell_file": lambda v: _intact(read_spells(v.spark, *_spell_file(v), corrupt="_corrupt")),
+    "spell_file_audit": lambda v: audit_delimited(v.spark, *_spell_file(v), ","),
     "prepare_enrollments": _prepared,
     "prepare_spells": lambda v: prepare_spells(v.all_spells(), domain=(1995, 2000)).select(
         "sid", "college", "begin_ymd", "term", "source"
@@ -241,13 +302,19 @@ QUERIES = {
     "max_term_attach": lambda v: linkage.max_term_attach(
         v.all_spells().select("sid", "term", "college")
     ),
-    "no_record_export": lambda v: linkage.no_record_export(
-        v.all_spells().select("sid", "record_found", "graduated"), v.ce()
+    "no_record_export": lambda v: _exported(
+        v, "no_record_export",
+        linkage.no_record_export(v.all_spells().select("sid", "record_found", "graduated"), v.ce()),
+        "\t",
     ),
     "id_by_student": lambda v: linkage.id_by_student(v.ce("sid", "inst_id")),
     "id_by_student_missing": lambda v: linkage.id_by_student(_with_missing_ids(v)),
-    "no_record_export_missing": lambda v: linkage.no_record_export(
-        v.all_spells().select("sid", "record_found", "graduated"), _with_missing_ids(v)
+    "no_record_export_missing": lambda v: _exported(
+        v, "no_record_export_missing",
+        linkage.no_record_export(
+            v.all_spells().select("sid", "record_found", "graduated"), _with_missing_ids(v)
+        ),
+        "\t",
     ),
     "spell_kind": lambda v: linkage.spell_kind(v.all_spells()).select(
         "sid", "begin_ymd", "con_college", "college_label"

@@ -54,19 +54,27 @@ def local_session(cpus: int | str = "*", app: str = "cohortloom", **conf: str) -
     return tune(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, where every executor can write and read.
 
-    Only a local session without that setting gets a folder of its own, which goes when Python ends;
-    ``local_session`` also has Spark remove each checkpoint once its frame is no longer in use.
+    Only a local session without that setting gets a folder of its own, which goes when Python ends.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    ``local_session`` also has Spark remove each checkpoint once its frame is no longer in use.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

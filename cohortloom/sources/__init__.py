@@ -2,6 +2,7 @@
 
 from .crosswalks import crosswalk, read_crosswalk
 from .readers import (
+    audit_delimited,
     from_lines,
     prepare_enrollments,
     prepare_spells,
@@ -9,10 +10,10 @@ from .readers import (
     read_spells,
 )
 from .schemas import ENROLLMENTS, ENROLLMENTS_V2, SPELLS
-from .writers import to_lines, write_delimited
+from .writers import export_delimited, read_export, to_lines, write_delimited, write_lines
 
 __all__ = [
-    "ENROLLMENTS", "ENROLLMENTS_V2", "SPELLS", "crosswalk", "from_lines",
-    "prepare_enrollments", "prepare_spells", "read_crosswalk", "read_enrollments", "read_spells",
-    "to_lines", "write_delimited",
+    "ENROLLMENTS", "ENROLLMENTS_V2", "SPELLS", "audit_delimited", "crosswalk", "export_delimited",
+    "from_lines", "prepare_enrollments", "prepare_spells", "read_crosswalk", "read_enrollments",
+    "read_export", "read_spells", "to_lines", "write_delimited", "write_lines",
 ]
