@@ -253,8 +253,30 @@ def _newton(age: str) -> str:
                 FROM (SELECT * FROM newton WHERE k = 25), pts)"""
 
 
+# Fisher scoring from probabilities 3/4 and 1/4: a row per step, with the deviance before it.
+_SCORING = """
+        scoring AS (
+            SELECT 1 AS k, (i11 * g0 - i01 * g1) / (i00 * i11 - i01 * i01) AS b0,
+                   (i00 * g1 - i01 * g0) / (i00 * i11 - i01 * i01) AS b1, dev
+            FROM (SELECT sum(v) AS i00, sum(v * x) AS i01, sum(v * x * x) AS i11, sum(u) AS g0, sum(u * x) AS g1,
+                         -2 * sum(w * ln(0.75::DOUBLE)) AS dev
+                  FROM (SELECT x, w, w * 0.1875::DOUBLE AS v,
+                               w * (0.1875::DOUBLE * ln(3::DOUBLE) + 0.25::DOUBLE) * (2 * y - 1) AS u FROM pts))
+            UNION ALL
+            SELECT k + 1, b0 + (i11 * g0 - i01 * g1) / (i00 * i11 - i01 * i01),
+                   b1 + (i00 * g1 - i01 * g0) / (i00 * i11 - i01 * i01), dev
+            FROM (SELECT k, b0, b1, sum(w * (y - p)) AS g0, sum(w * (y - p) * x) AS g1,
+                         sum(w * p * (1 - p)) AS i00, sum(w * p * (1 - p) * x) AS i01,
+                         sum(w * p * (1 - p) * x * x) AS i11,
+                         -2 * sum(w * CASE y WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS dev
+                  FROM (SELECT scoring.k, b0, b1, pts.*, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM scoring, pts
+                        WHERE k < 26) GROUP BY k, b0, b1)),
+        steps AS (SELECT min(k) AS iterations FROM (SELECT k, dev, lead(dev) OVER (ORDER BY k) AS after FROM scoring)
+                  WHERE abs(after - dev) < 1e-8 * (abs(after) + 0.1))"""
+
+
 def _logit(age: str) -> str:
-    steps = _newton(age) + """,
+    steps = _newton(age) + "," + _SCORING + """,
         total AS (
             SELECT b0, b1, sum(w * p * (1 - p)) AS i00, sum(w * p * (1 - p) * x) AS i01,
                    sum(w * p * (1 - p) * x * x) AS i11, sum(w) AS n, sum(w * y) / sum(w) AS ybar,
@@ -271,7 +293,8 @@ def _logit(age: str) -> str:
                       * least(abs(b / se), 9) / 20000 / 3 FROM range(0, 20001) AS r(i)), 6) AS p_value,
            round(-2 * n * (ybar * ln(ybar) + (1 - ybar) * ln(1 - ybar)), 6) AS null_deviance,
            CAST(n AS BIGINT) - 1 AS null_df, round(dev, 6) AS residual_deviance,
-           CAST(n AS BIGINT) - 2 AS residual_df, round(dev + 4, 6) AS aic FROM estimates""",
+           CAST(n AS BIGINT) - 2 AS residual_df, round(dev + 4, 6) AS aic,
+           CAST(iterations AS INTEGER) AS iterations FROM estimates, steps""",
         steps,
     )
 

@@ -72,7 +72,7 @@ def _logit(v: Views, age: str):
     return _r6(
         fit.select(
             "term", "estimate", "std_error", "z", "p_value", "null_deviance", "null_df",
-            "residual_deviance", "residual_df", "aic",
+            "residual_deviance", "residual_df", "aic", "iterations",
         ),
         "estimate", "std_error", "z", "p_value", "null_deviance", "residual_deviance", "aic",
     )

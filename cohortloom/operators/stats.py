@@ -4,80 +4,54 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import student
 from ..session import cut_lineage
 from .quantiles import quantiles
 
 
-def _student_t():
-    """Tail probability and quantile of Student's t.
-
-    Made inside a function, so that they travel to the workers by value.
-    """
-
-    def beta_tail(a: float, b: float, x: float) -> float:
-        # Regularised incomplete beta function by its continued fraction.
-        if x <= 0.0 or x >= 1.0:
-            return 0.0 if x <= 0.0 else 1.0
-        if x > (a + 1) / (a + b + 2):
-            return 1.0 - beta_tail(b, a, 1.0 - x)
-        log_front = (
-            math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-            + a * math.log(x) + b * math.log1p(-x)
-        )
-        tiny = 1e-300
-        c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1))
-        total = d
-        for m in range(1, 1000):
-            for coefficient in (
-                m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-            ):
-                d = 1.0 / ((1.0 + coefficient * d) or tiny)
-                c = (1.0 + coefficient / c) or tiny
-                total *= c * d
-            if abs(c * d - 1.0) < 1e-15:
-                break
-        return math.exp(log_front) * total / a
-
-    def two_sided(t: float, df: float) -> float:
-        return beta_tail(df / 2, 0.5, df / (df + t * t))
-
-    def quantile(tail: float, df: float) -> float:
-        lo, hi = 0.0, 1.0
-        while two_sided(hi, df) > tail:
-            hi *= 2
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if two_sided(mid, df) > tail else (lo, mid)
-        return (lo + hi) / 2
-
-    return two_sided, quantile
-
-
-# P(|T| > |t|), and the t for which that probability is a given tail.
-t_two_sided, t_quantile = _student_t()
-
-
-def _t_tail(t: str, df: str, level: float) -> Column:
-    """p-value and critical value, computed on the one result row of a test."""
-    two_sided, quantile = _student_t()
-    fields = T.StructType(
-        [T.StructField("p_value", T.DoubleType()), T.StructField("t_critical", T.DoubleType())]
+def _beta_tail(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0.0 or x >= 1.0:
+        return 0.0 if x <= 0.0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_tail(b, a, 1.0 - x)
+    log_front = (
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     )
-
-    def tail(t: pd.Series, df: pd.Series) -> pd.DataFrame:
-        rows = [
-            (None, None) if pd.isna(a) or pd.isna(b) else (two_sided(a, b), quantile(1 - level, b))
-            for a, b in zip(t, df, strict=True)
-        ]
-        return pd.DataFrame(rows, columns=["p_value", "t_critical"], dtype="float64")
-
-    return F.pandas_udf(tail, fields)(F.col(t), F.col(df))
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1))
+    total = d
+    for m in range(1, 1000):
+        for coefficient in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1.0 / ((1.0 + coefficient * d) or tiny)
+            c = (1.0 + coefficient / c) or tiny
+            total *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return math.exp(log_front) * total / a
+
+
+def t_two_sided(t: float, df: float) -> float:
+    """P(|T| > |t|), of single numbers; ``functions.student`` has it for Columns."""
+    return _beta_tail(df / 2, 0.5, df / (df + t * t))
+
+
+def t_quantile(tail: float, df: float) -> float:
+    """The t that |T| exceeds with probability ``tail``."""
+    lo, hi = 0.0, 1.0
+    while t_two_sided(hi, df) > tail:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > tail else (lo, mid)
+    return (lo + hi) / 2
 
 
 def t_moments(x: Column, group: Column, a, b, equal_var: bool) -> tuple[list[Column], dict]:
@@ -118,23 +92,26 @@ def t_test(
 ) -> DataFrame:
     """Two-sided two-sample t test of the means of groups a and b: one row.
 
-    One aggregate over the data; only its single result row meets Python, for the tail of the t
-    distribution. Missing values are left out. Without spread the statistic is NULL.
+    One aggregate over the data; the tail of the t distribution is evaluated on its single result row.
+    Missing values are left out. Without spread the statistic is NULL, and so are p and the interval.
     """
     aggregates, derived = t_moments(F.col(x), F.col(group), a, b, equal_var)
     row = (
         df.filter(F.col(group).isin(a, b))
         .agg(*aggregates)
         .withColumns(derived)
-        .withColumn("_tail", _t_tail("t", "df", level))
     )
+    known = F.col("t").isNotNull()
     difference = F.col("mean_a") - F.col("mean_b")
-    half_width = F.col("_tail.t_critical") * F.col("std_error")
+    half_width = F.when(known, student.quantile(1 - level, F.col("df"))) * F.col("std_error")
     return row.select(
         "n_a", "n_b", "mean_a", "mean_b", "std_error", "df", "t",
-        F.col("_tail.p_value").alias("p_value"),
-        (difference - half_width).alias("ci_low"),
-        (difference + half_width).alias("ci_high"),
+        F.when(known, student.two_sided_tail(F.col("t"), F.col("df"))).alias("p_value"),
+        half_width.alias("_half"), difference.alias("_difference"),
+    ).select(
+        "n_a", "n_b", "mean_a", "mean_b", "std_error", "df", "t", "p_value",
+        (F.col("_difference") - F.col("_half")).alias("ci_low"),
+        (F.col("_difference") + F.col("_half")).alias("ci_high"),
     )
 
 
@@ -165,6 +142,50 @@ def _linear(model, predictors: list[Column]) -> Column:
     return value
 
 
+def _scoring_steps(points: DataFrame, predictors: list[str], max_iter: int, tol: float) -> int:
+    """Steps of Fisher scoring until the deviance changes by less than ``tol`` of itself.
+
+    The search starts where every success has probability 3/4 and every failure 1/4. A step is one
+    aggregate over the value combinations.
+    """
+    hits = F.col("_weight") * F.col("_share")
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("y"), hits.alias("w")),
+        F.struct(F.lit(0.0).alias("y"), (F.col("_weight") - hits).alias("w")),
+    )
+    rows = points.select(*predictors, F.explode(sides).alias("_s")).filter(F.col("_s.w") > 0)
+    y, w = F.col("_s.y"), F.col("_s.w")
+    design = [F.lit(1.0), *[F.col(c) for c in predictors]]
+    size = len(design)
+
+    def step(p: Column, eta: Column) -> tuple[np.ndarray, float]:
+        """Coefficients after a step from probabilities p, and the deviance before it."""
+        weight = w * p * (1 - p)
+        target = eta * weight + w * (y - p)
+        likely = F.when(y == 1, F.log(p)).otherwise(F.log1p(-p))
+        sums = rows.agg(
+            F.sum(-2 * w * likely),
+            *[F.sum(weight * design[i] * design[j]) for i in range(size) for j in range(i + 1)],
+            *[F.sum(target * d) for d in design],
+        ).first()
+        inner, at = np.zeros((size, size)), 1
+        for i in range(size):
+            for j in range(i + 1):
+                inner[i, j] = inner[j, i] = sums[at]
+                at += 1
+        return np.linalg.lstsq(inner, np.array(sums[at:], dtype=float), rcond=None)[0], float(sums[0])
+
+    p = F.when(y == 1, 0.75).otherwise(0.25)
+    beta, before = step(p, F.log(p / (1 - p)))
+    for count in range(1, max_iter + 1):
+        eta = sum((F.lit(float(b)) * d for b, d in zip(beta[1:], design[1:])), F.lit(float(beta[0])))
+        beta, after = step(1 / (1 + F.exp(-eta)), eta)
+        if abs(after - before) < tol * (abs(after) + 0.1):
+            return count
+        before = after
+    return max_iter
+
+
 def logit_summary(
     df: DataFrame, outcome: str, predictors: list[str], max_iter: int = 25, tol: float = 1e-10
 ) -> DataFrame:
@@ -173,7 +194,8 @@ def logit_summary(
     Rows are first counted by their distinct predictor values and the fit weights those counts: the
     iterations then run over the value combinations, not over the entities. The counts are
     checkpointed, since every iteration reads them again. Rows with a missing value are left out.
-    Deviances are those of the single rows.
+    Deviances are those of the single rows; ``iterations`` are the steps that Fisher scoring takes until
+    the deviance changes by less than 1e-8 of itself.
     """
     model, points = _logit_fit(df, outcome, predictors, max_iter, tol)
     fit = model.summary
@@ -183,6 +205,7 @@ def logit_summary(
     total, successes, deviance = points.agg(F.sum("_weight"), F.sum(hits), 2 * F.sum(lost)).first()
     share = successes / total
     likely = sum(q * math.log(q) for q in (share, 1 - share) if q > 0)
+    steps = _scoring_steps(points, predictors, max_iter, 1e-8)
     order = [len(predictors), *range(len(predictors))]  # the summary lists the intercept last
     estimates = [*model.coefficients, model.intercept]
     rows = [
@@ -197,7 +220,7 @@ def logit_summary(
             float(deviance),
             int(total) - 1 - len(predictors),
             float(deviance) + 2 * (1 + len(predictors)),
-            int(fit.numIterations),
+            steps,
         )
         for position, i in enumerate(order)
     ]

@@ -1,9 +1,12 @@
+import math
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortloom import functions as fn
+from cohortloom.functions import student
+from cohortloom.operators.stats import t_quantile, t_two_sided
 
 
 def test_flag_keeps_missing(column):
@@ -106,3 +109,23 @@ def test_text(column):
     assert column([1, None], "int", lambda c: fn.label(c, F.lit("a"), sep="")) == ["1a", "NAa"]
     assert column([0.005, 0.257], "double", fn.percent_label) == ["0%", "26%"]
     assert column([15, 16, 40, None], "int", lambda c: fn.cap(c, 16)) == [15, 16, 16, None]
+
+
+@pytest.mark.parametrize("df", [0.3, 1.0, 2.0, 5.0, 30.7, 1000.0, 1e5])
+def test_student(column, df):
+    values = [0.0, 0.01, 0.5, 1.7, 1.75, -2.5, 12.7, -40.0]
+    tails = column(values, "double", lambda t: student.two_sided_tail(F.col(t), F.lit(df) + F.col(t) * 0))
+    assert tails == pytest.approx([t_two_sided(t, df) for t in values], rel=1e-8)
+    for tail in (0.05, 1e-6):
+        found = column([df], "double", lambda d: student.quantile(tail, F.col(d)))
+        assert found == pytest.approx([t_quantile(tail, df)], rel=1e-8)
+
+
+def test_student_of_missing_and_many(column):
+    assert column([None, 2.0], "double", lambda t: student.two_sided_tail(F.col(t), F.lit(0.0) + F.col(t) * 0)) == [None, None]
+    assert column([None, 0.0], "double", lambda d: student.quantile(0.05, F.col(d))) == [None, None]
+    # Close to the normal distribution.
+    assert column([1e7], "double", lambda d: student.quantile(0.05, F.col(d))) == pytest.approx([1.959964], abs=1e-5)
+    assert column([1.0, 1.5, 10.0, 171.2], "double", lambda x: student.log_gamma(F.col(x))) == pytest.approx(
+        [math.lgamma(x) for x in (1.0, 1.5, 10.0, 171.2)], abs=1e-12, rel=1e-13
+    )

@@ -301,3 +301,23 @@ def test_logit_against_newton(spark):
     assert got[0]["residual_deviance"] == pytest.approx(deviance)
     assert got[0]["aic"] == pytest.approx(deviance + 4)
     assert (got[0]["null_df"], got[0]["residual_df"]) == (799, 798)
+
+
+def test_logit_counts_scoring_steps(spark):
+    """Steps from probabilities 3/4 and 1/4 until the deviance is steady, by dense matrices."""
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.integers(0, 4, 500), rng.integers(0, 3, 500)]).astype(float)
+    y = (rng.uniform(size=500) < 1 / (1 + np.exp(2 - x @ [0.7, -0.4]))).astype(float)
+    design = np.column_stack([np.ones(500), x])
+    p, eta, before, expected = np.where(y == 1, 0.75, 0.25), None, None, 0
+    eta = np.log(p / (1 - p))
+    while True:
+        deviance = -2 * np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))
+        if before is not None and abs(deviance - before) < 1e-8 * (abs(deviance) + 0.1):
+            break
+        before, expected = deviance, expected + 1
+        w = p * (1 - p)
+        eta = design @ np.linalg.solve(design.T @ (design * w[:, None]), design.T @ (w * eta + y - p))
+        p = 1 / (1 + np.exp(-eta))
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+    assert {r["iterations"] for r in op.logit_summary(df, "y", ["a", "b"]).collect()} == {expected}
