@@ -726,6 +726,20 @@ ORACLE = {
     "linked_term": with_common("""
         SELECT ce.sid, ce.term, ce.enroll_id, s.college FROM ce LEFT JOIN all_spells s
         ON ce.sid = s.sid AND ce.term IS NOT DISTINCT FROM s.term"""),
+    "linked_term_split": with_common("""
+        SELECT ce.sid, ce.term, ce.enroll_id, s.college FROM ce LEFT JOIN all_spells s
+        ON ce.sid = s.sid AND ce.term IS NOT DISTINCT FROM s.term"""),
+    "linked_term_size": with_common("""
+        SELECT count(*) AS n, count(*) FILTER (WHERE s.sid IS NULL) AS n_unmatched,
+               count(DISTINCT ce.sid || ' ' || coalesce(CAST(ce.term AS VARCHAR), '')) AS n_keys
+        FROM ce LEFT JOIN all_spells s ON ce.sid = s.sid AND ce.term IS NOT DISTINCT FROM s.term"""),
+    "linked_term_by_college": with_common("""
+        SELECT ce.term, ce.enrolled_after, s.college, count(*) AS n FROM ce LEFT JOIN all_spells s
+        ON ce.sid = s.sid AND ce.term IS NOT DISTINCT FROM s.term GROUP BY ALL"""),
+    "linked_by_bucket": with_common("""
+        SELECT s.sid, s.term, s.college, r.num_ce, r.max_ce_term FROM all_spells s LEFT JOIN
+        (SELECT sid, count(*) AS num_ce, max(term) AS max_ce_term FROM ce GROUP BY sid) r USING (sid)
+        WHERE s.term >= 199620"""),
     "linked_spells": with_common("""
         SELECT sid, term, college, num_ce, round(ce_gpa, 6) AS ce_gpa, max_ce_term, enrolled_after, gender
         FROM linked"""),

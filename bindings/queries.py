@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from cohortloom import operators as op
@@ -19,6 +21,7 @@ from cohortloom.sources import (
     read_enrollments,
     read_export,
     read_spells,
+    save_by_entity,
     to_lines,
     write_lines,
 )
@@ -157,6 +160,18 @@ def _intact(rows):
     return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
+def _linked_by_bucket(v: Views):
+    """Spells with their student's rollup, both from tables in buckets by student."""
+    folder = f"{shared_folder(v.spark)}/tables/{zlib.crc32(v.dir.encode())}"
+    rollup = save_by_entity(
+        v.rollup("num_ce", "max_ce_term"), "rollup_by_student", "sid", 16, path=f"{folder}/rollup"
+    )
+    spells = save_by_entity(
+        v.all_spells().select("sid", "term", "college"), "spells_by_student", "sid", 16, "term", f"{folder}/spells"
+    )
+    return linkage.linked_spells(spells.filter("term >= 199620"), rollup, null_safe=False)
+
+
 def _with_missing_ids(v: Views):
     """Enrolments of which a seventh lack the institutional id."""
     ce = v.ce("sid", "enroll_id", "inst_id")
@@ -275,6 +290,16 @@ QUERIES = {
     "linked_term": lambda v: linkage.linked_term(
         v.ce("sid", "term", "enroll_id"), v.all_spells().select("sid", "term", "college")
     ),
+    "linked_term_split": lambda v: linkage.linked_term(
+        v.ce("sid", "term", "enroll_id"), v.all_spells().select("sid", "term", "college"), pairs=2
+    ),
+    "linked_term_size": lambda v: linkage.term_link(
+        v.ce("sid", "term", "enroll_id"), v.all_spells().select("sid", "term", "college")
+    ).size(),
+    "linked_term_by_college": lambda v: linkage.term_link(
+        v.ce("sid", "term", "enrolled_after"), v.all_spells().select("sid", "term", "college")
+    ).counts("term", "enrolled_after", "college"),
+    "linked_by_bucket": _linked_by_bucket,
     "linked_spells": lambda v: _r6(
         v.linked("num_ce", "ce_gpa", "max_ce_term", "enrolled_after", "gender").select(
             "sid", "term", "college", "num_ce", "ce_gpa", "max_ce_term", "enrolled_after", "gender",

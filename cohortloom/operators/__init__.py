@@ -12,6 +12,7 @@ from .groups import (
     with_overall_mean,
 )
 from .joins import anti_join, attach_crosswalk, left_join, stack_sources
+from .links import Link
 from .ordering import sort_columns
 from .quantiles import box_outliers, box_stats, order_statistics, quantiles
 from .rows import (
@@ -28,7 +29,7 @@ from .smooth import loess
 from .stats import logit_residuals, logit_summary, t_test
 
 __all__ = [
-    "anti_join", "attach_crosswalk", "box_outliers", "box_stats", "counts", "drop_incomplete",
+    "Link", "anti_join", "attach_crosswalk", "box_outliers", "box_stats", "counts", "drop_incomplete",
     "exclude", "fill_where", "first_event", "first_row", "freq", "headcount", "is_duplicate",
     "last_event", "left_join", "loess", "logit_residuals", "logit_summary", "order_statistics", "per_entity_then",
     "quantiles", "share", "slice_range", "sort_columns", "stack_sources", "t_test", "top_k",

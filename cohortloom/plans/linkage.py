@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import between_open, na_max, or_label, zip5
 from ..operators.ordering import sort_key
 from ..operators import (
+    Link,
     anti_join,
     counts,
     first_event,
@@ -42,9 +43,17 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
     return anti_join(left, right, ["sid", "term"])
 
 
-def linked_term(ce: DataFrame, spells: DataFrame) -> DataFrame:
-    """Enrolments with the spells of the same student and term."""
-    return left_join(ce, spells, ["sid", "term"])
+def linked_term(ce: DataFrame, spells: DataFrame, pairs: int | None = None) -> DataFrame:
+    """Enrolments with the spells of the same student and term.
+
+    With ``pairs`` a student's term with more joined rows than that is dealt out over several tasks.
+    """
+    return term_link(ce, spells).expand(pairs)
+
+
+def term_link(ce: DataFrame, spells: DataFrame) -> Link:
+    """The same link unexpanded: its sizes and counts need no joined row."""
+    return Link(ce, spells, ["sid", "term"])
 
 
 def visits(spells: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __spark_entry__ import queries
 from cohortloom import operators as op
 from cohortloom.plans import cohorts, enrolment, linkage
 from cohortloom.session import SQL_SETTINGS, cut_lineage, tune
+from cohortloom.sources import save_by_entity
 
 SF = "/root/testdata/sf0.01"
 
@@ -215,3 +216,56 @@ def test_shares_sum_to_one(spark):
     table = cohorts.destination_top_by_cohort(cohorts.cohort_gap(v.people()), k=1000, by_share=True)
     for row in table.groupBy("max_ce_term").agg(F.sum("pc").alias("s")).collect():
         assert row.s == pytest.approx(1.0)
+
+
+def test_link_counts_without_joined_rows(spark, small_skew, rows):
+    """A hot key with 1000 rows on either side has a million joined rows, and one pair of counts."""
+    side = spark.range(3000).select(
+        F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("sid"), (F.col("id") % 3).alias("kind")
+    )
+    right = side.select("sid", F.col("kind").alias("college")).filter("sid < 2000")
+    link = op.Link(side, right, ["sid"])
+    assert rows(link.size()) == [(1_000_000 + 1000 + 1000, 1000, 2001)]
+    counted = link.counts("kind", "college")
+    assert rows(counted) == rows(op.counts(link.expand(None), "kind", "college"))
+    assert rows(link.counts("college")) == rows(op.counts(link.expand(None), "college"))
+    # Rows into the join are distinct ones with their number.
+    joined = plan_of(counted)
+    assert joined.index("Join") < joined.index("HashAggregate", joined.index("Join"))
+    with pytest.raises(ValueError, match="nothing"):
+        link.counts("nothing")
+
+
+def test_hot_pairs_are_dealt_out(spark, small_skew, conf, rows):
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    left = spark.range(600).select(F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.range(400).select(F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 70).alias("k"), F.col("id").alias("other"))
+    link = op.Link(left, right, ["k"])
+    plain = rows(link.expand(None), "k", "id", "other")
+    assert len(plain) > 30_000 and rows(link.expand(1000), "k", "id", "other") == plain
+    assert rows(link.expand(), "k", "id", "other") == plain
+    split = link.expand(1000)
+    sizes = [r["n"] for r in split.filter("k is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1
+
+
+def test_tables_by_entity_join_without_a_shuffle(spark, conf, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    spells = hot_spells(spark, 9000)
+    rollup = spells.groupBy("sid").agg(F.min("term").alias("max_ce_term"))
+    try:
+        stored = save_by_entity(spells, "t_spells", "sid", 8, "term", str(tmp_path / "spells"))
+        rolled = save_by_entity(rollup, "t_rollup", "sid", 8, path=str(tmp_path / "rollup"))
+        linked = linkage.linked_spells(stored, rolled, null_safe=False)
+        first = linkage.first_college(linked, ["term", "college"])
+        plan = plan_of(first)
+        assert "Exchange" not in plan and "Join" in plan
+        expected = linkage.first_college(linkage.linked_spells(spells, rollup), ["term", "college"])
+        assert sorted(map(tuple, first.collect())) == sorted(map(tuple, expected.collect()))
+        few = stored.filter(F.col("term") == 201220)
+        assert {p.split("/")[-2] for p in few.inputFiles()} == {"term=201220"}
+        again = save_by_entity(rollup.limit(5), "t_rollup", "sid", 8, path=str(tmp_path / "rollup"))
+        assert again.count() == 5
+    finally:
+        spark.sql("DROP TABLE IF EXISTS t_spells")
+        spark.sql("DROP TABLE IF EXISTS t_rollup")
