@@ -18,6 +18,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of an Arrow batch. Texts average kilobytes, so Spark's default of 10,000 rows is tens of megabytes,
+# several times over: in the JVM, on the way, and in each Python worker of a chain.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_DEFAULT = "10000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch, unless it was set to something else than the default."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def _release() -> None:
+    """Give freed memory back when a task ends: its worker waits for the next task and keeps what it holds."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that a result is about to replace, whatever their case."""
     taken = {n.lower() for n in names}
@@ -47,7 +73,10 @@ def added(
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names)
+        del work
+        _release()
 
+    _small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -59,6 +88,8 @@ def emitted(
     """Rows made from the Arrow batches of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return compute(batch for batch in batches if batch.num_rows)
+        yield from compute(batch for batch in batches if batch.num_rows)
+        _release()
 
+    _small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

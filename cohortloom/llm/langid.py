@@ -48,7 +48,7 @@ class _Binder:
 
     def __init__(self, dim: int):
         self.dim = dim
-        self.known = np.array([chr(c).isalpha() for c in range(0x110000)])
+        self.known = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
         self.letters: dict[int, np.ndarray] = {}
         self.short = np.full(0x110000, -1, dtype=np.int32)
         self.short[0] = 0
