@@ -141,8 +141,8 @@ class Encoder:
     def parts(self, data: np.ndarray) -> list[tuple[bytes, bool]]:
         """A text cut into insides of chunks (true) and joins (false), in order."""
         body = data.tobytes()
-        edges = chunk_edges(data)
-        safe = safe_places(data) if self.cut and len(edges) else edges
+        edges = chunk_edges(data) if self.cut else np.empty(0, dtype=np.int64)
+        safe = safe_places(data) if len(edges) else edges
         if not len(safe) or not len(edges):
             return [(body, True)] if body else []
         behind = np.searchsorted(safe, edges, side="right")

@@ -180,6 +180,28 @@ def test_other_tokenizers_go_through_the_library():
         assert ids.decode() == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
 
 
+def test_special_tokens_with_a_space_are_never_cut(definition):
+    """A space inside a special token makes every place unsafe: a long text is one piece."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    parsed = json.loads(open(definition, encoding="utf-8").read())
+    parsed["added_tokens"].append({
+        "id": max(parsed["model"]["vocab"].values()) + 1000, "content": "<a b>", "single_word": False, "lstrip": False,
+        "rstrip": False, "normalized": False, "special": True,
+    })
+    text = json.dumps(parsed)
+    library, encoder = Tokenizer.from_str(text), bpe.Encoder(text)
+    assert not encoder.cut
+    draw = random.Random(9)
+    for long in ("".join(draw.choice(["word ", "other", "<a b>", " <a", " b>", "é\n"]) for _ in range(4000)), "<a b> " * 2000):
+        ids, decoded = encoder.encode(np.frombuffer(long.encode(), dtype=np.uint8))
+        expected = library.encode(long, add_special_tokens=False).ids
+        assert ids.decode() == ",".join(map(str, expected))
+        assert decoded.decode() == library.decode(expected, skip_special_tokens=False)
+
+
 def test_tokens_of_the_table(spark, library):
     texts = {r[0]: r[1] or "" for r in read(spark, SF, "documents").select("doc_id", "text").collect()}
     found = QUERIES["op6_bpe"](spark, SF).collect()
