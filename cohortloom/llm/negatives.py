@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import cut_lineage
+from .integers import best, exact_scores, matrix, whole
 
 POSITIVES = 5
 NEGATIVES = 10
@@ -38,32 +39,6 @@ ROWS = 16_384  # of a cell
 ANCHORS = 512
 _STEPS = 8  # thresholds between the ends of a window
 _LIST_STEP = 8  # dimensions between two prunings
-_EXACT = 2.0**53
-
-
-def whole(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of every component as a double; null for a vector that takes no part."""
-    known = vector.isNotNull() & F.forall(
-        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
-    )
-    # Whole doubles stay as they are; floor() would turn them into longs.
-    floors = F.transform(
-        vector,
-        lambda x: F.when(F.abs(x.cast("double")) < 2.0**44, F.floor(x.cast("double") * factor).cast("double"))
-        .otherwise(x.cast("double") * factor),
-    )
-    return F.when(known, floors)
-
-
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows; shorter ones are filled with zeros."""
-    column = column.combine_chunks()
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    wide = int(lengths.max()) if len(lengths) else 0
-    out = np.zeros((len(lengths), wide))
-    out[np.arange(wide) < lengths[:, None]] = values
-    return out
 
 
 class Block:
@@ -114,31 +89,11 @@ class Block:
                 if not len(alive):
                     break
             self.scored += len(alive)
-            found.append((alive, _scores(self.vectors[alive], q)))
+            found.append((alive, exact_scores(self.vectors[alive], q)))
         self.asked += len(queries) * len(start)
         return found
 
 
-def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers held as doubles."""
-    bound = np.abs(vectors).max(initial=0.0) * np.abs(query).max(initial=0.0) * max(1, len(query))
-    if bound < _EXACT:
-        return vectors @ query
-    whole_query = [int(x) for x in query]
-    out = np.empty(len(vectors), dtype=object)
-    for i, row in enumerate(vectors):
-        out[i] = sum(int(a) * b for a, b in zip(row, whole_query))
-    return out
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, count: int) -> np.ndarray:
-    """Places of the highest scores, ties by smaller id."""
-    order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else (
-        np.lexsort((ids, -scores))
-    )
-    return np.asarray(order[:count], dtype=int)
-
-
 def falling(block: Block, queries: np.ndarray, top: np.ndarray, low: np.ndarray, done: Callable) -> list[tuple]:
     """Per query the rows and scores of a threshold join.
 
@@ -182,7 +137,7 @@ def positives_of(ids, labels, vectors, anchors, count: int) -> tuple[list[tuple]
         for (key, anchor, *_), (rows, scores) in zip(mine, falling(block, queries, top, -top, enough)):
             others = own[rows] != anchor
             rows, scores = rows[others], scores[others]
-            for i in _best(own[rows], scores, count):
+            for i in best(own[rows], scores, count):
                 out.append((key, anchor, int(own[rows[i]]), int(scores[i])))
         blocks.append(block)
     return out, blocks
@@ -219,7 +174,7 @@ def negatives_of(ids, labels, vectors, anchors, count: int) -> tuple[list[tuple]
         for positive, score, least, most in windows:
             inside = np.asarray((scores >= least) & (scores <= most), dtype=bool)
             mine, its = rows[inside], scores[inside]
-            for i in _best(ids[mine], its, count):
+            for i in best(ids[mine], its, count):
                 out.append((*anchor, positive, int(ids[mine[i]]), score, int(its[i])))
     return out, [block]
 

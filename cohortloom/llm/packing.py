@@ -6,9 +6,8 @@ takes as many rows as fit the budget at the bucket's boundary. Rows are numbered
 bucket: a bucket is split into parts by a hash, each part is numbered, and the parts' sizes give the
 offsets.
 
-Lengths up to ``exact`` are bins of their own; above, a doubling has ``exact`` / 2 bins. So the
-histogram has at most about 30 * exact bins, whatever the rows, and the boundaries are optimal among
-the greatest lengths that the bins hold.
+The histogram has a bin per length that occurs, so the boundaries are optimal. It comes to the driver:
+a row per distinct length, never more than the words of the longest text.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from .frames import cut_lineage
 
 BUCKETS = 16
 BUDGET = 32_768
-EXACT = 256
 _PART = 50_000  # rows of a part, on average
 
 
@@ -30,48 +28,59 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _bin(length: Column, exact: int) -> Column:
-    """Number of a length's bin; it never falls as lengths rise."""
-    above = F.floor((F.log2(length) - F.log2(F.lit(exact))) * (exact // 2))
-    return F.when(length <= exact, length).otherwise(exact + 1 + above).cast("long")
-
-
 def best_boundaries(tops: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
-    """Boundaries that minimise the summed padding of rows in bins with the given greatest lengths.
+    """Boundaries that minimise the summed padding of rows of the given lengths, in rising order.
 
-    What a row lacks to the top of its own bin is the same for every choice, so the cost of a bucket
-    is the rows below its boundary times the boundary.
+    A bucket costs the rows it holds times its boundary. With one more bucket, ending at length j, the
+    best start i minimises cost[i] - before[i] * tops[j]: lines in tops[j] whose slopes fall as i rises,
+    so the lowest line moves on along their hull, and a round takes time in proportion to the lengths.
     """
-    n = len(tops)
-    before = np.concatenate([[0], np.cumsum(rows)]).astype(np.float64)
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
+    lengths = tops.tolist()
+    n = len(lengths)
+    before = [0]
+    for count in rows.tolist():
+        before.append(before[-1] + count)
+    cost: list[int | None] = [0, *[None] * n]
     choice = []
     for _ in range(min(buckets, n)):
-        # With one more bucket: the last one ends at bin j and starts after bin i.
-        after = np.full(n + 1, np.inf)
-        from_ = np.zeros(n + 1, dtype=np.int64)
+        after: list[int | None] = [None] * (n + 1)
+        start = [0] * (n + 1)
+        hull: list[int] = []
+        at = 0
         for j in range(1, n + 1):
-            tries = cost[:j] + (before[j] - before[:j]) * tops[j - 1]
-            from_[j] = tries.argmin()
-            after[j] = tries[from_[j]]
-        choice.append(from_)
+            new = cost[j - 1]
+            if new is not None:
+                # A line goes where those beside it are lower all along.
+                while len(hull) - at >= 2:
+                    a, b = hull[-2], hull[-1]
+                    if (new - cost[a]) * (before[b] - before[a]) > (cost[b] - cost[a]) * (before[j - 1] - before[a]):
+                        break
+                    hull.pop()
+                hull.append(j - 1)
+            x = lengths[j - 1]
+            while at + 1 < len(hull):
+                a, b = hull[at], hull[at + 1]
+                if cost[a] - before[a] * x < cost[b] - before[b] * x:
+                    break
+                at += 1
+            if at < len(hull):
+                i = hull[at]
+                start[j], after[j] = i, cost[i] + (before[j] - before[i]) * x
+        choice.append(start)
         cost = after
     out, j = [], n
-    for from_ in reversed(choice):
+    for start in reversed(choice):
         if j == 0:
             break
-        out.append(int(tops[j - 1]))
-        j = int(from_[j])
+        out.append(lengths[j - 1])
+        j = start[j]
     return sorted(out)
 
 
-def boundaries(sized: DataFrame, buckets: int = BUCKETS, exact: int = EXACT) -> list[int]:
+def boundaries(sized: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Optimal bucket boundaries for (length, copies); the last is the greatest length."""
-    bins = sized.groupBy(_bin(F.col("length"), exact).alias("bin")).agg(
-        F.max("length").alias("top"), F.sum("copies").alias("rows")
-    )
-    found = sorted((r["top"], r["rows"]) for r in bins.collect())  # a bounded number of bins
+    bins = sized.groupBy("length").agg(F.sum("copies").alias("rows"))
+    found = sorted((r["length"], r["rows"]) for r in bins.collect())
     if not found:
         return []
     tops, rows = (np.array(x, dtype=np.int64) for x in zip(*found))
@@ -84,7 +93,6 @@ def pack(
     doc_id: str = "doc_id",
     buckets: int = BUCKETS,
     budget: int = BUDGET,
-    exact: int = EXACT,
 ) -> DataFrame:
     """(doc_id, length, bucket, boundary, batch, place) of every row.
 
@@ -98,7 +106,7 @@ def pack(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("length"))
     # Equal rows are counted, so that a hot id is one row until the end.
     kinds = cut_lineage(rows.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("copies")))
-    bounds = boundaries(kinds, buckets, exact)
+    bounds = boundaries(kinds, buckets)
     if not bounds:
         empty = "doc_id {}, length long, bucket int, boundary long, batch long, place int"
         return docs.sparkSession.createDataFrame([], empty.format(rows.schema["doc_id"].dataType.simpleString()))

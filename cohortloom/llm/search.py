@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import added, cut_lineage
+from .integers import best, exact_scores, matrix, whole
 
 TOP = 5
 PIVOTS = 32
@@ -25,27 +26,6 @@ _SAMPLE = 2048  # vectors from which the pivots are taken
 CANDIDATES = 16_384  # of a cell
 QUERIES = 2_048
 _STEP = 256
-# Scores of vectors of up to 64 such components fit 63 bits.
-LARGEST = 1 << 28
-
-
-def scaled(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of every component, as double; null for a vector that takes no part."""
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * factor))
-    usable = F.forall(
-        vector,
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * factor) < LARGEST),
-    )
-    return F.when(vector.isNotNull() & usable, whole)
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors as rows; shorter ones are filled with zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), dtype=np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out
 
 
 def farthest_first(vectors: np.ndarray, count: int) -> np.ndarray:
@@ -79,11 +59,13 @@ def top_of_cell(
         square = float((q.astype(np.float64) ** 2).sum())
         # Distances are rounded: what they may be off by goes on top of the bound.
         slack = 1 + 1e-9 * (squares + square)
-        bound = (squares + square - np.maximum(gap - 1e-6 * (1 + gap), 0) ** 2) / 2 + slack
+        off = 1e-6 * (1 + gap + np.sqrt(squares) + distances.max(axis=1, initial=0.0) + near.max(initial=0.0))
+        bound = (squares + square - np.maximum(gap - off, 0) ** 2) / 2 + slack
+        bound = np.nan_to_num(bound, nan=np.inf, posinf=np.inf)
         bound[ids == own] = -np.inf
         order = np.argsort(-bound)
         rows = np.empty(0, dtype=np.int64)
-        scores = np.empty(0, dtype=np.int64)
+        scores = np.empty(0)
         for at in range(0, len(order), _STEP):
             step = order[at : at + _STEP]
             if bound[step[0]] == -np.inf or (len(rows) == k and bound[step[0]] < scores[-1]):
@@ -91,9 +73,9 @@ def top_of_cell(
             step = step[bound[step] > -np.inf]
             computed += len(step)
             rows = np.concatenate([rows, step])
-            scores = np.concatenate([scores, vectors[step] @ q])
-            best = np.lexsort((ids[rows], -scores))[:k]
-            rows, scores = rows[best], scores[best]
+            scores = np.concatenate([scores, exact_scores(vectors[step], q)])
+            first = best(ids[rows], scores, k)
+            rows, scores = rows[first], scores[first]
         found.append((rows, scores))
     return found, computed
 
@@ -103,7 +85,7 @@ def _cell(k: int):
         is_query = table["is_query"].to_numpy()
         sides = []
         for side in (table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))):
-            sides.append((side["vec_id"].to_numpy(), _matrix(side["vector"]), side["far"].to_pylist()))
+            sides.append((side["vec_id"].to_numpy(), matrix(side["vector"]), side["far"].to_pylist()))
         (query_ids, queries, query_far), (ids, vectors, far) = sides
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(query_ids) and len(ids):
@@ -116,7 +98,7 @@ def _cell(k: int):
             for own, (rows, scores) in zip(query_ids.tolist(), found):
                 out["query_id"] += [own] * len(rows)
                 out["vec_id"] += ids[rows].tolist()
-                out["score"] += scores.tolist()
+                out["score"] += [int(s) for s in scores]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     return search
@@ -134,23 +116,23 @@ def top_k(
     """(query_id, rank, vec_id, score): the k candidates with the highest scores of every query.
 
     ``is_query`` is an expression of ``vec_id``. Candidates are all rows with another id; ties go to
-    the smaller id. Vectors that are null, or hold a component that is null, not finite or scaled to
-    ``LARGEST`` or more, take no part, nor do rows without an id. Rows with equal id and vector count
+    the smaller id. Vectors that are null, or hold a component that is null or not finite, take no part,
+    nor do rows without an id. A score among the k that a long cannot hold is an error. Rows with equal id and vector count
     once; of rows that repeat an id with other vectors each is a candidate, and the queries of one id
     share one list. A shorter vector counts as filled up with zeros.
     """
     rows = (
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), scaled(F.col(vector), factor).alias("vector"))
+        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole(F.col(vector), factor).alias("vector"))
         .filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
         .distinct()
     )
     rows = cut_lineage(rows)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(_SAMPLE).select("vector").toArrow()
-    chosen = farthest_first(_matrix(sample["vector"]), pivots)
+    chosen = farthest_first(matrix(sample["vector"]), pivots)
 
     def compute():
         def work(batch):
-            far = _distances(_matrix(batch.column("vector")), chosen)
+            far = _distances(matrix(batch.column("vector")), chosen)
             return [pa.array(list(far), pa.list_(pa.float64()))]
 
         return work
