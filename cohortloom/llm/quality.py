@@ -2,13 +2,17 @@
 
 Every document gets its counts and fails or passes the rules. Failures are added up by host. A host's
 rate is shrunk towards the rate of all hosts with a beta prior, whose strength comes from how far the
-hosts' own rates lie apart; a host with few documents thus needs more evidence. The verdict of a host
-whose shrunk rate exceeds the limit holds for all its documents.
+hosts' own rates lie apart; a host with few documents thus needs more evidence. A host is rejected,
+with all its documents, where the odds of failure are with ``SURE`` probability above ``ODDS`` times
+those of all documents: where the shrunk rate, less so many of its own deviations, is above that limit
+(the posterior is taken as normal). So the limit follows the corpus, and a host that is like the others
+stays whatever their rate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +24,9 @@ SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
 SPAN = 5
-HOST_LIMIT = 0.6
+ODDS = 2.0
+SURE = 0.975
+DEVIATIONS = NormalDist().inv_cdf(SURE)
 _STRENGTHS = (1.0, 1000.0)
 
 
@@ -105,8 +111,10 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def host_verdicts(judged: DataFrame, host: str, failed: Column, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, host_rate, host_ok): the hosts' shrunk failure rates.
+def host_verdicts(
+    judged: DataFrame, host: str, failed: Column, odds: float = ODDS, deviations: float = DEVIATIONS
+) -> DataFrame:
+    """(host, host_rate, host_ok): the hosts' shrunk failure rates and verdicts.
 
     The prior's mean is the rate of all documents; its strength m makes the spread of the hosts' rates
     the variance of a beta distribution, mean * (1 - mean) / (m + 1), held between 1 and 1000.
@@ -121,7 +129,10 @@ def host_verdicts(judged: DataFrame, host: str, failed: Column, limit: float = H
         F.lit(least), F.least(F.lit(most), F.coalesce(F.try_divide(mean * (1 - mean), spread) - 1, F.lit(most)))
     )
     rate = (F.col("f") + mean * strength) / (F.col("n") + strength)
-    return hosts.select("host", rate.alias("host_rate"), (rate <= limit).alias("host_ok"))
+    deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+    limit = odds * mean / (1 + (odds - 1) * mean)
+    ok = rate - deviations * deviation <= limit
+    return hosts.select("host", rate.alias("host_rate"), ok.alias("host_ok"))
 
 
 def judge(
@@ -131,7 +142,7 @@ def judge(
 
     ``failed`` adds two rules that count for hosts only: symbols above a tenth of the words'
     characters, and more repeated lines than words / 20. A document is kept if it passes the base
-    rules and its host is not above the limit. A document without a host is judged by itself. Rows
+    rules and its host is not rejected. A document without a host is judged by itself. Rows
     stay, repeated ones too; a null text has no words and fails.
     """
     narrow = docs.select(
@@ -150,8 +161,8 @@ def judge(
     return joined.withColumn("kept", kept).drop("host_ok")
 
 
-# The query's rows in DuckDB's SQL. The prior and the limit are those above.
-ORACLE = r"""
+# The query's rows in DuckDB's SQL. The prior and the verdict are those above.
+ORACLE = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, source AS host, coalesce(text, '') AS t,
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -185,7 +196,11 @@ q AS (
   SELECT mean, greatest(1.0, least(1000.0,
          coalesce(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 END, 1000.0))) AS strength
   FROM m, v
-), o AS (SELECT host, (f + mean * strength) / (n + strength) <= 0.6 AS host_ok FROM h, q)
+), o AS (
+  SELECT host, rate - {DEVIATIONS!r}::DOUBLE * sqrt(rate * (1 - rate) / (n + strength + 1))
+               <= {ODDS!r}::DOUBLE * mean / (1 + ({ODDS!r}::DOUBLE - 1) * mean) AS host_ok
+  FROM (SELECT host, n, mean, strength, (f + mean * strength) / (n + strength) AS rate FROM h, q)
+)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        (NOT base_failed) AND coalesce(host_ok, TRUE) AS kept

@@ -350,6 +350,32 @@ def test_hosts_decide(spark, empty, odd, odd_rows):
     assert quality.judge(empty).count() == 0
 
 
+@pytest.mark.parametrize("usual, foul, rejected", [(15, 50, {"h0"}), (60, 60, set()), (3, 20, {"h0"}), (15, 20, set())])
+def test_hosts_are_judged_against_the_corpus(spark, usual, foul, rejected):
+    """Percent of failing documents: of all hosts but one, and of that one; a small host is given time."""
+    rows = []
+    for h in range(20):
+        rate = foul if h == 0 else usual
+        rows += [(f"h{h}", i * 37 % 100 < rate) for i in range(300)]
+    rows += [("small", True), ("small", False)]
+    judged = spark.createDataFrame(rows, "host string, failed boolean")
+    found = quality.host_verdicts(judged, "host", F.col("failed")).collect()
+    assert {r["host"] for r in found if not r["host_ok"]} == rejected
+    # The rule by hand.
+    n, f = {r["host"]: 300 for r in found} | {"small": 2}, {"small": 1}
+    for h, bad in rows:
+        f[h] = f.get(h, 0) + (bad and h != "small")
+    mean = sum(f.values()) / sum(n.values())
+    spread = np.mean([(f[h] / n[h] - mean) ** 2 for h in n])
+    m = min(1000, max(1, mean * (1 - mean) / spread - 1))
+    for r in found:
+        h = r["host"]
+        rate = (f[h] + mean * m) / (n[h] + m)
+        assert r["host_rate"] == pytest.approx(rate)
+        surely = rate - 1.959964 * np.sqrt(rate * (1 - rate) / (n[h] + m + 1)) > 2 * mean / (1 + mean)
+        assert r["host_ok"] == (not surely)
+
+
 def test_clean_documents_stay(spark):
     found = QUERIES["op9_quality_rules"](spark, SF).collect()
     assert all(r["kept"] for r in found if not r["base_failed"])
