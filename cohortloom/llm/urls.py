@@ -1,9 +1,12 @@
 """URL filters: given host rules, and association rules mined from labelled URLs.
 
-FP-growth finds combinations of URL tokens that stand together with a bad label; those with enough
-support and confidence, and without a shorter one inside them, become rules. A rule is indexed under
-its rarest token, so a URL meets only rules that hold one of its tokens there, and a rule fits if the
-URL has all its tokens. Everything is DataFrame functions; equal URLs are judged once.
+FP-growth finds combinations of URL tokens that stand together with a bad label; those seen on enough bad
+URLs, with enough confidence and without a shorter one inside them, become rules. Two steps keep the
+growth small and lose no rule: a token that is a rule alone is taken out first, as every longer
+combination with it is needless, and tokens that stand in the same labelled URLs are one class, of which
+any token will do. A rule is indexed under its rarest class, so a URL meets only rules that hold one of
+its classes there, and a rule fits if the URL has all its classes. Everything is DataFrame functions;
+equal URLs are judged once.
 """
 
 from __future__ import annotations
@@ -17,9 +20,8 @@ from pyspark.sql import functions as F
 from .frames import cut_lineage
 
 BAD = "\0bad"
-LEAST_SUPPORT = 0.002
 LEAST_CONFIDENCE = 0.6
-LEAST_ROWS = 20  # a rule seen on fewer bad URLs is chance
+LEAST_ROWS = 20  # a rule seen on fewer bad URLs is chance, whatever the number of labelled ones
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # (verdict, host and path): a rule fits its host and all subdomains where the path starts alike.
@@ -82,29 +84,49 @@ def document_of(url: str) -> Column:
 
 
 def mine(
-    labelled: DataFrame,
-    support: float = LEAST_SUPPORT,
-    confidence: float = LEAST_CONFIDENCE,
-) -> DataFrame:
-    """Rules (antecedent, confidence, support) from rows (items, bad).
+    labelled: DataFrame, least: int = LEAST_ROWS, confidence: float = LEAST_CONFIDENCE
+) -> tuple[DataFrame, DataFrame]:
+    """Rules (antecedent, confidence, bad_urls) and classes (token, class) from rows (items, bad).
 
-    ``support`` is the least share of rows that hold the tokens and are bad; on few rows it is raised
-    to LEAST_ROWS of them. Where there are not as many bad rows there are no rules.
+    An antecedent is an array of classes; a class goes by its first token. ``least`` is the number of bad
+    rows that a rule needs.
     """
-    items = F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items"))
-    baskets = labelled.select(items.alias("items")).filter(F.size("items") > 0)
-    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
-    if size["bad"] < LEAST_ROWS:
-        return labelled.sparkSession.createDataFrame(
-            [], "antecedent array<string>, confidence double, support double"
+    rows = labelled.select("items", "bad").withColumn("row", F.monotonically_increasing_id())
+    held = cut_lineage(rows).select("row", "bad", F.explode("items").alias("token"))
+    # Two sums of hashes stand for the set of rows that hold a token.
+    stands = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(2)]
+    found = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("b"), *stands)
+    found = cut_lineage(found.filter(F.col("b") >= least))
+    alone = F.col("b") >= confidence * F.col("n")
+    singles = found.filter(alone).select(
+        F.array("token").alias("antecedent"), (F.col("b") / F.col("n")).alias("confidence"),
+        F.col("b").alias("bad_urls"),
+    )
+    sets = ["n", "b", "s0", "s1"]
+    named = found.filter(~alone).groupBy(*sets).agg(F.min("token").alias("class"))
+    classes = cut_lineage(found.filter(~alone).join(named, sets).select("token", "class"))
+    baskets = cut_lineage(
+        held.join(classes, "token")
+        .groupBy("row", "bad")
+        .agg(F.collect_set("class").alias("items"))
+        .select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    )
+    size = baskets.count()
+    rules = singles
+    if size:
+        # Rounded up by Spark, this share is ``least`` rows.
+        grown = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / size), minConfidence=confidence)
+        several = grown.fit(baskets).associationRules.filter(
+            (F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD)
+        )
+        rules = singles.unionAll(
+            several.select(
+                F.array_sort("antecedent").alias("antecedent"), "confidence",
+                F.round(F.col("support") * size).cast("long").alias("bad_urls"),
+            )
         )
-    grown = FPGrowth(
-        itemsCol="items", minSupport=max(support, LEAST_ROWS / size["n"]), minConfidence=confidence
-    ).fit(baskets)
-    found = grown.associationRules.filter(
-        (F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD)
-    ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    return without_longer(found)
+    own = singles.select(F.col("antecedent")[0].alias("token"), F.col("antecedent")[0].alias("class"))
+    return without_longer(rules), classes.unionAll(own)
 
 
 def without_longer(rules: DataFrame) -> DataFrame:
@@ -121,23 +143,24 @@ def without_longer(rules: DataFrame) -> DataFrame:
     return rules.join(inside, "antecedent", "left_anti")
 
 
-def fitting(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+def fitting(urls: DataFrame, rules: DataFrame, classes: DataFrame, url: str = "url") -> DataFrame:
     """(url, rule_confidence) of the URLs that a mined rule fits, with the best confidence."""
-    held = urls.select(url, tokens(url).alias("tokens"))
-    frequent = held.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
-    counts = frequent.join(wanted, "token")
+    wanted = rules.select(F.explode("antecedent").alias("class")).distinct()
+    known = classes.join(wanted, "class", "left_semi")
+    met = urls.select(url, F.explode(tokens(url)).alias("token")).join(known, "token")
+    held = cut_lineage(met.groupBy(url).agg(F.collect_set("class").alias("classes")))  # few per URL
+    counts = held.select(F.explode("classes").alias("class")).groupBy("class").count()
     rarest = (
-        rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-        .join(counts, "token", "left")
+        rules.select("antecedent", "confidence", F.explode("antecedent").alias("class"))
+        .join(counts, "class", "left")
         .groupBy("antecedent", "confidence")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("rare"))
-        .select("antecedent", "confidence", F.col("rare.token").alias("token"))
+        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "class")).alias("rare"))
+        .select("antecedent", "confidence", F.col("rare.class").alias("class"))
     )
     return (
-        held.select(url, "tokens", F.explode("tokens").alias("token"))
-        .join(rarest, "token")
-        .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+        held.select(url, "classes", F.explode("classes").alias("class"))
+        .join(rarest, "class")
+        .filter(F.size(F.array_except("antecedent", "classes")) == 0)
         .groupBy(url)
         .agg(F.max("confidence").alias("rule_confidence"))
     )
@@ -149,7 +172,7 @@ def judge(
     page_id: str = "page_id",
     url: str = "url",
     rules: Sequence[tuple[str, str]] = RULES,
-    support: float = LEAST_SUPPORT,
+    least: int = LEAST_ROWS,
     confidence: float = LEAST_CONFIDENCE,
 ) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, rule_confidence) of every row of ``pages``.
@@ -172,7 +195,7 @@ def judge(
         .join(bad, "doc_id")
         .select(tokens("url").alias("items"), "bad")
     )
-    blocked = fitting(distinct, mine(labelled, support, confidence))
+    blocked = fitting(distinct, *mine(labelled, least, confidence))
     judged = narrow.join(blocked, "url", "left")
     host, path = host_of("url"), path_of("url")
     judged = judged.withColumn("host", host).withColumn("path", path)

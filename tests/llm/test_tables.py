@@ -303,9 +303,60 @@ def test_mined_rules(spark):
     for r in urls.judge(df, marked).collect():
         assert (r["verdict"] == "block") == ("evil" in r["url"] and "shop" in r["url"])
     items = df.select(urls.tokens("url").alias("items"), F.col("url").rlike("evil.*shop").alias("bad"))
-    mined = [tuple(r["antecedent"]) for r in urls.mine(items).collect()]
+    rules, classes = urls.mine(items)
+    mined = [tuple(r["antecedent"]) for r in rules.collect()]
     assert mined and all({"p:shop"} < set(a) for a in mined)
     assert not any(set(a) < set(b) for a in mined for b in mined)
+    assert {r["token"] for r in classes.collect()} >= {"p:shop", "h:evil"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_against_all_combinations(spark, seed):
+    """Verdicts on unseen URLs are those of every combination of tokens with support and confidence."""
+    draw = random.Random(seed)
+    twins = {"a": "t", "b": "u"}  # stand in the same labelled URLs
+
+    def basket(paired):
+        chosen = {x for x in "abcdefg" if draw.random() < 0.4}
+        return chosen | {twins[x] for x in chosen & set(twins)} if paired else chosen | {x for x in "tu" if draw.random() < 0.4}
+
+    rows = []
+    for _ in range(400):
+        b = basket(True)
+        odds = 0.9 if {"a", "c"} <= b or {"b", "d", "e"} <= b or "g" in b else 0.1
+        rows.append((sorted(b), draw.random() < odds))
+    combos = []
+    for n in range(1, 10):
+        for c in itertools.combinations("abcdefgtu", n):
+            with_it = [bad for items, bad in rows if set(c) <= set(items)]
+            if sum(with_it) >= 20 and sum(with_it) >= 0.6 * len(with_it):
+                combos.append(set(c))
+    assert combos and any(len(c) > 1 for c in combos)
+    rules, classes = urls.mine(spark.createDataFrame(rows, "items array<string>, bad boolean"))
+    of = {r["token"]: r["class"] for r in classes.collect()}
+    mined = [set(r["antecedent"]) for r in rules.collect()]
+    for unseen in [basket(False) for _ in range(500)]:
+        held = {of[x] for x in unseen if x in of}
+        fits = any(m <= held for m in mined)
+        # A combination holds for the tokens that stood in the same URLs as its own.
+        same = {x: {of.get(x, x)} for x in "abcdefgtu"}
+        assert fits == any(all(any(same[y] == same[x] for y in unseen) for x in c) for c in combos)
+
+
+def test_many_shared_tokens_are_few_classes(spark):
+    """40 bad URLs that share 30 path tokens, alone or with 60 good ones."""
+    import time
+
+    shared = "/".join(f"part{i}" for i in range(30))
+    for good in (shared, "other"):
+        pages = [(i, f"http://s.test/{shared}/x{i}/{i}") for i in range(40)]
+        pages += [(i, f"http://s.test/{good}/x{i}/{i}") for i in range(40, 100)]
+        df = spark.createDataFrame(pages, "page_id long, url string")
+        marks = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+        started = time.time()
+        blocked = {r["page_id"] for r in urls.judge(df, marks).collect() if r["verdict"] == "block"}
+        assert time.time() - started < 40
+        assert blocked == (set(range(40)) if good == "other" else set())
 
 
 # Quality
