@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-__all__ = ["added", "cut_lineage", "emitted", "held_out", "read", "without"]
+__all__ = ["added", "cut_lineage", "emitted", "held_out", "read", "settle", "without"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,18 @@ def _release() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files and broadcasts of frames that are no longer in use.
+
+    It does so when the driver collects the objects that stand for them. A job of many small steps would
+    fill the executors' disks before a driver with free memory gets there by itself.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns that a result is about to replace, whatever their case."""
     taken = {n.lower() for n in names}

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .among import maybe_among
 from .components import components, union_find
-from .frames import added, cut_lineage
+from .frames import added, cut_lineage, settle
 from .words import hashed_texts, mix, rolling
 
 PLACES = 128
@@ -360,6 +360,7 @@ def near_duplicates(
     compared = cut_lineage(close.filter("close").select("a", "b"))
     links = cut_lineage(_verified(compared, nodes, keyed, width, percent))
     grouped = cut_lineage(components(links))
+    settle(docs.sparkSession)
 
     # Buckets that are left in several components: compare what the stars did not.
     member = buckets.join(shared.filter("size > 2").select("band", "size"), "band").join(grouped, "node", "left")
@@ -397,6 +398,7 @@ def near_duplicates(
             .applyInArrow(_links(width, percent), "a long, b long")
         )
         grouped = cut_lineage(components(links.unionAll(more)))
+    settle(docs.sparkSession)
 
     roots = nodes.join(grouped, "node", "left").select(
         "set_key", "least_id", F.coalesce("root", "node").alias("root")

@@ -1,5 +1,6 @@
 """Stages of the corpus pipeline. Each takes (spark, docs, sf_dir); all but the last return the
-columns of ``docs`` and a part of its rows, or changed texts."""
+columns of ``docs`` and a part of its rows, or changed texts. A stage first has Spark remove the shuffle
+files of those before it."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, neardup, packing, substring, toxicity as toxic
-from .frames import cut_lineage, held_out, read
+from .frames import cut_lineage, held_out, read, settle
 
 
 def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
@@ -21,9 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or like no profile go.
 
     A text is like a profile if its cosine is not below what the learning rows of that language and
-    about that length have, but for the lowest few (``langid.least_cosines``). Profiles are learned from the documents' own ``lang`` where given, except held-out rows. Where no
-    row names a language, nothing can be judged and every document with a letter stays.
+    about that length have, but for the lowest few (``langid.least_cosines``). Profiles are learned from
+    the documents' own ``lang`` where given, except held-out rows. Where no row names a language, nothing
+    can be judged and every document with a letter stays.
     """
+    settle(spark)
     known = langid.profiles(docs, ~held_out())
     if not known:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -42,6 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not judged toxic by models of the labelled documents left."""
+    settle(spark)
     model = toxic.fit(docs, read(spark, sf_dir, "labels"), ~held_out())
     docs, columns = _set_aside(docs, "score", "predicted", "evidence")
     return toxic.score(docs, model).filter("predicted = 0").select(*columns)
@@ -52,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A group without ids keeps the smallest digest. Documents without words stay.
     """
+    settle(spark)
     found = cut_lineage(neardup.near_duplicates(docs))
     grouped = found.filter("group_id is not null")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
@@ -75,6 +80,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that a repeated window of 35 words covers; ``n_chars`` follows."""
+    settle(spark)
     docs, columns = _set_aside(docs, "n_removed", "_key", "_kept")
     found = substring.remove_repeated(docs)
     if "n_chars" in docs.columns:
@@ -85,6 +91,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and place of every document."""
+    settle(spark)
     return packing.pack(docs)
 
 
