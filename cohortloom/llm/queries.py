@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, neardup, negatives, packing, quality, search, sharding, substring, toxicity, urls, whitening
+from . import bpe, expressions, fingerprint, langid, neardup, negatives, packing, quality, search, sharding, substring, urls, whitening
 from .frames import held_out, read
 
 
@@ -25,8 +25,8 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are learned from rows that are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out())
-    scored = toxicity.score(docs, model)
+    model = expressions.fit(docs, read(spark, sf_dir, "labels"), ~held_out())
+    scored = expressions.score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
