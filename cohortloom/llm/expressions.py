@@ -168,7 +168,10 @@ def fit(
     n0, n1, backed0, backed1 = (x or 0 for x in sums.first())
     if not n0 or not n1:
         return Expressions()
-    rows = counts.filter(F.col("n1") > DISCOUNT).toArrow()
+    # Whatever a word's share, it speaks for the toxic class just if its discounted count is greater there, in
+    # units of what the class backs off; no other word needs a share.
+    over = [F.greatest(F.col(c) - DISCOUNT, F.lit(0)) / left for c, left in (("n0", backed0), ("n1", backed1))]
+    rows = counts.filter(over[1] > over[0]).toArrow()
     words = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
     place = np.argsort(words)
     words, n = words[place], [rows[c].to_numpy()[place].astype(np.float64) for c in ("n0", "n1")]
